@@ -22,6 +22,7 @@ UNICODE_VERSION = unicodedata.unidata_version
 
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 _WHITESPACE = r"[\s\x1c-\x1f]+"
+_ENTRY_END, _IMAGE_START = "\x02", "\x01"
 
 
 def _decompose(char: str) -> str:
@@ -54,8 +55,9 @@ class _FoldTable:
 
     def apply(self, text: Column, hangul: bool = False) -> Column:
         wide = "[" + "".join(self.expansions) + ("가-힣" if hangul else "") + "]"
-        entries = [F.lit(x) for pair in self.expansions.items() for x in pair]
-        table = F.create_map(*entries)
+        # One text constant the optimizer folds to a map, not an expression per entry.
+        entries = _ENTRY_END.join(c + _IMAGE_START + i for c, i in self.expansions.items())
+        table = F.str_to_map(F.lit(entries), F.lit(_ENTRY_END), F.lit(_IMAGE_START))
 
         def expand(char: Column) -> Column:
             image = F.coalesce(F.try_element_at(table, char), char)

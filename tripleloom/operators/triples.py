@@ -72,7 +72,10 @@ class _Emission(NamedTuple):
 
 
 def _pick(values: Sequence[str], shape: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), shape)
+    """The value of a shape; the list is one text constant the optimizer folds to an array."""
+    if len(set(values)) == 1:
+        return F.lit(values[0])
+    return F.element_at(F.split(F.lit("\n".join(values)), "\n"), shape)
 
 
 @dataclass(frozen=True)
@@ -146,7 +149,7 @@ class Graph:
         if shapes[: len(self.shapes)] == self.shapes:
             return self.encoded
         number = {x: i for i, x in enumerate(shapes, 1)}
-        moved = F.element_at(F.array(*[F.lit(number[x]) for x in self.shapes]), F.col("shape"))
+        moved = _pick([str(number[x]) for x in self.shapes], F.col("shape")).cast("int")
         return self.encoded.select(moved.alias("shape"), "s", "o")
 
     def whole(self) -> Graph:
@@ -156,7 +159,7 @@ class Graph:
         shape = F.col("shape")
         number = {x: i for i, x in enumerate(shapes, 1)}
         encoded = self.encoded.select(
-            F.element_at(F.array(*[F.lit(number[x]) for x in bare]), shape).alias("shape"),
+            _pick([str(number[x]) for x in bare], shape).cast("int").alias("shape"),
             F.concat(_pick([x.subject for x in self.shapes], shape), F.col("s")).alias("s"),
             F.concat(_pick([x.object for x in self.shapes], shape), F.col("o")).alias("o"),
         )
@@ -195,30 +198,37 @@ class _Compiler:
         self.notes: list[Note] = []
         self.open_prefixes: set[str] = set()
 
-    def _project(self, name: str, column: Column) -> str:
-        self.columns.setdefault(name, column)
+    def _project(self, name: str, build: Callable[[], Column]) -> str:
+        """Adds a projected column once; equal keys and literals are shared by all rules."""
+        if name not in self.columns:
+            self.columns[name] = build()
         return name
 
-    def _key(self, variable: str) -> Column:
+    def _key_column(self, variable: str) -> Column:
         fld = self.fields[variable.lower()]
-        name = self._project(f"k_{fld.name}", iri_key(F.col(f"`{fld.name}`"), fld.dataType, self.options.null_iri))
-        return name
+        return iri_key(F.col(f"`{fld.name}`"), fld.dataType, self.options.null_iri)
+
+    def _nothing(self) -> str:
+        return self._project("empty", lambda: F.lit(""))
 
     def _rendered(self, template: Template) -> str:
         """Name of the projected column with everything after the template's prefix."""
         pieces, variables = template.pieces, template.variables
         if not variables:
-            return self._project("k", F.lit(""))
+            return self._nothing()
         if len(variables) == 1 and pieces[1] == "":
-            return self._key(variables[0])
+            return self._project(f"key {variables[0].lower()}", lambda: self._key_column(variables[0]))
         self.open_prefixes.add(template.prefix)
-        parts: list[Column] = []
-        for variable, text in zip(variables, pieces[1:]):
-            fld = self.fields[variable.lower()]
-            parts.append(iri_key(F.col(f"`{fld.name}`"), fld.dataType, self.options.null_iri))
-            if text:
-                parts.append(F.lit(text))
-        return self._project(f"t_{template.text}", F.concat(*parts))
+
+        def parts() -> Column:
+            columns: list[Column] = []
+            for variable, text in zip(variables, pieces[1:]):
+                columns.append(self._key_column(variable))
+                if text:
+                    columns.append(F.lit(text))
+            return F.concat(*columns)
+
+        return self._project(f"template {template.text}", parts)
 
     def _known(self, template: Template) -> list[str]:
         return [v for v in template.variables if v.lower() in self.fields]
@@ -234,7 +244,7 @@ class _Compiler:
             raise ValueError(f"{tm.name}: subject columns {missing} are not in the table")
         s = self._rendered(subject)
         for cls in tm.classes:
-            self._emit(subject.prefix, RDF_TYPE, cls, "iri", "", s, self._project("k", F.lit("")))
+            self._emit(subject.prefix, RDF_TYPE, cls, "iri", "", s, self._nothing())
         for obj in tm.objects:
             if obj.kind == "constant" and not self.options.constants:
                 self.notes.append(Note(tm.name, obj.value, "constant objects are off"))
@@ -248,11 +258,12 @@ class _Compiler:
             else:
                 kind, prefix, datatype = "literal", "", obj.literal_type
                 if obj.kind == "constant":
-                    value = self._project(f"c_{obj.constant}", F.lit(obj.constant))
+                    value = self._project(f"constant {obj.constant}", lambda: F.lit(obj.constant))
                 elif obj.column.lower() in self.fields:
                     fld = self.fields[obj.column.lower()]
-                    column = literal_or_null(F.col(f"`{fld.name}`"), fld.dataType, datatype)
-                    value = self._project(f"v_{datatype}_{fld.name}", column)
+                    value = self._project(
+                        f"literal {fld.name} {datatype}",
+                        lambda: literal_or_null(F.col(f"`{fld.name}`"), fld.dataType, datatype))
                 else:
                     self.notes.append(Note(tm.name, obj.column, "literal column not in the table"))
                     continue
