@@ -111,7 +111,7 @@ def _manifest(spark, sf_dir):
 
 
 @query("load_manifest", " UNION ALL ".join(
-    f"SELECT '{n}' AS delta_table, count(*) AS record_count, 0 AS unnamed_files FROM {t}" for n, t in _COUNTS.items()))
+    f"SELECT '{n}' AS delta_table, count(*) AS record_count, CAST(0 AS BIGINT) AS unnamed_files FROM {t}" for n, t in _COUNTS.items()))
 def manifest(spark, sf_dir):
     """Per-file counts; file names are random here, so they are checked and summed."""
     return _manifest(spark, sf_dir).groupBy("delta_table").agg(

@@ -81,7 +81,7 @@ for _name in ("Address", "AddressExt", "Estrangeiro"):
 
 @query("register_reconcile", with_relations(_RELATIONS, " UNION ALL ".join(
     f"SELECT '{tm.table}' AS source_table, '{tm.name}' AS map, count(*) AS rows_in, "
-    f"count(*) AS rows_with_subject, 0 AS difference FROM {tm.table}" for tm in REGISTER_MAPS)))
+    f"count(*) AS rows_with_subject, CAST(0 AS BIGINT) AS difference FROM {tm.table}" for tm in REGISTER_MAPS)))
 def register_reconcile(spark, sf_dir):
     bronze = bronze_frames(spark, sf_dir)
     return reconcile(spark, REGISTER_MAPS, lambda name: SILVER[name](bronze, CODES))

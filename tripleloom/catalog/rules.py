@@ -234,7 +234,7 @@ def mapping_rules(spark, sf_dir):
 
 @query("reconcile", " UNION ALL ".join(
     f"SELECT '{m.table}' AS source_table, '{m.name}' AS map, count(*) AS rows_in, count(*) AS rows_with_subject, "
-    f"0 AS difference FROM {m.table}" for m in SALES_MAPS)
+    f"CAST(0 AS BIGINT) AS difference FROM {m.table}" for m in SALES_MAPS)
     + " UNION ALL SELECT 'customer', 'lost', count(*), 0, count(*) FROM customer")
 def reconcile_counts(spark, sf_dir):
     lost = _map("lost", "customer", "X/{absent}", ("C",))

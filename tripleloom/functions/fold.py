@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -21,7 +22,10 @@ from tripleloom.functions.lexical import double_text, timestamp_text
 UNICODE_VERSION = unicodedata.unidata_version
 
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
-_WHITESPACE = r"[\s\x1c-\x1f]+"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
+_OTHER_ASCII = "".join(c for c in map(chr, range(128)) if c not in _KEY_CHARS and c != " ")
+_RANGE_GAP = 64
 _ENTRY_END, _IMAGE_START = "\x02", "\x01"
 
 
@@ -54,22 +58,40 @@ class _FoldTable:
         self.expansions = {c: i for c, i in images.items() if len(i) > 1}
 
     def apply(self, text: Column, hangul: bool = False) -> Column:
-        wide = "[" + "".join(self.expansions) + ("가-힣" if hangul else "") + "]"
         # One text constant the optimizer folds to a map, not an expression per entry.
         entries = _ENTRY_END.join(c + _IMAGE_START + i for c, i in self.expansions.items())
         table = F.str_to_map(F.lit(entries), F.lit(_ENTRY_END), F.lit(_IMAGE_START))
 
-        def expand(char: Column) -> Column:
-            image = F.coalesce(F.try_element_at(table, char), char)
+        def expand(piece: Column) -> Column:
+            image = F.coalesce(F.try_element_at(table, piece), piece)
             if hangul:
-                image = F.when(char.between("가", "힣"), _jamo(char)).otherwise(image)
-            return image
+                image = F.when(piece.rlike("^[가-힣]$"), _jamo(piece)).otherwise(image)
+            return F.when(F.octet_length(piece) == F.char_length(piece), piece).otherwise(image)
 
-        expanded = F.array_join(F.transform(F.split(text, ""), expand), "")
-        narrow = F.when(text.rlike(wide), expanded).otherwise(text)
-        folded = F.translate(narrow, self.match, self.replace)
-        # ASCII text is its own folding: as many bytes as characters.
-        return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(folded)
+        # Cut around the characters that expand, so plain runs stay whole.
+        wide = _ranges(self.expansions, "가-힣" if hangul else "")
+        expanded = F.array_join(F.transform(F.split(text, f"(?<={wide})|(?={wide})"), expand), "")
+        has_wide = F.char_length(F.translate(text, "".join(self.expansions), "")) < F.char_length(text)
+        if hangul:
+            has_wide = has_wide | text.rlike("[가-힣]")
+        narrow = F.when(has_wide, expanded).otherwise(text)
+        return F.when(_is_ascii(text), text).otherwise(F.translate(narrow, self.match, self.replace))
+
+
+def _is_ascii(text: Column) -> Column:
+    """As many bytes as characters."""
+    return F.octet_length(text) == F.char_length(text)
+
+
+def _ranges(chars: Iterable[str], extra: str) -> str:
+    """A regex class of few ranges that covers the characters; it may cover others too."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if spans and code - spans[-1][1] <= _RANGE_GAP:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + extra + "]"
 
 
 def _jamo(char: Column) -> Column:
@@ -125,9 +147,10 @@ def strip_accents(text: Column) -> Column:
 
 def key_text(text: Column) -> Column:
     """IRI key of a string: folded, upper-cased, blanks to ``_``, rest removed."""
-    folded = _key_table().apply(text)
-    joined = F.regexp_replace(F.upper(folded), _WHITESPACE, "_")
-    return F.regexp_replace(joined, "[^A-Z0-9_]", "")
+    folded = F.translate(F.upper(_key_table().apply(text)), _SPACES, " " * len(_SPACES))
+    joined = F.when(folded.contains("  "), F.regexp_replace(folded, " +", "_")).otherwise(folded)
+    ascii_key = F.translate(joined, " " + _OTHER_ASCII, "_")
+    return F.when(_is_ascii(ascii_key), ascii_key).otherwise(F.regexp_replace(ascii_key, "[^A-Z0-9_]", ""))
 
 
 def iri_key(value: Column, dtype: T.DataType, null_text: str | None = "NONE") -> Column:
