@@ -4,7 +4,7 @@ import pytest
 
 from tripleloom.functions.lexical import XSD_DOUBLE, XSD_STRING
 from tripleloom.operators.rules import ObjectMap, TriplesMap, rules_frame
-from tripleloom.operators.triples import RDF_TYPE, Options, build_graph, reconcile
+from tripleloom.operators.triples import RDF_TYPE, Options, build_graph, reconcile, unique_subjects
 
 N = "http://n/"
 
@@ -177,3 +177,25 @@ def test_plan_has_one_scan_one_shuffle_and_no_python(spark):
     assert "Python" not in plan and "Expand" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate" in plan
     assert "o_totalprice" not in plan
+
+
+def test_unique_subjects_leave_the_shuffle_and_keep_the_graph(spark):
+    rows = spark.createDataFrame(
+        [("a", "1", "1", "x"), ("b", "1", None, "x"), ("c", "2", "3", "y")], "id string, t1 string, t2 string, grp string")
+    doubled = spark.createDataFrame([("é", "1"), ("e", "1"), (None, "2")], "id string, t1 string")
+    maps = [
+        tm("keyed", subject=N + "x/{id}", classes=[N + "C"], objects=[
+            ObjectMap((N + "phone",), column="t1"), ObjectMap((N + "phone",), column="t2"),
+            ObjectMap((N + "grp",), template=N + "g/{grp}")]),
+        tm("grouped", subject=N + "g/{grp}", classes=[N + "G"], objects=[ObjectMap((N + "has",), template=N + "x/{id}")]),
+        tm("doubled", sql="SELECT * FROM D", subject=N + "x/{id}", classes=[N + "C"],
+           objects=[ObjectMap((N + "t",), column="t1")]),
+    ]
+    tables = {"T": rows, "D": doubled}
+    unique = unique_subjects(spark, maps, tables)
+    assert unique == {"keyed"}
+    plain = build_graph(spark, maps, tables).distinct()
+    saving = build_graph(spark, maps, tables, unique=unique)
+    assert sorted(saving.distinct().triples().collect()) == sorted(plain.triples().collect())
+    # Only the group link: classes are shared with another map, phones come from two columns.
+    assert {saving.shapes[r.shape - 1].predicate for r in saving.single.collect()} == {N + "grp"}

@@ -22,9 +22,9 @@ from tripleloom.functions.lexical import double_text, timestamp_text
 UNICODE_VERSION = unicodedata.unidata_version
 
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
-_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
-_OTHER_ASCII = "".join(c for c in map(chr, range(128)) if c not in _KEY_CHARS and c != " ")
+_OTHER_ASCII = "".join(c for c in map(chr, range(128)) if c not in _KEY_CHARS + _SPACES)
 _RANGE_GAP = 64
 _ENTRY_END, _IMAGE_START = "\x02", "\x01"
 
@@ -146,11 +146,16 @@ def strip_accents(text: Column) -> Column:
 
 
 def key_text(text: Column) -> Column:
-    """IRI key of a string: folded, upper-cased, blanks to ``_``, rest removed."""
-    folded = F.translate(F.upper(_key_table().apply(text)), _SPACES, " " * len(_SPACES))
-    joined = F.when(folded.contains("  "), F.regexp_replace(folded, " +", "_")).otherwise(folded)
-    ascii_key = F.translate(joined, " " + _OTHER_ASCII, "_")
-    return F.when(_is_ascii(ascii_key), ascii_key).otherwise(F.regexp_replace(ascii_key, "[^A-Z0-9_]", ""))
+    """IRI key of a string: folded, upper-cased, blanks to ``_``, rest removed.
+
+    ASCII text without neighbouring blanks, the usual key, takes one character
+    map instead of two regular expressions.
+    """
+    plain = F.translate(F.upper(text), _SPACES + _OTHER_ASCII, "_" * len(_SPACES))
+    folded = F.regexp_replace(F.upper(_key_table().apply(text)), f"[{_SPACES}]+", "_")
+    cleaned = F.regexp_replace(F.translate(folded, _OTHER_ASCII, ""), "[^A-Z0-9_]", "")
+    simple = _is_ascii(text) & ~text.rlike(f"[{_SPACES}]{{2}}")
+    return F.when(simple, plain).otherwise(cleaned)
 
 
 def iri_key(value: Column, dtype: T.DataType, null_text: str | None = "NONE") -> Column:

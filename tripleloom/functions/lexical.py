@@ -21,34 +21,22 @@ _TIMESTAMPS = (T.TimestampType, T.TimestampNTZType)
 def double_text(value: Column) -> Column:
     """Shortest decimal text, positional for exponents -4..15, else with ``e``.
 
-    Spark's own cast turns to scientific notation from 1e7 on; its digits are
-    kept and only laid out anew.
+    Spark's own cast gives the same digits but turns to scientific notation
+    from 1e7 on and below 1e-3; a decimal of enough places lays them out.
     """
-    raw = value.cast("double").cast("string")
-    parts = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
-    sign, lead, rest = (F.regexp_extract(raw, parts, i) for i in (1, 2, 3))
-    power = F.regexp_extract(raw, parts, 4).try_cast("int")
-    fraction = F.when(rest == "0", F.lit("")).otherwise(rest)
-    digits = F.concat(lead, fraction)
-    whole = power + 1
-
-    large = F.when(
-        F.length(digits) <= whole, F.concat(sign, F.rpad(digits, whole, F.lit("0")), F.lit(".0"))
-    ).otherwise(
-        F.concat(sign, F.substring(digits, F.lit(1), whole), F.lit("."),
-                 F.substring(digits, whole + 1, F.length(digits)))
-    )
-    exponent = F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0"))
-    scientific = F.concat(
-        sign, lead, F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
-        F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), exponent,
-    )
+    number = value.cast("double")
+    size = F.abs(number)
+    raw = number.cast("string")
+    wide = F.regexp_replace(number.try_cast("decimal(38, 21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    scientific = F.replace(raw, F.lit(".0E"), F.lit("E"))
+    scientific = F.regexp_replace(scientific, r"E(\d)", "e+$1")
+    scientific = F.regexp_replace(scientific, r"E-(\d)$", "e-0$1")
     return (
-        F.when(~raw.contains("E"),
-               F.when(raw == "Infinity", "INF").when(raw == "-Infinity", "-INF").otherwise(raw))
-        .when(power == -4, F.concat(sign, F.lit("0.000"), digits))
-        .when(power.between(7, 15), large)
-        .otherwise(scientific)
+        F.when((number == 0) | ((size >= 1e-3) & (size < 1e7)), raw)
+        .when((size >= 1e-4) & (size < 1e16), wide)
+        .when(F.isnan(number), "NaN")
+        .when(size == float("inf"), F.when(number > 0, "INF").otherwise("-INF"))
+        .otherwise(F.replace(scientific, F.lit("E"), F.lit("e")))
     )
 
 

@@ -10,6 +10,7 @@ IRIs; the constant parts come back by array look-up afterwards.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import NamedTuple
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.functions.fold import iri_key
-from tripleloom.functions.lexical import literal_or_null
+from tripleloom.functions.lexical import XSD_STRING, literal_or_null
 from tripleloom.functions.ntriples import escape_literal
 from tripleloom.operators.rules import Template, TriplesMap
 
@@ -66,9 +67,12 @@ class Options:
 
 
 class _Emission(NamedTuple):
+    """One triple per row: its map and shape, and the projected columns of its parts."""
+
+    map: str
     shape: Shape
-    subject: Column
-    object: Column
+    subject: str
+    object: str
 
 
 def _pick(values: Sequence[str], shape: Column) -> Column:
@@ -80,17 +84,27 @@ def _pick(values: Sequence[str], shape: Column) -> Column:
 
 @dataclass(frozen=True)
 class Graph:
-    """Encoded triples with their shapes and the notes of compilation."""
+    """Encoded triples with their shapes and the notes of compilation.
 
-    encoded: DataFrame
+    ``single`` holds triples known to occur once; only ``repeated`` needs
+    de-duplication.
+    """
+
+    repeated: DataFrame
     shapes: tuple[Shape, ...]
     notes: tuple[Note, ...] = ()
     # Prefixes that other text than one key may follow.
     open_prefixes: frozenset[str] = frozenset()
+    single: DataFrame | None = None
+
+    @property
+    def encoded(self) -> DataFrame:
+        """All triples as ``(shape, s, o)``."""
+        return self.repeated if self.single is None else self.repeated.unionByName(self.single)
 
     def distinct(self) -> Graph:
         """Set semantics.  Equal triples collapse before the shuffle where a task sees both."""
-        return replace(self, encoded=self.encoded.dropDuplicates(["shape", "s", "o"]))
+        return replace(self, repeated=self.repeated.dropDuplicates(["shape", "s", "o"]))
 
     def triples(self) -> DataFrame:
         """Whole triples ``s, p, o, o_kind, o_datatype`` (datatype '' for IRIs)."""
@@ -112,7 +126,7 @@ class Graph:
         head, middle, tail = [], [], []
         for x in self.shapes:
             iri = x.kind == "iri"
-            plain = iri or x.datatype.endswith("XMLSchema#string")
+            plain = iri or x.datatype == XSD_STRING
             head.append("<" + x.subject)
             middle.append(f"> <{x.predicate}> " + ("<" + x.object if iri else '"'))
             tail.append("> ." if iri else '" .' if plain else f'"^^<{x.datatype}> .')
@@ -142,8 +156,8 @@ class Graph:
         if _prefixes_overlap(shapes, open_prefixes):
             return self.whole().union(other.whole())
         notes = tuple(dict.fromkeys(self.notes + other.notes))
-        encoded = self._renumbered(shapes).unionByName(other._renumbered(shapes))
-        return Graph(encoded, shapes, notes, open_prefixes)
+        merged = self._renumbered(shapes).unionByName(other._renumbered(shapes))
+        return Graph(merged, shapes, notes, open_prefixes)
 
     def _renumbered(self, shapes: tuple[Shape, ...]) -> DataFrame:
         if shapes[: len(self.shapes)] == self.shapes:
@@ -153,7 +167,7 @@ class Graph:
         return self.encoded.select(moved.alias("shape"), "s", "o")
 
     def whole(self) -> Graph:
-        """The same graph with whole IRIs in ``s`` and ``o``."""
+        """The same graph with whole IRIs in ``s`` and ``o``, none of them known to be single."""
         bare = [x._replace(subject="", object="") for x in self.shapes]
         shapes = tuple(dict.fromkeys(bare))
         shape = F.col("shape")
@@ -163,7 +177,7 @@ class Graph:
             F.concat(_pick([x.subject for x in self.shapes], shape), F.col("s")).alias("s"),
             F.concat(_pick([x.object for x in self.shapes], shape), F.col("o")).alias("o"),
         )
-        return replace(self, encoded=encoded, shapes=shapes, open_prefixes=frozenset([""]))
+        return replace(self, repeated=encoded, shapes=shapes, open_prefixes=frozenset([""]), single=None)
 
     def notes_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.notes), NOTE_SCHEMA)
@@ -194,7 +208,8 @@ class _Compiler:
         self.options = options
         self.fields = {f.name.lower(): f for f in frame.schema.fields}
         self.columns: dict[str, Column] = {}
-        self.emissions: dict[tuple, None] = {}
+        self.emissions: dict[_Emission, None] = {}
+        self.subjects: dict[str, str] = {}
         self.notes: list[Note] = []
         self.open_prefixes: set[str] = set()
 
@@ -242,9 +257,9 @@ class _Compiler:
         if len(known) < len(subject.variables):
             missing = sorted(set(subject.variables) - set(known))
             raise ValueError(f"{tm.name}: subject columns {missing} are not in the table")
-        s = self._rendered(subject)
+        s = self.subjects[tm.name] = self._rendered(subject)
         for cls in tm.classes:
-            self._emit(subject.prefix, RDF_TYPE, cls, "iri", "", s, self._nothing())
+            self._emit(tm, Shape(subject.prefix, RDF_TYPE, cls, "iri", ""), s, self._nothing())
         for obj in tm.objects:
             if obj.kind == "constant" and not self.options.constants:
                 self.notes.append(Note(tm.name, obj.value, "constant objects are off"))
@@ -268,19 +283,20 @@ class _Compiler:
                     self.notes.append(Note(tm.name, obj.column, "literal column not in the table"))
                     continue
             for predicate in obj.predicates:
-                self._emit(subject.prefix, predicate, prefix, kind, datatype, s, value)
-
-    def _emit(self, subject, predicate, obj, kind, datatype, s, o) -> None:
-        self.emissions[(Shape(subject, predicate, obj, kind, datatype), s, o)] = None
-
-    def encoded(self, spark: SparkSession, number: Callable[[Shape], int]) -> DataFrame:
-        if not self.emissions:
-            return spark.createDataFrame([], ENCODED_SCHEMA)
-        names = {name: f"c{i}" for i, name in enumerate(self.columns)}
-        source = self.frame.select(*[c.alias(names[n]) for n, c in self.columns.items()])
-        rows = ", ".join(
-            f"(`{names[s]}`, `{names[o]}`) AS `{number(shape)}`" for shape, s, o in self.emissions
-        )
+                self._emit(tm, Shape(subject.prefix, predicate, prefix, kind, datatype), s, value)
+
+    def _emit(self, tm: TriplesMap, shape: Shape, s: str, o: str) -> None:
+        self.emissions[_Emission(tm.name, shape, s, o)] = None
+
+    def encoded(self, spark: SparkSession, numbers: Mapping[Shape, int], wanted: Callable[[_Emission], bool]) -> DataFrame | None:
+        """Triples of the wanted emissions by one scan of the columns they need."""
+        triples = list(dict.fromkeys((numbers[e.shape], e.subject, e.object) for e in self.emissions if wanted(e)))
+        if not triples:
+            return None
+        used = dict.fromkeys(name for _, s, o in triples for name in (s, o))
+        names = {name: f"c{i}" for i, name in enumerate(used)}
+        source = self.frame.select(*[self.columns[n].alias(alias) for n, alias in names.items()])
+        rows = ", ".join(f"(`{names[s]}`, `{names[o]}`) AS `{number}`" for number, s, o in triples)
         # UNPIVOT plans as Expand, which stays in whole-stage codegen and builds no array per row.
         spread = spark.sql(
             f"SELECT CAST(shape AS INT) AS shape, s, o FROM {{source}} UNPIVOT ((s, o) FOR shape IN ({rows}))",
@@ -289,17 +305,13 @@ class _Compiler:
         return spread.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
 
 
-def build_graph(
-    spark: SparkSession,
-    maps: Sequence[TriplesMap],
-    tables: Mapping[str, DataFrame] | Callable[[str], DataFrame],
-    options: Options = Options(),
-) -> Graph:
-    """The bag of all triples of all maps; maps over one table share its scan.
+Tables = Mapping[str, DataFrame] | Callable[[str], DataFrame]
 
-    ``tables`` gives the stored table of a name.  Maps whose query names no
-    table are skipped with a note.
-    """
+
+def _compile(
+    spark: SparkSession, maps: Sequence[TriplesMap], tables: Tables, options: Options
+) -> tuple[list[_Compiler], list[Note]]:
+    """One compiler per logical source, so that maps over one table share its scan."""
     load = tables if callable(tables) else tables.__getitem__
     compilers: dict[str, _Compiler] = {}
     notes: list[Note] = []
@@ -315,23 +327,77 @@ def build_graph(
             frame = load(tm.table) if options.source == "table" else spark.sql(tm.sql)
             compilers[source] = _Compiler(frame, options)
         compilers[source].add(tm)
-    shapes: dict[Shape, int] = {}
-    encoded = None
     for compiler in compilers.values():
         notes.extend(compiler.notes)
-        part = compiler.encoded(spark, lambda shape: shapes.setdefault(shape, len(shapes) + 1))
-        encoded = part if encoded is None else encoded.unionByName(part)
-    if encoded is None:
-        encoded = spark.createDataFrame([], ENCODED_SCHEMA)
-    open_prefixes = frozenset().union(*(c.open_prefixes for c in compilers.values()))
-    graph = Graph(encoded, tuple(shapes), tuple(notes), open_prefixes)
-    return graph.whole() if _prefixes_overlap(graph.shapes, open_prefixes) else graph
+    return list(compilers.values()), notes
+
+
+def _union(frames: Iterable[DataFrame | None]) -> DataFrame | None:
+    result = None
+    for frame in frames:
+        if frame is not None:
+            result = frame if result is None else result.unionByName(frame)
+    return result
+
+
+def build_graph(
+    spark: SparkSession,
+    maps: Sequence[TriplesMap],
+    tables: Tables,
+    options: Options = Options(),
+    unique: frozenset[str] = frozenset(),
+) -> Graph:
+    """The bag of all triples of all maps; maps over one table share its scan.
+
+    ``tables`` gives the stored table of a name.  Maps whose query names no
+    table are skipped with a note.
+
+    ``unique`` names maps whose rows all have different subjects, as found by
+    ``unique_subjects``.  Their triples cannot repeat, unless the same shape is
+    made twice, and then stay out of the shuffle of ``distinct``.
+    """
+    compilers, notes = _compile(spark, maps, tables, options)
+    emissions = [e for compiler in compilers for e in compiler.emissions]
+    numbers = {shape: i for i, shape in enumerate(dict.fromkeys(e.shape for e in emissions), 1)}
+    open_prefixes = frozenset().union(*(c.open_prefixes for c in compilers))
+    overlap = _prefixes_overlap(numbers, open_prefixes)
+    made = Counter(e.shape for e in emissions)
+
+    def is_single(e: _Emission) -> bool:
+        return not overlap and e.map in unique and made[e.shape] == 1
+
+    repeated = _union(c.encoded(spark, numbers, lambda e: not is_single(e)) for c in compilers)
+    single = _union(c.encoded(spark, numbers, is_single) for c in compilers)
+    if repeated is None:
+        repeated = spark.createDataFrame([], ENCODED_SCHEMA)
+    graph = Graph(repeated, tuple(numbers), tuple(notes), open_prefixes, single)
+    return graph.whole() if overlap else graph
+
+
+def unique_subjects(
+    spark: SparkSession, maps: Sequence[TriplesMap], tables: Tables, options: Options = Options()
+) -> frozenset[str]:
+    """Names of the maps whose rows all have different subjects.
+
+    One aggregate over the subject keys alone; its result is a row per map.
+    At scale this shuffles one key per row to save shuffling every triple.
+    """
+    compilers, _ = _compile(spark, maps, tables, options)
+    parts = []
+    for compiler in compilers:
+        for name, s in compiler.subjects.items():
+            sizes = compiler.frame.select(compiler.columns[s].alias("s")).groupBy("s").count()
+            parts.append(sizes.agg(F.lit(name).alias("map"), F.max("count").alias("most")))
+    checked = _union(parts)
+    if checked is None:
+        return frozenset()
+    return frozenset(r.map for r in checked.filter("coalesce(most, 1) = 1").collect())
 
 
 def reconcile(
     spark: SparkSession,
     maps: Sequence[TriplesMap],
-    tables: Mapping[str, DataFrame] | Callable[[str], DataFrame],
+    tables: Tables,
     options: Options = Options(),
 ) -> DataFrame:
     """Rows of each map's table, rows that got a subject, and the difference.
