@@ -82,17 +82,28 @@ def scan_files(
     return matching.select(*schema.names, F.col("_metadata.file_name").alias(SOURCE_FILE))
 
 
+def _folder(spark: SparkSession, path: str):
+    """Hadoop path and file system of a folder, local or shared."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def list_files(
     spark: SparkSession, data_dir: str, tables: Iterable[str], fragments: Sequence[str] = FILE_FRAGMENTS
 ) -> DataFrame:
-    """Selected files per table (``delta_table, file``); file contents are not read."""
-    result = None
+    """Selected files per table (``delta_table, file``), empty ones included.
+
+    Only names are listed, as the scan's own file index does; no file is opened.
+    """
+    names = []
     for table in tables:
-        listing = spark.read.format("binaryFile").load(f"{data_dir.rstrip('/')}/{table}")
-        names = listing.select(F.col("_metadata.file_name").alias("file"))
-        part = names.filter(name_matches(F.col("file"), fragments)).select(F.lit(table).alias("delta_table"), "file")
-        result = part if result is None else result.unionByName(part)
-    return result
+        root, files = _folder(spark, f"{data_dir.rstrip('/')}/{table}")
+        found = files.listFiles(root, False)
+        while found.hasNext():
+            name = found.next().getPath().getName()
+            if not name.startswith(("_", ".")) and any(f.lower() in name.lower() for f in fragments):
+                names.append((table, name))
+    return spark.createDataFrame(names, "delta_table string, file string")
 
 
 def load_tables(
@@ -117,8 +128,7 @@ def load_tables(
 
 def clear_tables(spark: SparkSession, bronze_dir: str, fmt: str = "parquet") -> list[str]:
     """Empties every table folder under ``bronze_dir``, listed or not, keeping schemas."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(bronze_dir)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    root, files = _folder(spark, bronze_dir)
     cleared = []
     for status in files.listStatus(root) if files.exists(root) else []:
         if status.isDirectory():
