@@ -3,10 +3,9 @@
 Only names and columns of these tables are given by the mapping; the
 derivations are this project's own, and the register's codes are parameters.
 
-Joins carry no broadcast hint: a lookup is broadcast only when its measured
-size is under Spark's threshold, and is shuffled otherwise.  Company and lookup
-codes may be hot; the side they repeat on is always the outer one of a left
-join with a unique key on the other side, which adaptive execution splits.
+All joins are left joins to a table with one row per key.  Company and lookup
+codes may be hot on the left; ``left_lookup`` broadcasts the right side when its
+size allows and splits hot keys when it does not.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripleloom.operators.joins import left_lookup
 from tripleloom.plans.register_mapping import ADDRESS_LABEL, STATE_CODES
 
 Tables = Mapping[str, DataFrame]
@@ -102,31 +102,28 @@ def lookup(frame: DataFrame, code: str, text: str, code_as: str, text_as: str) -
 
 def company(bronze: Tables, codes: Codes) -> DataFrame:
     """``RFB_EMPRESA``: companies with their head office and tax option."""
-    head = (
-        bronze["estabelecimento"].filter(F.col("MATRIZ_FILIAL") == codes.head_office)
-        .groupBy("CNPJ_BASICO").agg(F.min(branch_id()).alias("ID_ESTABELECIMENTO_MATRIZ"))
-    )
-    option = bronze["simei"].groupBy("CNPJ_BASICO").agg(
-        F.bool_or(F.col("OPC_MEI") == codes.opted).alias("mei"),
-        F.bool_or(F.col("OPC_SIMPLES") == codes.opted).alias("simples"),
-    )
+    none, unknown = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    heads = bronze["estabelecimento"].filter(F.col("MATRIZ_FILIAL") == codes.head_office).select(
+        "CNPJ_BASICO", branch_id().alias("head"), unknown.alias("mei"), unknown.alias("simples"))
+    options = bronze["simei"].select(
+        "CNPJ_BASICO", none.alias("head"),
+        (F.col("OPC_MEI") == codes.opted).alias("mei"), (F.col("OPC_SIMPLES") == codes.opted).alias("simples"))
+    # Both sides of the company in one aggregate: one shuffle, and one row per company.
+    known = heads.unionByName(options).groupBy("CNPJ_BASICO").agg(
+        F.min("head").alias("ID_ESTABELECIMENTO_MATRIZ"),
+        F.bool_or("mei").alias("mei"), F.bool_or("simples").alias("simples"))
     legal = lookup(bronze["nat_ju"], "CODIGO", "NATUREZA_JURIDICA", "COD_NAT_JURIDICA", "NATUREZA_JURIDICA")
     chosen = F.when(F.col("mei"), "MEI").when(F.col("simples"), "SIMPLES")
-    return (
-        bronze["empresa"]
-        .join(head, "CNPJ_BASICO", "left")
-        .join(option, "CNPJ_BASICO", "left")
-        .join(legal, "COD_NAT_JURIDICA", "left")
-        .select(
-            F.col("CNPJ_BASICO").alias("CNPJ_RAIZ"),
-            "RAZAO_SOCIAL",
-            F.col("COD_NAT_JURIDICA").alias("ID_NATUREZA_LEGAL"),
-            "NATUREZA_JURIDICA",
-            "ID_ESTABELECIMENTO_MATRIZ",
-            F.concat("CNPJ_BASICO", F.lit("_"), chosen).alias("ID_OPCAO_SIMPLES"),
-            decimal_comma("CAPITAL_SOCIAL").alias("CAPITAL_SOCIAL"),
-            F.col("PORTE").alias("TEM_PORTE"),
-        )
+    rows = left_lookup(bronze["empresa"], {"CNPJ_BASICO": known, "COD_NAT_JURIDICA": legal})
+    return rows.select(
+        F.col("CNPJ_BASICO").alias("CNPJ_RAIZ"),
+        "RAZAO_SOCIAL",
+        F.col("COD_NAT_JURIDICA").alias("ID_NATUREZA_LEGAL"),
+        "NATUREZA_JURIDICA",
+        "ID_ESTABELECIMENTO_MATRIZ",
+        F.concat("CNPJ_BASICO", F.lit("_"), chosen).alias("ID_OPCAO_SIMPLES"),
+        decimal_comma("CAPITAL_SOCIAL").alias("CAPITAL_SOCIAL"),
+        F.col("PORTE").alias("TEM_PORTE"),
     )
 
 
@@ -134,7 +131,7 @@ def branch(bronze: Tables, codes: Codes) -> DataFrame:
     """``RFB_ESTABELECIMENTO``: branches with the name of their company."""
     names = lookup(bronze["empresa"], "CNPJ_BASICO", "RAZAO_SOCIAL", "CNPJ_BASICO", "RAZAO_SOCIAL")
     is_head = F.col("MATRIZ_FILIAL") == codes.head_office
-    return bronze["estabelecimento"].join(names, "CNPJ_BASICO", "left").select(
+    return left_lookup(bronze["estabelecimento"], {"CNPJ_BASICO": names}).select(
         branch_id().alias("CNPJ"),
         "RAZAO_SOCIAL",
         "NOME_FANTASIA",
@@ -156,7 +153,7 @@ def partnership(bronze: Tables, codes: Codes, kind: str) -> DataFrame:
     agent = lookup(bronze["qualif_socio"], "COD", "DESCRICAO", "COD_QUALIF_REPRES", "QUALIFICACAO_REPRESENTANTE")
     rows = bronze["socio"].filter(F.col("TIPO_SOCIO") == getattr(codes, kind))
     return (
-        rows.join(partner, "COD_QUALIFICACAO", "left").join(agent, "COD_QUALIF_REPRES", "left")
+        left_lookup(rows, {"COD_QUALIFICACAO": partner, "COD_QUALIF_REPRES": agent})
         .select(
             F.concat_ws("_", "CNPJ_BASICO", partner_id(kind)).alias("ID_SOCIEDADE"),
             F.col("CNPJ_BASICO").alias("ID_EMPRESA"),
@@ -209,7 +206,7 @@ def foreigner(bronze: Tables, codes: Codes) -> DataFrame:
     partners = rows.select(
         partner_id("foreigner").alias("ID_SOCIO"), F.col("NOME_SOCIO").alias("NOME"), "COD_PAIS_EXT"
     ).distinct()
-    return partners.join(countries, "COD_PAIS_EXT", "left").select("ID_SOCIO", "NOME", "NOME_PAIS")
+    return left_lookup(partners, {"COD_PAIS_EXT": countries}, distinct_rows=True).select("ID_SOCIO", "NOME", "NOME_PAIS")
 
 
 def branch_link(bronze: Tables, codes: Codes) -> DataFrame:
@@ -272,7 +269,7 @@ def status(bronze: Tables, codes: Codes) -> DataFrame:
         "SITUACAO",
         "MOTIVO_SITUACAO",
     ).distinct()
-    return events.join(reasons, "MOTIVO_SITUACAO", "left").select(
+    return left_lookup(events, {"MOTIVO_SITUACAO": reasons}, distinct_rows=True).select(
         "ID_SITUACAO_CADASTRAL", "VAL_DATA_SITUACAO", "SITUACAO",
         F.when(F.col("RAZAO").isNotNull(), F.col("MOTIVO_SITUACAO")).alias("ID_URI"),
     )
@@ -287,25 +284,27 @@ def status_reason(bronze: Tables, codes: Codes) -> DataFrame:
     )
 
 
-def _with_country(bronze: Tables, codes: Codes) -> DataFrame:
-    countries = lookup(bronze["pais"], "COD_PAIS", "NOME_PAIS", "COD_PAIS", "NOME_PAIS")
-    named = bronze["estabelecimento"].join(countries, "COD_PAIS", "left")
-    home = F.when(F.col("COD_PAIS").isNull(), codes.home_country)
-    return named.withColumn("PAIS", F.coalesce("NOME_PAIS", home))
+def _countries(bronze: Tables) -> DataFrame:
+    return lookup(bronze["pais"], "COD_PAIS", "NOME_PAIS", "COD_PAIS", "NOME_PAIS")
+
+
+def _country(codes: Codes) -> Column:
+    """Name of the country; the home country where no code is given, null for an unknown one."""
+    return F.coalesce("NOME_PAIS", F.when(F.col("COD_PAIS").isNull(), codes.home_country))
 
 
 def address(bronze: Tables, codes: Codes) -> DataFrame:
     """``RFB_ENDERECO``: home addresses with state code and composed label."""
     cities = lookup(bronze["municipio"], "COD_MUNICIPIO", "MUNICIPIO", "COD_MUNICIPIO", "CIDADE")
-    rows = _with_country(bronze, codes).filter(F.col("NM_CIDADE_EXTERIOR").isNull())
-    parts = rows.join(cities, "COD_MUNICIPIO", "left").select(
+    rows = bronze["estabelecimento"].filter(F.col("NM_CIDADE_EXTERIOR").isNull())
+    parts = left_lookup(rows, {"COD_PAIS": _countries(bronze), "COD_MUNICIPIO": cities}).select(
         branch_id().alias("ID_ENDERECO"),
-        "PAIS",
+        _country(codes).alias("PAIS"),
         joined_street().alias("LOGRADOURO"),
         "NUMERO", "COMPLEMENTO", "BAIRRO", "CIDADE",
         state_name(F.col("UF")).alias("ESTADO"),
         "CEP",
-        F.col("PAIS").alias("NOME_PAIS"),
+        _country(codes).alias("NOME_PAIS"),
         F.col("COD_MUNICIPIO").alias("ID_CIDADE"),
     )
     return parts.select("*", state_code(F.col("ESTADO")).alias("UF"), dashed(*ADDRESS_LABEL).alias("ENDERECO"))
@@ -317,10 +316,14 @@ def joined_street() -> Column:
 
 def foreign_address(bronze: Tables, codes: Codes) -> DataFrame:
     """``RFB_ENDERECO_EXTERIOR``: addresses outside the home country."""
-    rows = _with_country(bronze, codes).filter(F.col("NM_CIDADE_EXTERIOR").isNotNull())
-    parts = rows.select(
-        branch_id().alias("ID_ENDERECO"), "PAIS", F.col("NM_CIDADE_EXTERIOR").alias("CIDADE_EXTERIOR"), "CEP",
-        F.col("PAIS").alias("NOME_PAIS"), F.col("NM_CIDADE_EXTERIOR").alias("CITY_EXT"),
+    rows = bronze["estabelecimento"].filter(F.col("NM_CIDADE_EXTERIOR").isNotNull())
+    parts = left_lookup(rows, {"COD_PAIS": _countries(bronze)}).select(
+        branch_id().alias("ID_ENDERECO"),
+        _country(codes).alias("PAIS"),
+        F.col("NM_CIDADE_EXTERIOR").alias("CIDADE_EXTERIOR"),
+        "CEP",
+        _country(codes).alias("NOME_PAIS"),
+        F.col("NM_CIDADE_EXTERIOR").alias("CITY_EXT"),
     )
     return parts.select("*", dashed("PAIS", "CIDADE_EXTERIOR").alias("ENDERECO"))
 

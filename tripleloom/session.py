@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from tripleloom.operators.joins import planned_bytes
+
+# Shuffled bytes one task should handle.
+SHUFFLE_BYTES = 128 * 1024 * 1024
 
 # Runtime settings the plans rely on; all can be set on a live session.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Joins on company or lookup codes may have one key with a third of all rows.
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
@@ -25,6 +29,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fit_shuffle(spark: SparkSession, stored: Iterable[DataFrame], growth: float = 1.0) -> int:
+    """Raises the number of shuffle partitions to fit what stored tables will shuffle.
+
+    ``stored`` are plain scans, whose sizes the optimizer knows from the files.
+    Adaptive execution merges partitions that turn out small, so the number is
+    only ever raised.
+    """
+    total = sum(planned_bytes(frame) for frame in stored)
+    needed = int(total * growth // SHUFFLE_BYTES) + 1
+    number = max(needed, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set("spark.sql.shuffle.partitions", number)
+    return number
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder path for one run's written tables.
 
