@@ -37,7 +37,8 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert lines.exceptAll(expected).count() == 0 and expected.exceptAll(lines).count() == 0
     notes = [json.loads(x) for f in (tmp_path / "out/notes").glob("part*") for x in f.read_text().splitlines()]
     assert [n["map"] for n in notes] == ["Estrangeiro"]
-    declared = jobs.publish_register(spark, silver, f"{tmp_path}/declared", Options(source="query", constants=True))
+    declared = jobs.publish_register(spark, silver, f"{tmp_path}/declared", Options(source="query", constants=True),
+                                     check_unique=True)
     assert declared.count() == 22
     assert spark.read.text(f"{tmp_path}/declared/triples").filter("value LIKE '%e_estrangeiro%'").count() > 0
 

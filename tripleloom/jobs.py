@@ -53,12 +53,13 @@ def publish(
     tables: Tables,
     output_dir: str,
     options: Options = Options(),
-    check_unique: bool = True,
+    check_unique: bool = False,
 ) -> DataFrame:
     """Writes the graph of the maps as N-Triples, with prefixes and reconciliation.
 
     ``check_unique`` first looks for maps with a subject per row, whose triples
-    then need no shuffle.  Returns rows read and subjects made per map.
+    then need no shuffle; it pays where most triples come from such maps.
+    Returns rows read and subjects made per map.
     """
     unique = unique_subjects(spark, maps, tables, options) if check_unique else frozenset()
     graph = build_graph(spark, maps, tables, options, unique).distinct()
@@ -72,14 +73,14 @@ def publish(
 
 
 def publish_register(spark: SparkSession, silver_dir: str, output_dir: str, options: Options = Options(),
-                     fmt: str = "parquet") -> DataFrame:
+                     fmt: str = "parquet", check_unique: bool = False) -> DataFrame:
     """Publishes the register's graph from its stored refined tables."""
     read = table_loader(spark, silver_dir, fmt)
     tables = {name: read(name) for name in SILVER}
     if options.source == "query":
         register_views(tables)
     fit_shuffle(spark, tables.values(), TRIPLE_GROWTH)
-    return publish(spark, REGISTER_MAPS, tables, output_dir, options)
+    return publish(spark, REGISTER_MAPS, tables, output_dir, options, check_unique)
 
 
 def _codes(text: str) -> Codes:
@@ -103,6 +104,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     command.add_argument("--run-queries", action="store_true", help="run each map's SQL instead of reading its table")
     command.add_argument("--constants", action="store_true", help="emit constant objects")
     command.add_argument("--drop-null-iris", action="store_true", help="no triple for an IRI with a null part")
+    command.add_argument("--check-unique", action="store_true", help="find maps whose triples need no shuffle")
     args = parser.parse_args(argv)
 
     spark = prepare(SparkSession.builder.appName(f"tripleloom-{args.command}").getOrCreate())
@@ -114,7 +116,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         options = Options(
             null_iri=None if args.drop_null_iris else "NONE", constants=args.constants,
             source="query" if args.run_queries else "table")
-        publish_register(spark, args.silver, args.output, options)
+        publish_register(spark, args.silver, args.output, options, check_unique=args.check_unique)
 
 
 if __name__ == "__main__":

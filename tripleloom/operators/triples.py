@@ -39,6 +39,16 @@ class Shape(NamedTuple):
     datatype: str
 
 
+class Prefixes(NamedTuple):
+    """Which prefixes are followed by one key, and which by other text as well."""
+
+    keyed: frozenset[str] = frozenset()
+    open: frozenset[str] = frozenset()
+
+    def __or__(self, other: Prefixes) -> Prefixes:
+        return Prefixes(self.keyed | other.keyed, self.open | other.open)
+
+
 class Note(NamedTuple):
     """A rule or map that yields nothing, and why."""
 
@@ -93,8 +103,7 @@ class Graph:
     repeated: DataFrame
     shapes: tuple[Shape, ...]
     notes: tuple[Note, ...] = ()
-    # Prefixes that other text than one key may follow.
-    open_prefixes: frozenset[str] = frozenset()
+    prefixes: Prefixes = Prefixes()
     single: DataFrame | None = None
 
     @property
@@ -152,12 +161,12 @@ class Graph:
     def union(self, other: Graph) -> Graph:
         """Bag union; apply ``distinct`` for the set union."""
         shapes = tuple(dict.fromkeys(self.shapes + other.shapes))
-        open_prefixes = self.open_prefixes | other.open_prefixes
-        if _prefixes_overlap(shapes, open_prefixes):
+        prefixes = self.prefixes | other.prefixes
+        if _prefixes_overlap(shapes, prefixes):
             return self.whole().union(other.whole())
         notes = tuple(dict.fromkeys(self.notes + other.notes))
         merged = self._renumbered(shapes).unionByName(other._renumbered(shapes))
-        return Graph(merged, shapes, notes, open_prefixes)
+        return Graph(merged, shapes, notes, prefixes)
 
     def _renumbered(self, shapes: tuple[Shape, ...]) -> DataFrame:
         if shapes[: len(self.shapes)] == self.shapes:
@@ -177,17 +186,17 @@ class Graph:
             F.concat(_pick([x.subject for x in self.shapes], shape), F.col("s")).alias("s"),
             F.concat(_pick([x.object for x in self.shapes], shape), F.col("o")).alias("o"),
         )
-        return replace(self, repeated=encoded, shapes=shapes, open_prefixes=frozenset([""]), single=None)
+        return replace(self, repeated=encoded, shapes=shapes, prefixes=Prefixes(open=frozenset([""])), single=None)
 
     def notes_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.notes), NOTE_SCHEMA)
 
 
-def _prefixes_overlap(shapes: Iterable[Shape], open_prefixes: frozenset[str]) -> bool:
+def _prefixes_overlap(shapes: Iterable[Shape], prefixes: Prefixes) -> bool:
     """Whether two different prefixes could complete to one and the same IRI.
 
-    That takes a prefix that starts another one.  If only a key follows the
-    shorter, the longer must add nothing but key characters.
+    That takes a prefix that starts another one and is followed by something.
+    If that is one key, the longer prefix must add nothing but key characters.
     """
     shapes = list(shapes)
     for texts in ({x.subject for x in shapes}, {x.object for x in shapes if x.kind == "iri"}):
@@ -195,7 +204,7 @@ def _prefixes_overlap(shapes: Iterable[Shape], open_prefixes: frozenset[str]) ->
             for long in texts:
                 rest = long[len(short):]
                 if rest and long.startswith(short):
-                    if short in open_prefixes or re.fullmatch("[A-Z0-9_]+", rest):
+                    if short in prefixes.open or (short in prefixes.keyed and re.fullmatch("[A-Z0-9_]+", rest)):
                         return True
     return False
 
@@ -211,7 +220,7 @@ class _Compiler:
         self.emissions: dict[_Emission, None] = {}
         self.subjects: dict[str, str] = {}
         self.notes: list[Note] = []
-        self.open_prefixes: set[str] = set()
+        self.prefixes = Prefixes()
 
     def _project(self, name: str, build: Callable[[], Column]) -> str:
         """Adds a projected column once; equal keys and literals are shared by all rules."""
@@ -232,8 +241,9 @@ class _Compiler:
         if not variables:
             return self._nothing()
         if len(variables) == 1 and pieces[1] == "":
+            self.prefixes |= Prefixes(keyed=frozenset([template.prefix]))
             return self._project(f"key {variables[0].lower()}", lambda: self._key_column(variables[0]))
-        self.open_prefixes.add(template.prefix)
+        self.prefixes |= Prefixes(open=frozenset([template.prefix]))
 
         def parts() -> Column:
             columns: list[Column] = []
@@ -359,8 +369,10 @@ def build_graph(
     compilers, notes = _compile(spark, maps, tables, options)
     emissions = [e for compiler in compilers for e in compiler.emissions]
     numbers = {shape: i for i, shape in enumerate(dict.fromkeys(e.shape for e in emissions), 1)}
-    open_prefixes = frozenset().union(*(c.open_prefixes for c in compilers))
-    overlap = _prefixes_overlap(numbers, open_prefixes)
+    prefixes = Prefixes()
+    for compiler in compilers:
+        prefixes |= compiler.prefixes
+    overlap = _prefixes_overlap(numbers, prefixes)
     made = Counter(e.shape for e in emissions)
 
     def is_single(e: _Emission) -> bool:
@@ -370,7 +382,7 @@ def build_graph(
     single = _union(c.encoded(spark, numbers, is_single) for c in compilers)
     if repeated is None:
         repeated = spark.createDataFrame([], ENCODED_SCHEMA)
-    graph = Graph(repeated, tuple(numbers), tuple(notes), open_prefixes, single)
+    graph = Graph(repeated, tuple(numbers), tuple(notes), prefixes, single)
     return graph.whole() if overlap else graph
 
 
