@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,13 @@ def fit_shuffle(spark: SparkSession, stored: Iterable[DataFrame], growth: float
     return number
 
 
+def run_together(actions: Iterable[Callable[[], None]], at_once: int = 4) -> None:
+    """Runs independent Spark actions a few at a time, so one's last tasks overlap the next's first."""
+    with ThreadPoolExecutor(at_once) as pool:
+        for done in [pool.submit(action) for action in actions]:
+            done.result()
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder path for one run's written tables.
 

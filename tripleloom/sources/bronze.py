@@ -8,11 +8,14 @@ table instead of the delimited text a second time.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripleloom.session import run_together
+
 SOURCE_FILE = "_source_file"
 
 
@@ -121,10 +124,12 @@ def load_tables(
     ``overwrite`` is the full refresh: a table is replaced as a whole, so a
     repeated load leaves the same rows.  ``append`` adds to what is there.
     """
-    for table, schema in schemas.items():
-        rows = scan_files(spark, f"{data_dir.rstrip('/')}/{table}", schema, fragments, **options)
+    def load(table: str) -> None:
+        rows = scan_files(spark, f"{data_dir.rstrip('/')}/{table}", schemas[table], fragments, **options)
         rows.write.mode(mode).format(fmt).save(f"{bronze_dir.rstrip('/')}/{table}")
 
+    run_together([partial(load, table) for table in schemas])
+
 
 def clear_tables(spark: SparkSession, bronze_dir: str, fmt: str = "parquet") -> list[str]:
     """Empties every table folder under ``bronze_dir``, listed or not, keeping schemas."""

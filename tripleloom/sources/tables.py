@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleloom.session import run_together
+
 
 def table_loader(spark: SparkSession, base: str, fmt: str = "parquet") -> Callable[[str], DataFrame]:
     """Reads the table stored in the folder of its name under ``base``."""
@@ -21,8 +24,10 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
 
 def write_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "parquet") -> None:
     """Replaces each named table under ``base``; each write is atomic per table."""
-    for name, frame in tables.items():
-        frame.write.mode("overwrite").format(fmt).save(f"{base.rstrip('/')}/{name}")
+    def write(name: str) -> None:
+        tables[name].write.mode("overwrite").format(fmt).save(f"{base.rstrip('/')}/{name}")
+
+    run_together([partial(write, name) for name in tables])
 
 
 def table_counts(tables: Mapping[str, DataFrame], names: Iterable[str] | None = None) -> DataFrame:
