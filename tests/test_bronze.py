@@ -89,6 +89,8 @@ def test_load_refresh_append_and_manifest(spark, tmp_path):
     lines = [json.loads(x) for f in (tmp_path / "status/status").glob("part*") for x in f.read_text().splitlines()]
     assert {x["record_count"] for x in lines} == {0, 1, 2} and all(len(x["date"]) == 19 for x in lines)
     write_tables({"unlisted": spark.createDataFrame([("x",)], "v string")}, bronze)
+    assert B.clear_tables(spark, bronze, keep=LOOKUPS) == ["unlisted"]
+    assert B.read_table(spark, bronze, "pais").count() == 3
     assert B.clear_tables(spark, bronze) == ["cnae", "pais", "unlisted"]
     assert rows(table_counts({n: table_loader(spark, bronze)(n) for n in ("cnae", "pais", "unlisted")})) == [
         ("cnae", 0), ("pais", 0), ("unlisted", 0)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripleloom import jobs
 from tripleloom.catalog.standin import CODES, bronze_frames
 from tripleloom.operators.joins import hot_keys, left_lookup
+from tripleloom.operators.rules import maps_to_json
 from tripleloom.operators.triples import Options, build_graph
 from tripleloom.plans.register_mapping import REGISTER_MAPS
 from tripleloom.plans.silver import SILVER, silver_tables
@@ -29,7 +30,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert {r.delta_table: r.record_count for r in manifest.collect()} == {n: f.count() for n, f in frames.items()}
     assert jobs._codes(CODE_TEXT) == CODES
     jobs.refine(spark, bronze, silver, CODES)
-    report = jobs.publish_register(spark, silver, out)
+    report = jobs.publish_tables(spark, silver, out)
     assert report.count() == 22 and report.filter("difference <> 0").count() == 0
     lines = spark.read.text(f"{out}/triples")
     expected = build_graph(spark, REGISTER_MAPS, silver_tables(frames, CODES)).distinct().lines()
@@ -37,8 +38,11 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert lines.exceptAll(expected).count() == 0 and expected.exceptAll(lines).count() == 0
     notes = [json.loads(x) for f in (tmp_path / "out/notes").glob("part*") for x in f.read_text().splitlines()]
     assert [n["map"] for n in notes] == ["Estrangeiro"]
-    declared = jobs.publish_register(spark, silver, f"{tmp_path}/declared", Options(source="query", constants=True),
-                                     check_unique=True)
+    (tmp_path / "maps.json").write_text(maps_to_json(REGISTER_MAPS))
+    maps = jobs.read_maps(spark, f"{tmp_path}/maps.json")
+    assert maps == REGISTER_MAPS
+    declared = jobs.publish_tables(spark, silver, f"{tmp_path}/declared", maps,
+                                   Options(source="query", constants=True), check_unique=True)
     assert declared.count() == 22
     assert spark.read.text(f"{tmp_path}/declared/triples").filter("value LIKE '%e_estrangeiro%'").count() > 0
 

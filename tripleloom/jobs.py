@@ -18,10 +18,10 @@ if __name__ == "__main__":
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleloom.operators.rules import TriplesMap
+from tripleloom.operators.rules import TriplesMap, maps_from_json
 from tripleloom.operators.triples import Options, Tables, build_graph, reconcile, unique_subjects
 from tripleloom.plans.register_mapping import OUTPUT_PREFIXES, REGISTER_MAPS
-from tripleloom.plans.silver import SILVER, Codes, silver_tables
+from tripleloom.plans.silver import Codes, silver_tables
 from tripleloom.session import fit_shuffle, prepare
 from tripleloom.sources import bronze as B
 from tripleloom.sources.sinks import write_ntriples, write_prefixes
@@ -32,8 +32,11 @@ TRIPLE_GROWTH = 8
 
 
 def load(spark: SparkSession, data_dir: str, bronze_dir: str, status_dir: str, fmt: str = "parquet") -> DataFrame:
-    """Full refresh of the bronze tables from ``data_dir``; returns and writes the manifest."""
-    B.clear_tables(spark, bronze_dir, fmt)
+    """Full refresh of the bronze tables from ``data_dir``; returns and writes the manifest.
+
+    Listed tables are replaced, any other table found beside them is emptied.
+    """
+    B.clear_tables(spark, bronze_dir, fmt, keep=B.SCHEMAS)
     B.load_tables(spark, data_dir, bronze_dir, fmt=fmt)
     manifest = B.load_manifest(spark, data_dir, bronze_dir, fmt=fmt)
     B.write_manifest(manifest, status_dir)
@@ -72,15 +75,22 @@ def publish(
     return spark.read.schema(report.schema).json(f"{base}/reconciliation")
 
 
-def publish_register(spark: SparkSession, silver_dir: str, output_dir: str, options: Options = Options(),
-                     fmt: str = "parquet", check_unique: bool = False) -> DataFrame:
-    """Publishes the register's graph from its stored refined tables."""
+def publish_tables(
+    spark: SparkSession, silver_dir: str, output_dir: str, maps: Sequence[TriplesMap] = REGISTER_MAPS,
+    options: Options = Options(), fmt: str = "parquet", check_unique: bool = False,
+) -> DataFrame:
+    """Publishes the graph of a mapping over stored tables, by default the register's."""
     read = table_loader(spark, silver_dir, fmt)
-    tables = {name: read(name) for name in SILVER}
+    tables = {name: read(name) for name in dict.fromkeys(tm.table for tm in maps if tm.table)}
     if options.source == "query":
         register_views(tables)
     fit_shuffle(spark, tables.values(), TRIPLE_GROWTH)
-    return publish(spark, REGISTER_MAPS, tables, output_dir, options, check_unique)
+    return publish(spark, maps, tables, output_dir, options, check_unique)
+
+
+def read_maps(spark: SparkSession, path: str) -> tuple[TriplesMap, ...]:
+    """A JSON mapping file, read through Spark so that shared file systems work."""
+    return maps_from_json(spark.read.text(path, wholetext=True).first()[0])
 
 
 def _codes(text: str) -> Codes:
@@ -101,6 +111,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     command = commands.add_parser("publish")
     for name in ("silver", "output"):
         command.add_argument(f"--{name}", required=True)
+    command.add_argument("--mapping", help="JSON mapping file; the register's mapping without it")
     command.add_argument("--run-queries", action="store_true", help="run each map's SQL instead of reading its table")
     command.add_argument("--constants", action="store_true", help="emit constant objects")
     command.add_argument("--drop-null-iris", action="store_true", help="no triple for an IRI with a null part")
@@ -116,7 +127,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         options = Options(
             null_iri=None if args.drop_null_iris else "NONE", constants=args.constants,
             source="query" if args.run_queries else "table")
-        publish_register(spark, args.silver, args.output, options, check_unique=args.check_unique)
+        maps = read_maps(spark, args.mapping) if args.mapping else REGISTER_MAPS
+        publish_tables(spark, args.silver, args.output, maps, options, check_unique=args.check_unique)
 
 
 if __name__ == "__main__":

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -107,6 +108,23 @@ def rule_rows(maps: Iterable[TriplesMap]) -> list[tuple]:
     return rows
 
 
+def maps_to_json(maps: Iterable[TriplesMap]) -> str:
+    """A mapping as JSON text, to be kept and edited as a file."""
+    return json.dumps([asdict(tm) for tm in maps], indent=2, ensure_ascii=False)
+
+
+def maps_from_json(text: str) -> tuple[TriplesMap, ...]:
+    """The mapping written by ``maps_to_json``; fields with a default may be left out."""
+    return tuple(
+        TriplesMap(
+            tm["name"], tm.get("sql"), tm["subject"], tuple(tm.get("classes", ())),
+            tuple(ObjectMap(tuple(o["predicates"]), **{k: v for k, v in o.items() if k != "predicates"})
+                  for o in tm.get("objects", ())),
+        )
+        for tm in json.loads(text)
+    )
+
+
 RULE_SCHEMA = (
     "map string, source_table string, subject string, kind string, "
     "predicate string, value string, datatype string"

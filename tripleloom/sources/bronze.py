@@ -7,7 +7,7 @@ table instead of the delimited text a second time.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,12 +131,17 @@ def load_tables(
     run_together([partial(load, table) for table in schemas])
 
 
-def clear_tables(spark: SparkSession, bronze_dir: str, fmt: str = "parquet") -> list[str]:
-    """Empties every table folder under ``bronze_dir``, listed or not, keeping schemas."""
+def clear_tables(
+    spark: SparkSession, bronze_dir: str, fmt: str = "parquet", keep: Collection[str] = ()
+) -> list[str]:
+    """Empties every table folder under ``bronze_dir``, listed or not, keeping schemas.
+
+    Tables named in ``keep`` are left, for a load that replaces them anyway.
+    """
     root, files = _folder(spark, bronze_dir)
     cleared = []
     for status in files.listStatus(root) if files.exists(root) else []:
-        if status.isDirectory():
+        if status.isDirectory() and status.getPath().getName() not in keep:
             path = status.getPath().toString()
             schema = spark.read.format(fmt).load(path).schema
             spark.createDataFrame([], schema).write.mode("overwrite").format(fmt).save(path)
