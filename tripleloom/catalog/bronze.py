@@ -67,7 +67,7 @@ _PARTIES = (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_na
 
 
 @query("bronze_union", " UNION ALL ".join(
-    f"SELECT CAST({k} AS VARCHAR) AS \"COD_MUNICIPIO\", {n} AS \"MUNICIPIO\" FROM {t}" for t, k, n in _PARTIES))
+    f"SELECT CAST({k} AS VARCHAR) AS COD_MUNICIPIO, {n} AS MUNICIPIO FROM {t}" for t, k, n in _PARTIES))
 def union(spark, sf_dir):
     """Several source files in one table folder; equal rows stay."""
     base = scratch_dir(spark, "union")
@@ -111,7 +111,8 @@ def _manifest(spark, sf_dir):
 
 
 @query("load_manifest", " UNION ALL ".join(
-    f"SELECT '{n}' AS delta_table, count(*) AS record_count, CAST(0 AS BIGINT) AS unnamed_files FROM {t}" for n, t in _COUNTS.items()))
+    f"SELECT '{n}' AS delta_table, count(*) AS record_count, CAST(0 AS BIGINT) AS unnamed_files FROM {t}"
+    for n, t in _COUNTS.items()))
 def manifest(spark, sf_dir):
     """Per-file counts; file names are random here, so they are checked and summed."""
     return _manifest(spark, sf_dir).groupBy("delta_table").agg(

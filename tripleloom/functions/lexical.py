@@ -76,8 +76,6 @@ def literal_text(value: Column, dtype: T.DataType, datatype: str) -> Column:
     if datatype == XSD_DOUBLE and is_text:
         number = F.when(value.rlike(_NUMBER), F.trim(value).try_cast("double"))
         return F.coalesce(double_text(number), value)
-    if datatype == XSD_DOUBLE and isinstance(dtype, T.NumericType):
-        return double_text(value)
     return _plain_text(value, dtype)
 
 

@@ -298,7 +298,9 @@ class _Compiler:
     def _emit(self, tm: TriplesMap, shape: Shape, s: str, o: str) -> None:
         self.emissions[_Emission(tm.name, shape, s, o)] = None
 
-    def encoded(self, spark: SparkSession, numbers: Mapping[Shape, int], wanted: Callable[[_Emission], bool]) -> DataFrame | None:
+    def encoded(
+        self, spark: SparkSession, numbers: Mapping[Shape, int], wanted: Callable[[_Emission], bool]
+    ) -> DataFrame | None:
         """Triples of the wanted emissions by one scan of the columns they need."""
         triples = list(dict.fromkeys((numbers[e.shape], e.subject, e.object) for e in self.emissions if wanted(e)))
         if not triples:
