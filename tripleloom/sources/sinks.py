@@ -7,11 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import SparkSession
 
 from tripleloom.functions.ntriples import prefix_lines
-from tripleloom.operators.batches import BATCH_ROWS
 from tripleloom.operators.triples import Graph
 
 
-def write_ntriples(graph: Graph, path: str, max_lines_per_file: int = BATCH_ROWS,
+# Bounds a file near half a gigabyte; far smaller files would be too many for a large graph.
+LINES_PER_FILE = 5_000_000
+
+
+def write_ntriples(graph: Graph, path: str, max_lines_per_file: int = LINES_PER_FILE,
                    compression: str | None = None) -> None:
     """Replaces ``path`` by part files of N-Triples, written in parallel.
 
