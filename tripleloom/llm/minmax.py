@@ -99,7 +99,7 @@ def _set_keys(values: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sign(batches):
-    """doc_id and text to one row per document: set size, set key, band values and short signature."""
+    """doc_id, text and row_key to one row per document: set size, set key, band values and short signature."""
     order = np.arange(2 * PERMUTATIONS).reshape(ROWS, BANDS).T  # the two values of a permutation go to distant bands
     for batch in batches:
         values, out = shingle_hashes(batch.column(1))
@@ -118,12 +118,12 @@ def _sign(batches):
         at[1:][full] = 1
         at = np.cumsum(at, dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes), as_long(keys), pa.ListArray.from_arrays(at * BANDS, as_long(bands.ravel())),
+            [batch.column(0), batch.column(2), pa.array(sizes), as_long(keys), pa.ListArray.from_arrays(at * BANDS, as_long(bands.ravel())),
              pa.array([short[i].tobytes() if size else b"" for i, size in zip(at[:-1], sizes, strict=True)], pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "bands", "lanes"])
+            names=["doc_id", "row_key", "n_shingles", "set_key", "bands", "lanes"])
 
 
-_SIGNED = "doc_id long, n_shingles long, set_key long, bands array<long>, lanes binary"
+_SIGNED = "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>, lanes binary"
 
 
 def _forest(members: pa.Table, failed: pa.Table) -> pa.Table:
@@ -217,7 +217,9 @@ def _confirm(similarity: int):
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, set_key, component_id and kept of every row of ``docs`` (doc_id, text).
+    """doc_id, row_key, n_shingles, set_key, component_id and kept of every row of ``docs`` (doc_id, text).
+
+    ``row_key`` is the hash of id and text, ``set_key`` that of the shingle set.
 
     Two documents are linked if their shingle sets have a Jaccard similarity of
     at least ``similarity`` hundredths; ``component_id`` is the least id that
@@ -226,6 +228,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = base.withColumn("row_key", F.xxhash64("doc_id", "text"))
     signed = stored(base.mapInArrow(_sign, _SIGNED), "signed")
     classes = (signed.where("n_shingles > 0").groupBy("set_key")
                .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"),
@@ -244,10 +247,10 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         minimum = stored(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "minimum")
         ids = labelled.select("set_key", "label").join(minimum, "label").select("set_key", "component_id")
     ids = stored(ids, "ids").withColumnRenamed("set_key", "class_key")
-    joined = signed.select("doc_id", "n_shingles", "set_key").join(
+    joined = signed.select("doc_id", "row_key", "n_shingles", "set_key").join(
         ids, (F.col("set_key") == F.col("class_key")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", "set_key", component.alias("component_id"),
+    return joined.select("doc_id", "row_key", "n_shingles", "set_key", component.alias("component_id"),
                          F.coalesce(F.col("doc_id").eqNullSafe(component), F.lit(False)).alias("kept"))
 
 
