@@ -51,10 +51,10 @@ def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more than a twentieth of benchmark words."""
     found = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated")
-    found = stored(found.select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct(), "contaminated")
+    found = stored(found.select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_dirty")).distinct(), "contaminated")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    same = (key == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return docs.join(found, same, "left_anti").select(*COLUMNS)
+    same = (key == F.col("_dirty")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return docs.select(*COLUMNS).join(found, same, "left_anti").select(*COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ pair of similarity 0.85 with probability 1 - 8e-7.
 
 Documents with equal shingle sets form one class, and only classes are
 compared.  Classes of one band value form a bucket.  A bucket never gives all
-its pairs: members that signatures show to be close hang below each other as a
-forest, whose links are then confirmed on the full sets; links that fail are
-remembered, and rounds go on until no two unconnected members look close.  A
-large bucket is split into blocks, and later pairs of blocks, of bounded size.
+its pairs: members whose signatures are close hang below each other as a
+forest.  These links are confirmed on the full sets, which joins most copies.
+Where a forest holds several confirmed components, the members that could
+still be linked across them are compared exactly, in pairs of blocks of bounded
+size; a block pair gives at most one link fewer than it has members.
 
 Null or wordless texts have no shingles and are linked with nothing; a null
 ``doc_id`` is linked as any other, and the component takes its least non-null
@@ -34,8 +35,10 @@ PERMUTATIONS = 60
 BANDS = 24
 ROWS = 2 * PERMUTATIONS // BANDS
 SIMILARITY = 85
-#: Members of a bucket's block.
-BLOCK = 512
+#: Members of a bucket's block, and of a block of full sets.
+BLOCK, SET_BLOCK = 512, 256
+#: Shingles whose memberships are held as a matrix at once.
+_COLUMNS = 4096
 #: Lanes that must agree for a pair to be confirmed on the full sets: four deviations below 0.85.
 CLOSE = int(2 * PERMUTATIONS * (0.85 - 4 * (0.85 * 0.15 / (2 * PERMUTATIONS)) ** 0.5))
 #: Lanes that let a member join at once, before the best partner is known.
@@ -126,57 +129,81 @@ def _sign(batches):
 _SIGNED = "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>, lanes binary"
 
 
-def _forest(members: pa.Table, failed: pa.Table) -> pa.Table:
-    """Links that would connect the members that look close, best partners first."""
-    empty = pa.table({"bucket": pa.array([], pa.int64()), "i": pa.array([], pa.int32()), "j": pa.array([], pa.int32()),
-                      "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    if members.num_rows < 2:
-        return empty
+_LINKS = "a long, b long"
+
+
+def _links(keys: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
+    ends = keys[np.sort(np.array(pairs, dtype=np.int64).reshape(-1, 2), axis=1)]
+    return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+
+
+def _forest(members: pa.Table) -> pa.Table:
+    """Links that connect the members of a block that look close, best partners first."""
     keys, first = np.unique(members["set_key"].to_numpy(), return_index=True)
-    _, label = np.unique(members["label"].to_numpy()[first], return_inverse=True)
-    if label.max(initial=0) == 0:
-        return empty
     lanes = np.frombuffer(b"".join(members["lanes"].take(pa.array(first)).to_pylist()), np.uint8).reshape(len(keys), -1)
-    place = {k: n for n, k in enumerate(keys.tolist())}
-    bad: dict[int, list[int]] = {}
-    for a, b in zip(failed["a"].to_pylist(), failed["b"].to_pylist(), strict=True):
-        if a in place and b in place:
-            bad.setdefault(place[a], []).append(place[b])
-            bad.setdefault(place[b], []).append(place[a])
     left = np.ones(len(keys), dtype=bool)
     best, source = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int64)
     links: list[tuple[int, int]] = []
     while left.any():
         best[:] = 0
-        queue = np.flatnonzero(label == label[np.argmax(left)]).tolist()
+        queue = [int(np.argmax(left))]
         left[queue] = False
         while left.any():
+            rest = np.flatnonzero(left)
             if queue:
                 node = queue.pop()
-                rest = np.flatnonzero(left)
                 same = (lanes[rest] == lanes[node]).sum(axis=1, dtype=np.int32)
-                if node in bad:
-                    same[np.isin(rest, bad[node])] = 0
                 better = same > best[rest]
                 best[rest[better]], source[rest[better]] = same[better], node
                 joins = rest[best[rest] >= SURE]
             else:
-                rest = np.flatnonzero(left)
-                top = rest[np.argmax(best[rest])]
-                if best[top] < CLOSE:
+                joins = rest[[np.argmax(best[rest])]]
+                if best[joins[0]] < CLOSE:
                     break
-                joins = np.array([top])
-            for new in joins[np.unique(label[joins], return_index=True)[1]]:
-                links.append((int(source[new]), int(new)))
-                group = np.flatnonzero((label == label[new]) & left)
-                left[group] = False
-                queue.extend(group.tolist())
-    if not links:
-        return empty
-    pairs = keys[np.sort(np.array(links), axis=1)]
-    n, one = len(pairs), {c: members[c][0].as_py() for c in ("bucket", "i", "j")}
-    return pa.table({"bucket": pa.array([one["bucket"]] * n, pa.int64()), "i": pa.array([one["i"]] * n, pa.int32()),
-                     "j": pa.array([one["j"]] * n, pa.int32()), "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            links += zip(source[joins].tolist(), joins.tolist(), strict=True)
+            left[joins] = False
+            queue += joins.tolist()
+    return _links(keys, links)
+
+
+def _exact(similarity: int):
+    """Links between components among the full sets of a pair of blocks, compared all with all."""
+    def run(members: pa.Table) -> pa.Table:
+        keys, first = np.unique(members["set_key"].to_numpy(), return_index=True)
+        _, label = np.unique(members["label"].to_numpy()[first], return_inverse=True)
+        if len(keys) < 2 or label.max() == 0:
+            return _links(keys, [])
+        sets = [np.frombuffer(x, np.uint64) for x in members["members"].take(pa.array(first)).to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(keys)), sizes)
+        _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = many[column] > 1
+        row, column = row[shared], (np.cumsum(many > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(keys), len(keys)), dtype=np.float32)
+        for low in range(0, int((many > 1).sum()), _COLUMNS):
+            part = slice(*np.searchsorted(column, [low, low + _COLUMNS]))
+            matrix = np.zeros((len(keys), _COLUMNS), dtype=np.float32)
+            matrix[row[part], column[part] - low] = 1
+            both += matrix @ matrix.T
+        both = both.astype(np.int64)
+        near = 100 * both >= similarity * (sizes[:, None] + sizes[None, :] - both)
+        near &= label[:, None] != label[None, :]
+        root, links = list(range(label.max() + 1)), []
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in zip(*(side.tolist() for side in np.nonzero(np.triu(near))), strict=True):
+            u, v = top(label[x]), top(label[y])
+            if u != v:
+                root[u] = v
+                links.append((x, y))
+        return _links(keys, links)
+    return run
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
@@ -238,14 +265,11 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     roots = _class_roots(base, classes, similarity)
     # The least id of a component: classes combine first, so no row of a hot class is moved for it.
     least = classes.select("set_key", "doc_id")
-    if roots is None:
-        ids = least.select("set_key", F.col("doc_id").alias("component_id"))
-    else:
-        labelled = least.join(roots, least.set_key == roots.node, "left").select(
-            "set_key", "doc_id", F.coalesce("root", "set_key").alias("label"))
-        labelled = stored(labelled, "labelled")
-        minimum = stored(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "minimum")
-        ids = labelled.select("set_key", "label").join(minimum, "label").select("set_key", "component_id")
+    labelled = least.join(roots, least.set_key == roots.node, "left").select(
+        "set_key", "doc_id", F.coalesce("root", "set_key").alias("label"))
+    labelled = stored(labelled, "labelled")
+    minimum = stored(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "minimum")
+    ids = labelled.select("set_key", "label").join(minimum, "label").select("set_key", "component_id")
     ids = stored(ids, "ids").withColumnRenamed("set_key", "class_key")
     joined = signed.select("doc_id", "row_key", "n_shingles", "set_key").join(
         ids, (F.col("set_key") == F.col("class_key")) & (F.col("n_shingles") > 0), "left")
@@ -254,8 +278,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
                          F.coalesce(F.col("doc_id").eqNullSafe(component), F.lit(False)).alias("kept"))
 
 
-def _class_roots(base: DataFrame, classes: DataFrame, similarity: int) -> DataFrame | None:
-    """(node, root) of the classes that are linked with another; None if there are none."""
+def _class_roots(base: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """(node, root) of the classes that are linked with another."""
     spark = base.sparkSession
     spread = classes.select(F.col("set_key"), F.explode("bands").alias("bucket"))
     sizes = stored(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("centre"))
@@ -274,42 +298,35 @@ def _class_roots(base: DataFrame, classes: DataFrame, similarity: int) -> DataFr
         sets.set_key, "members")
     sets = stored(sets.dropDuplicates(["set_key"]), "sets")
 
+    # Members of a bucket that fits a block are one block; a larger one's blocks hang below its centre.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_key"), blocks).cast("int")
-    placed = members.select("bucket", "set_key", "lanes", "n", blocks.alias("of"), own.alias("own"), "centre")
-    labels, links, failed = None, None, None
-    while True:
-        if labels is None:
-            now = placed.withColumn("label", F.col("set_key"))
-            # The first round looks inside blocks; each block also holds the bucket's centre.
-            every = F.when(F.col("set_key") == F.col("centre"), F.sequence(F.lit(0), F.col("of") - 1)).otherwise(
-                F.array("own"))
-            now = now.withColumn("i", F.explode(every)).withColumn("j", F.col("i"))
-        else:
-            now = placed.join(labels, placed.set_key == labels.node, "left").select(
-                placed["*"], F.coalesce("root", "set_key").alias("label"))
-            now = stored(now, "now")
-            open_ = stored(now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                           .where("lo <> hi").select("bucket"), "open")
-            now = now.join(open_, "bucket", "left_semi")
-            now = now.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-            now = now.withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o"))
-        now = now.select("bucket", "i", "j", "set_key", "label", "lanes")
-        old = failed if failed is not None else now.select(
-            "bucket", "i", "j", F.col("set_key").alias("a"), F.col("label").alias("b")).limit(0)
-        keys = ["bucket", "i", "j"]
-        found = now.groupBy(*keys).cogroup(old.groupBy(*keys)).applyInArrow(
-            _forest, "bucket long, i int, j int, a long, b long")
-        found = stored(found, "found")
-        if found.isEmpty():
-            return labels
-        pairs = stored(found.select("a", "b").distinct(), "pairs")
-        left = stored(pairs.join(sets, pairs.a == sets.set_key).select("a", "b", F.col("members").alias("x")), "left")
-        checked = left.join(sets, left.b == sets.set_key).select("a", "b", "x", F.col("members").alias("y"))
-        checked = stored(checked.mapInArrow(_confirm(similarity), "a long, b long, ok boolean"), "checked")
-        good = checked.where("ok").select("a", "b")
-        missed = stored(found.join(checked.where("not ok").select("a", "b"), ["a", "b"]).select(
-            "bucket", "i", "j", "a", "b"), "failed")
-        failed = missed if failed is None else stored(failed.union(missed), "failed")
-        links = good if links is None else links.union(good)
-        labels = stored(components(links), "labels")
+    placed = members.select("bucket", F.pmod(F.xxhash64("set_key"), blocks).alias("block"), "set_key", "lanes")
+    found = placed.groupBy("bucket", "block").applyInArrow(_forest, _LINKS)
+    hung = members.where(blocks > 1).select(F.least("set_key", "centre").alias("a"),
+                                            F.greatest("set_key", "centre").alias("b")).where("a <> b")
+    found = stored(found.union(hung).distinct(), "found")
+
+    left = stored(found.join(sets, found.a == sets.set_key).select("a", "b", F.col("members").alias("x")), "left")
+    both = left.join(sets, left.b == sets.set_key).select("a", "b", "x", F.col("members").alias("y"))
+    checked = stored(both.mapInArrow(_confirm(similarity), "a long, b long, ok boolean"), "checked")
+    good = checked.where("ok").select("a", "b")
+    labels = components(good)
+
+    # Members that look connected but are not confirmed to be: one row each, by what looks connected.
+    looks = components(found)
+    looks = looks.select(F.col("node").alias("set_key"), F.col("root").alias("group")).join(
+        labels.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select(
+        "set_key", "group", F.coalesce("root", "set_key").alias("label"))
+    looks = stored(looks, "looks")
+    open_ = stored(looks.groupBy("group").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"),
+                                              F.count(F.lit(1)).alias("n")).where("_lo <> _hi").select("group", "n"),
+                   "open")
+    parts = F.ceil(F.col("n") / SET_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("set_key"), parts).cast("int")
+    open_ = stored(looks.join(open_, "group").select("set_key", "group", "label", own.alias("own"), parts.alias("of")),
+                   "unsettled")
+    every = open_.join(sets, "set_key").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    pairs = every.select("group", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"),
+                         "set_key", "label", "members")
+    more = stored(pairs.groupBy("group", "i", "j").applyInArrow(_exact(similarity), _LINKS), "more")
+    return components(good.union(more))
