@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.llm.feistel import TRIAL_KEY, pseudonymise
+from tripleloom.llm.katz import katz_scores
 from tripleloom.llm.minmax import near_duplicates
 from tripleloom.llm.packing import pack
 from tripleloom.llm.qda import quality
@@ -24,6 +25,11 @@ def _query(run):
     return run
 
 
+@_query
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(read_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
