@@ -29,17 +29,49 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Coefficients of a logistic regression by Newton's method; the last is the constant."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-9
-    for _ in range(30):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty) + 1e-9 * np.eye(len(w)),
-                               x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+    """Coefficients of a logistic regression by damped Newton steps; the last is the constant.
+
+    The ridge holds for columns scaled to deviation one, so that classes which a
+    column splits without error still give finite coefficients.
+    """
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
+    penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
+
+    def loss(w):
+        m = z @ w
+        return np.logaddexp(0, m).sum() - y @ m + 0.5 * penalty @ w**2
+
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = sigmoid(z @ w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty) + 1e-9 * np.eye(len(w)),
+                               z.T @ (y - p) - penalty * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8 or size <= 1e-6:
             break
-    return w
+    slope = w[:-1] / scale
+    return np.append(slope, w[-1] - slope @ centre)
+
+
+def fit_steps(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of y as a rising function of z: places and values between which to interpolate.
+
+    Neighbours out of order are pooled; each pool's share is drawn to a half by one case.
+    """
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    places, first = np.unique(z, return_index=True)
+    hits, sizes = np.add.reduceat(y, first), np.diff(np.append(first, len(z)))
+    pools: list[list[float]] = []  # hits, size, lowest and highest place
+    for h, n, place in zip(hits, sizes, places, strict=True):
+        pools.append([h, n, place, place])
+        while len(pools) > 1 and (pools[-2][0] + 0.5) * (pools[-1][1] + 1) >= (pools[-1][0] + 0.5) * (pools[-2][1] + 1):
+            h, n, _, high = pools.pop()
+            pools[-1] = [pools[-1][0] + h, pools[-1][1] + n, pools[-1][2], high]
+    at = np.array([p for pool in pools for p in (pool[2], pool[3])])
+    value = np.repeat([(pool[0] + 0.5) / (pool[1] + 1) for pool in pools], 2)
+    return at, value
