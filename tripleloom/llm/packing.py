@@ -16,6 +16,7 @@ of their own.  Extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -29,7 +30,7 @@ from tripleloom.llm.text import ranges, utf8
 LENGTH = 1024
 END = 0
 #: Units whose ids a task keeps from batch to batch.
-KEPT_UNITS = 200_000
+KEPT_UNITS = 600_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[10, 32]] = True
@@ -40,27 +41,76 @@ _VISIBLE[195:225] = True
 _VISIBLE[228:248] = True
 
 
-class Encoder:
-    """Ids of whole batches of texts."""
+_SPECIAL = ("<|endoftext|>",)
+
+
+def _byte_signs() -> dict[str, int]:
+    """The byte for each sign of byte-level names: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self._model = Tokenizer.from_file(path)
-        self._model.encode_special_tokens = True  # their names in a text are ordinary text
-        self._known: dict[bytes, np.ndarray] = {}
+class Encoder:
+    """Ids of whole batches of texts, by a byte-level vocabulary file.
+
+    The vocabulary's numbers are the order of its merges, so the file's own
+    vocabulary gives the ranks of the faster encoder used here; the tests hold
+    its ids against the file's tokenizer.  New units are encoded many in one
+    text: their ids are told apart by the bytes that each id stands for.
+    """
 
-    def _units(self, units: list[bytes]) -> list[np.ndarray]:
-        known = self._known
-        new = [u for u in units if u not in known]
-        if len(known) + len(new) > KEPT_UNITS:
-            known = self._known = {}
+    def __init__(self, path: str):
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, encoding="utf-8") as file:
+            names = json.load(file)["model"]["vocab"]
+        signs = _byte_signs()
+        ranks = {bytes(signs[c] for c in name): number for name, number in names.items()
+                 if all(c in signs for c in name) and name not in _SPECIAL}
+        self._encode = tiktoken.Encoding(
+            "file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self._bytes[list(ranks.values())] = [len(b) for b in ranks]
+        self._clear()
+
+    def _clear(self):
+        # Unit 0 is the end of a text.
+        self._known: dict[bytes, int] = {}
+        self._ids, self._sizes = [np.array([END], dtype=np.uint32)], [np.array([1])]
+
+    def _learn(self, units: list[bytes]) -> None:
+        """Gives the units the next numbers; those that could melt with a neighbour are encoded alone."""
+        texts = [u.decode() for u in units]
+        alone = np.array([t[0] not in " \n" or t[-1].isspace() for t in texts], dtype=bool)
+        single = np.flatnonzero(alone).tolist()
+        for low in range(0, len(units), 5_000):
+            at = low + np.flatnonzero(~alone[low:low + 5_000])
+            if len(at):
+                ids = np.array(self._encode("".join([texts[i] for i in at.tolist()])), dtype=np.uint32)
+                ends = np.cumsum([len(units[i]) for i in at.tolist()])
+                edges = np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1
+                self._add([units[i] for i in at.tolist()], ids, np.diff(edges, prepend=0))
+        made = [self._encode(texts[i]) for i in single]
+        self._add([units[i] for i in single], np.array([i for ids in made for i in ids], dtype=np.uint32),
+                  np.array([len(ids) for ids in made], dtype=np.int64))
+
+    def _add(self, units: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self._known) + 1
+        self._known.update(zip(units, range(first, first + len(units)), strict=True))
+        self._ids.append(ids)
+        self._sizes.append(sizes)
+
+    def _numbers(self, units: list[bytes]) -> np.ndarray:
+        new = [u for u in units if u not in self._known]
+        if len(self._known) + len(new) > KEPT_UNITS:
+            self._clear()
             new = units
-        for low in range(0, len(new), 20_000):
-            part = new[low:low + 20_000]
-            made = self._model.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)
-            known.update(zip(part, (np.array(e.ids, dtype=np.uint32) for e in made), strict=True))
-        return [known[u] for u in units]
+        self._learn(new)
+        if len(self._ids) > 1:
+            self._ids, self._sizes = [np.concatenate(self._ids)], [np.concatenate(self._sizes)]
+        return np.array([self._known[u] for u in units], dtype=np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end token, and the texts' bounds in them."""
@@ -71,24 +121,21 @@ class Encoder:
             cut[:-2] = _SPACE[data[:-1]] & _VISIBLE[data[1:]]
         cut[at[1:][at[1:] > 0] - 1] = False  # what follows a last blank is another text
         cut[at] = True
-        edges = np.flatnonzero(cut).astype(np.int64)
+        edges = np.flatnonzero(cut)
         if len(edges) < 2:
             return np.full(n, END, np.uint32), np.arange(n + 1)
         units = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
         coded = units.dictionary_encode()
-        ids = self._units(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        flat, first = np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        index = coded.indices.to_numpy()
-        tokens = flat[ranges(first[index], sizes[index])]
-        ends = np.concatenate([[0], np.cumsum(sizes[index])])
-        bounds = ends[np.searchsorted(edges, at)]
-        out = np.full(len(tokens) + n, END, dtype=np.uint32)
-        lengths = np.diff(bounds)
-        shifted = bounds + np.arange(n + 1)
-        out[ranges(shifted[:-1], lengths)] = tokens
-        return out, shifted
+        numbers = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        # An end behind the last unit of each text.
+        last = np.searchsorted(edges, at[1:])
+        numbers = np.insert(numbers, last, 0)
+        flat, sizes = self._ids[0], self._sizes[0]
+        first = np.cumsum(sizes) - sizes
+        long = sizes[numbers]
+        bounds = np.concatenate([[0], np.cumsum(long)[last + np.arange(n)]])
+        return flat[ranges(first[numbers], long)], bounds
 
 
 def pieces(n: int, length: int = LENGTH) -> list[int]:
@@ -134,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2500)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     cut = stored(base.mapInArrow(_cut(tokenizer, length, with_ids), fields + (", ids array<int>" if with_ids else "")),

@@ -13,6 +13,7 @@ from tripleloom.llm.minmax import near_duplicates
 from tripleloom.llm.packing import pack
 from tripleloom.llm.qda import quality
 from tripleloom.llm.store import read_table
+from tripleloom.llm.toxicity import toxicity
 from tripleloom.llm.winnow import contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,11 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(read_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_viterbi_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @_query
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
