@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tripleloom.llm.divergence import divergence
 from tripleloom.llm.feistel import TRIAL_KEY, pseudonymise
 from tripleloom.llm.katz import katz_scores
 from tripleloom.llm.minmax import near_duplicates
 from tripleloom.llm.packing import pack
 from tripleloom.llm.qda import quality
+from tripleloom.llm.reshard import reshard
 from tripleloom.llm.store import read_table
 from tripleloom.llm.toxicity import toxicity
 from tripleloom.llm.winnow import contamination
@@ -36,6 +39,13 @@ def op3_viterbi_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@_query
+def op4_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 32 shards that hold whole sources, so of very unequal sizes, to 40 equal ones."""
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(32))
+    return reshard(read_table(spark, sf_dir, "documents"), old)
+
+
 @_query
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
@@ -60,6 +70,11 @@ def op8_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@_query
+def op9_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(read_table(spark, sf_dir, "documents"), TRIAL_KEY)
