@@ -1,0 +1,96 @@
+import math
+from collections import defaultdict
+
+import numpy as np
+
+from tripleloom.llm import langid as m
+from tripleloom.llm.langid import identify, page_text
+
+SF = "/root/testdata/sf0.001"
+N = m._N
+
+
+def code_of(text):
+    return m.coded([text])[0].tolist()
+
+
+def brute(pages, docs):
+    counts = defaultdict(lambda: np.zeros(N**3))
+    for lang, text in docs:
+        if lang and text is not None:
+            c = code_of(text)
+            for a, b, d in zip(c, c[1:], c[2:], strict=False):
+                counts[lang][(a * N + b) * N + d] += 1
+    languages = sorted(counts)
+    logs = m.log_trigrams(np.stack([counts[x] for x in languages]))
+    rows = []
+    for page, url, page_html in pages:
+        c = code_of(page_text(page_html))
+        text = np.zeros(len(languages))
+        for a, b, d in zip(c, c[1:], c[2:], strict=False):
+            if b or a or d:
+                text += logs[:, (a * N + b) * N + d] * m.TEXT_WEIGHT
+        own = np.exp(text - text.max())
+        rows.append((page, m.address(url), m.declared(page_html), text, own / own.sum()))
+    sums = [defaultdict(lambda: np.zeros(len(languages))) for _ in range(4)]
+    keys = lambda r: (r[1][0], r[1][1], r[2], r[1][2])
+    for r in rows:
+        for s, k in zip(sums, keys(r), strict=True):
+            s[k] += r[4]
+    overall = sum(r[4] for r in rows)
+    share = (overall + 1) / (overall.sum() + len(languages))
+    out = []
+    for r in rows:
+        host, domain, declared, suffix = (np.maximum(s[k] - r[4], 0) if k else 0 * r[4] for s, k in zip(sums, keys(r), strict=True))
+        parent = (domain + m.HOST_STRENGTH * share) / (domain.sum() + m.HOST_STRENGTH)
+        prior = (host + m.HOST_STRENGTH * parent) / (host.sum() + m.HOST_STRENGTH)
+        fused = r[3] + np.log(prior)
+        for name, sign, s in ((r[2], declared, sums[2]), (r[1][2], suffix, sums[3])):
+            if name:
+                size = len([k for k in s if k])
+                fused = fused + np.log((sign + m.SHARE_STRENGTH / size) / (overall - r[4] + m.SHARE_STRENGTH))
+        p = np.exp(fused - fused.max())
+        out.append((r[0], languages[int(np.argmax(p))], float(p.max() / p.sum())))
+    return out
+
+
+def same(frame, want):
+    got = {r.page_id: r for r in frame.collect()}
+    assert len(got) == len(want)
+    for page, lang, p in want:
+        assert abs(got[page].probability - p) < 1e-6, (page, got[page], p)
+        assert got[page].lang == lang or p < 0.5 + 1e-6
+    return got
+
+
+def test_pages_as_brute_force(spark):
+    docs, pages = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/pages.parquet")
+    few = [tuple(r) for r in pages.select("page_id", "url", "html").orderBy("page_id").limit(60).collect()]
+    few += [(10_001, None, None), (10_002, "not an address", ""), (10_003, "http://[bad", "<html lang=de>"),
+            (10_004, few[0][1], None), (10_005, "http://1.2.3.4/x", "<p>the and of the</p>")]
+    frame = spark.createDataFrame([(*r, "x") for r in few], "page_id long, url string, html string, lang string")
+    learned = [tuple(r) for r in docs.select("lang", "text").limit(80).collect()]
+    got = same(identify(frame, docs.limit(80)), brute(few, learned))
+    assert sum(r.lang == r.declared for r in got.values() if r.declared) >= 48 and not math.isnan(got[10_001].probability)
+
+
+def test_text_alone_agrees_with_declarations(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = identify(pages, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert len(rows) == pages.count()
+    assert sum(r.text_lang == r.declared for r in rows) > 0.9 * len(rows)
+    assert sum(r.lang == r.declared for r in rows) >= sum(r.text_lang == r.declared for r in rows)
+
+
+def test_empty_tables_and_repeats(spark):
+    docs, pages = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/pages.parquet")
+    assert identify(pages.limit(0), docs).collect() == []
+    assert {r.lang for r in identify(pages.limit(3), docs.limit(0)).collect()} == {None}
+    two = identify(pages.limit(1).union(pages.limit(1)), docs.limit(50)).collect()
+    assert len(two) == 2 and two[0] == two[1]
+
+
+def test_page_text():
+    page = "<html lang='fr-CA'><script>var x='</p>'</script><nav>menu</nav><!-- a <b> --><div class=\"ad\">ad</div><p>a&amp;b <i>c</i></p>"
+    assert page_text(page).split() == ["a&b", "c"] and m.declared(page) == "fr"
+    assert m.address("https://www.a.example.org/x") == ("www.a.example.org", "a.example.org", "org")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tripleloom.llm.divergence import divergence
 from tripleloom.llm.feistel import TRIAL_KEY, pseudonymise
 from tripleloom.llm.katz import katz_scores
+from tripleloom.llm.langid import identify
 from tripleloom.llm.minmax import near_duplicates
 from tripleloom.llm.packing import pack
 from tripleloom.llm.qda import quality
@@ -29,6 +30,12 @@ def _query(run):
     return run
 
 
+@_query
+def op1_fused_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts teach from ``documents``; the pages of ``pages`` are judged."""
+    return identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(read_table(spark, sf_dir, "documents"))
