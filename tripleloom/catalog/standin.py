@@ -43,8 +43,8 @@ _SHAPES: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN o_orderstatus = 'P' THEN CAST(month(o_orderdate) AS {text}) END",
         "{ymd:o_orderdate}",
         "CAST(CAST(floor(o_totalprice) AS BIGINT) AS {text})",
-        "CAST(year(o_orderdate) AS {text}) || ',' || CAST(month(o_orderdate) AS {text}) || ',' || "
-        "CAST(day(o_orderdate) AS {text})",
+        "CAST(year(o_orderdate) AS {text}) || ', ' || CAST(month(o_orderdate) AS {text}) || ',, ' || "
+        "CAST(day(o_orderdate) AS {text}) || ' '",
         "'RUA'",
         "'Praça ' || CAST(day(o_orderdate) AS {text})",
         "CAST(day(o_orderdate) AS {text})",
@@ -66,7 +66,7 @@ _SHAPES: dict[str, tuple[str, list[str]]] = {
         "CAST(l_suppkey AS {text})",
         "CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN '2' ELSE '3' END",
         "'Sócio ' || CAST(l_partkey AS {text})",
-        "CAST(l_partkey AS {text})",
+        "CASE WHEN l_linenumber <> 4 THEN CAST(l_partkey AS {text}) END",
         "CAST(l_linenumber AS {text})",
         "{ymd:l_shipdate}",
         "CASE WHEN l_returnflag = 'R' THEN CAST(l_linenumber AS {text}) END",
@@ -79,7 +79,7 @@ _SHAPES: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'S' ELSE 'N' END",
         "CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN {day:CAST(floor(c_acctbal / 10) AS INT)} END",
         "CASE WHEN c_mktsegment = 'BUILDING' THEN {day:CAST(floor(c_acctbal / 5) AS INT)} ELSE '00000000' END",
-        "CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'S' ELSE 'N' END",
+        "CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN 'S' ELSE 'N' END",
         "CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN {day:CAST(floor(c_acctbal / 10) AS INT)} END",
         "CAST(NULL AS {text})"]),
 }

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.functions.lexical import XSD_STRING
 
-_TABLE_NAME = re.compile(r"FROM\s+([^\s]+)", re.IGNORECASE)
 _VARIABLE = re.compile(r"\{(\w+)\}")
 
 
@@ -79,6 +78,7 @@ class TriplesMap:
     subject: str
     classes: tuple[str, ...] = ()
     objects: tuple[ObjectMap, ...] = field(default=())
+    source: str | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "classes", tuple(dict.fromkeys(self.classes)))
@@ -90,9 +90,37 @@ class TriplesMap:
 
     @property
     def table(self) -> str | None:
-        """The first table the logical query reads, or None when it names none."""
-        found = _TABLE_NAME.findall(self.sql or "")
-        return found[0] if found else None
+        """``source`` if given, else the first table the logical query reads, or None when it reads none."""
+        return self.source or (first_table(self.sql) if self.sql else None)
+
+
+def first_table(sql: str) -> str | None:
+    """The first table of a query, as Spark's own parser finds it; names of a WITH clause are looked through."""
+    words = sql.split()
+    if len(words) == 4 and " ".join(words[:3]).upper() == "SELECT * FROM" and words[3].isidentifier():
+        return words[3]  # known without a session
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ValueError("a session is needed to find the table of a query; or give the map its source")
+    return _first_relation(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), {})
+
+
+def _first_relation(plan, named: dict) -> str | None:
+    if plan.getClass().getSimpleName() == "UnresolvedWith":
+        relations = plan.cteRelations()
+        for i in range(relations.size()):
+            named = {**named, relations.apply(i)._1().lower(): relations.apply(i)._2()}
+        return _first_relation(plan.child(), named)
+    if plan.getClass().getSimpleName() == "UnresolvedRelation":
+        name = ".".join(plan.multipartIdentifier().apply(i) for i in range(plan.multipartIdentifier().size()))
+        inner = named.get(name.lower())
+        return _first_relation(inner, {k: v for k, v in named.items() if k != name.lower()}) if inner else name
+    children = plan.children()
+    for i in range(children.size()):
+        found = _first_relation(children.apply(i), named)
+        if found:
+            return found
+    return None
 
 
 def rule_rows(maps: Iterable[TriplesMap]) -> list[tuple]:
@@ -120,6 +148,7 @@ def maps_from_json(text: str) -> tuple[TriplesMap, ...]:
             tm["name"], tm.get("sql"), tm["subject"], tuple(tm.get("classes", ())),
             tuple(ObjectMap(tuple(o["predicates"]), **{k: v for k, v in o.items() if k != "predicates"})
                   for o in tm.get("objects", ())),
+            tm.get("source"),
         )
         for tm in json.loads(text)
     )

@@ -177,6 +177,7 @@ REGISTER_MAPS: tuple[TriplesMap, ...] = (
             _text("ID_SOCIO", RDFS + "label"),
             _link(DOMAIN + "Qualificacao/{ID_QUALIFICACAO_SOCIO}", CNPJ + "tem_qualificacao_socio"),
         ),
+        source="RFB_SOCIEDADE_COM_PESSOA_FISICA",
     ),
     TriplesMap(
         "Socio_RFB_PJ", _partner_sql("SOCIO_PESSOA_JURIDICA", "RFB_SOCIEDADE_COM_HOLDING"),
@@ -186,6 +187,7 @@ REGISTER_MAPS: tuple[TriplesMap, ...] = (
             _text("ID_SOCIO", RDFS + "label"),
             _link(DOMAIN + "Qualificacao/{ID_QUALIFICACAO_SOCIO}", CNPJ + "tem_qualificacao_socio"),
         ),
+        source="RFB_SOCIEDADE_COM_HOLDING",
     ),
     TriplesMap(
         "Socio_RFB_PF", _partner_sql("SOCIO_ESTRANGEIRO", "RFB_SOCIEDADE_COM_ESTRANGEIRO"),
@@ -196,6 +198,7 @@ REGISTER_MAPS: tuple[TriplesMap, ...] = (
             _text("ID_SOCIO", RDFS + "label"),
             _link(DOMAIN + "Qualificacao/{ID_URI}", CNPJ + "tem_qualificacao_socio"),
         ),
+        source="RFB_SOCIEDADE_COM_ESTRANGEIRO",
     ),
     TriplesMap(
         "Person", _all("RFB_PESSOA"), RFB + "Pessoa/{ID_PESSOA}",
@@ -247,6 +250,7 @@ REGISTER_MAPS: tuple[TriplesMap, ...] = (
             _date("DATA_OPCAO_SIMPLES", CNPJ + "data_opcao_SIMPLES"),
             _date("DATA_EXCLUSAO_SIMPLES", CNPJ + "data_exclusao_SIMPLES"),
         ),
+        source="RFB_OPCAO_SIMPLES",
     ),
     TriplesMap(
         "Special_Situation",
@@ -257,6 +261,7 @@ REGISTER_MAPS: tuple[TriplesMap, ...] = (
             _date("DATA_INICIO_SIT_ESPECIAL", CNPJ + "data_inicio_situacao_especial"),
             _text("DESCRICAO", CNPJ + "descricao_situacao_especial", RDFS + "label"),
         ),
+        source="RFB_SITUACAO_ESPECIAL",
     ),
     TriplesMap(
         "has_secondary_activity", _all("RFB_TEM_ATIV_ECONOMICA_SECUNDARIA"),
@@ -294,6 +299,7 @@ REGISTER_MAPS: tuple[TriplesMap, ...] = (
             _link(DOMAIN + "Logradouro/{LOGRADOURO}", CNPJ + "tem_logradouro"),
             _text("CEP", VCARD + "postal-code", CNPJ + "cep"),
         ),
+        source="RFB_ENDERECO",
     ),
     TriplesMap(
         "AddressExt", _FOREIGN_ADDRESS_SQL, RFB + "Endereco_Exterior/{ID_ENDERECO}",
@@ -303,5 +309,6 @@ REGISTER_MAPS: tuple[TriplesMap, ...] = (
             _link(DOMAIN + "Pais/{NOME_PAIS}", CNPJ + "tem_pais"),
             _link(DOMAIN + "Cidade/{CITY_EXT}", CNPJ + "tem_cidade"),
         ),
+        source="RFB_ENDERECO_EXTERIOR",
     ),
 )

@@ -68,8 +68,14 @@ def decimal_comma(text: str) -> Column:
 
 
 def joined(*columns: str) -> Column:
-    """Given parts joined by ``_``; null when there is none."""
-    return F.nullif(F.concat_ws("_", *columns), F.lit(""))
+    """Parts joined by ``_``, each in its place even where one is missing; null when there is none."""
+    parts = F.concat_ws("_", *[F.coalesce(c, F.lit("")) for c in columns])
+    return F.when(F.coalesce(*columns).isNotNull(), parts)
+
+
+def telephone(area: str, number: str) -> Column:
+    """Area code and number; the number alone without a code."""
+    return F.concat(F.coalesce(area, F.lit("")), number)
 
 
 def branch_id() -> Column:
@@ -89,19 +95,28 @@ def representative_id() -> Column:
 
 
 def partner_id(kind: str) -> Column:
-    """Companies by the root of their number, persons and foreigners with their name."""
+    """Companies by the root of their number, or their name without one; persons and foreigners with their name."""
     if kind == "company":
-        return F.substring("CNPJ_CPF_SOCIO", 1, 8)
+        return F.coalesce(F.substring("CNPJ_CPF_SOCIO", 1, 8), "NOME_SOCIO")
     return joined("CNPJ_CPF_SOCIO", "NOME_SOCIO")
 
 
+def partnership_id(kind: str) -> Column:
+    empty = F.lit("")
+    return F.concat(F.coalesce("CNPJ_BASICO", empty), F.lit("_"), F.coalesce(partner_id(kind), empty))
+
+
 def lookup(frame: DataFrame, code: str, text: str, code_as: str, text_as: str) -> DataFrame:
     """A code table with one text per code, so that joining it never adds rows."""
     return frame.filter(F.col(code).isNotNull()).groupBy(F.col(code).alias(code_as)).agg(F.min(text).alias(text_as))
 
 
 def company(bronze: Tables, codes: Codes) -> DataFrame:
-    """``RFB_EMPRESA``: companies with their head office and tax option."""
+    """``RFB_EMPRESA``: companies with their head office and tax options.
+
+    One row per company and option that it has taken, one without an option for
+    the others; the graph, a set, gets the rest of a company once.
+    """
     none, unknown = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     heads = bronze["estabelecimento"].filter(F.col("MATRIZ_FILIAL") == codes.head_office).select(
         "CNPJ_BASICO", branch_id().alias("head"), unknown.alias("mei"), unknown.alias("simples"))
@@ -113,15 +128,16 @@ def company(bronze: Tables, codes: Codes) -> DataFrame:
         F.min("head").alias("ID_ESTABELECIMENTO_MATRIZ"),
         F.bool_or("mei").alias("mei"), F.bool_or("simples").alias("simples"))
     legal = lookup(bronze["nat_ju"], "CODIGO", "NATUREZA_JURIDICA", "COD_NAT_JURIDICA", "NATUREZA_JURIDICA")
-    chosen = F.when(F.col("mei"), "MEI").when(F.col("simples"), "SIMPLES")
     rows = left_lookup(bronze["empresa"], {"CNPJ_BASICO": known, "COD_NAT_JURIDICA": legal})
+    chosen = F.array_compact(F.array(F.when(F.col("mei"), "MEI"), F.when(F.col("simples"), "SIMPLES")))
+    rows = rows.withColumn("option", F.explode_outer(chosen))
     return rows.select(
         F.col("CNPJ_BASICO").alias("CNPJ_RAIZ"),
         "RAZAO_SOCIAL",
         F.col("COD_NAT_JURIDICA").alias("ID_NATUREZA_LEGAL"),
         "NATUREZA_JURIDICA",
         "ID_ESTABELECIMENTO_MATRIZ",
-        F.concat("CNPJ_BASICO", F.lit("_"), chosen).alias("ID_OPCAO_SIMPLES"),
+        F.concat("CNPJ_BASICO", F.lit("_"), "option").alias("ID_OPCAO_SIMPLES"),
         decimal_comma("CAPITAL_SOCIAL").alias("CAPITAL_SOCIAL"),
         F.col("PORTE").alias("TEM_PORTE"),
     )
@@ -141,9 +157,9 @@ def branch(bronze: Tables, codes: Codes) -> DataFrame:
         branch_id().alias("ID_ENDERECO"),
         F.when(is_head, "MATRIZ").otherwise("FILIAL").alias("TIPO_ESTABELECIMENTO"),
         "EMAIL",
-        F.concat("DDD_1", "TELEFONE_1").alias("TELEFONE_1"),
-        F.concat("DDD_2", "TELEFONE_2").alias("TELEFONE_2"),
-        F.concat("DDD_FAX", "NUM_FAX").alias("FAX"),
+        telephone("DDD_1", "TELEFONE_1").alias("TELEFONE_1"),
+        telephone("DDD_2", "TELEFONE_2").alias("TELEFONE_2"),
+        telephone("DDD_FAX", "NUM_FAX").alias("FAX"),
     )
 
 
@@ -155,7 +171,7 @@ def partnership(bronze: Tables, codes: Codes, kind: str) -> DataFrame:
     return (
         left_lookup(rows, {"COD_QUALIFICACAO": partner, "COD_QUALIF_REPRES": agent})
         .select(
-            F.concat_ws("_", "CNPJ_BASICO", partner_id(kind)).alias("ID_SOCIEDADE"),
+            partnership_id(kind).alias("ID_SOCIEDADE"),
             F.col("CNPJ_BASICO").alias("ID_EMPRESA"),
             partner_id(kind).alias("ID_SOCIO"),
             register_date("DATA_ENTRADA").alias("DATA_INICIO_SOCIEDADE"),
@@ -175,7 +191,7 @@ def partnership_link(bronze: Tables, codes: Codes, kind: str) -> DataFrame:
     rows = bronze["socio"].filter(F.col("TIPO_SOCIO") == getattr(codes, kind))
     return rows.select(
         F.col("CNPJ_BASICO").alias("ID_EMPRESA"),
-        F.concat_ws("_", "CNPJ_BASICO", partner_id(kind)).alias("ID_SOCIO"),
+        partnership_id(kind).alias("ID_SOCIO"),
     ).distinct()
 
 
@@ -251,9 +267,10 @@ def tax_option(bronze: Tables, codes: Codes) -> DataFrame:
 
 
 def secondary_activity(bronze: Tables, codes: Codes) -> DataFrame:
-    """``RFB_TEM_ATIV_ECONOMICA_SECUNDARIA``: one row per branch and listed activity."""
+    """``RFB_TEM_ATIV_ECONOMICA_SECUNDARIA``: one row per branch and listed activity; blank pieces are none."""
+    codes_ = F.filter(F.transform(F.split("CNAE_FISCAL_SEC", ","), lambda x: F.trim(x)), lambda x: x != "")
     return bronze["estabelecimento"].filter(F.col("CNAE_FISCAL_SEC").isNotNull()).select(
-        branch_id().alias("CNPJ_COMPLETO"), F.explode(F.split("CNAE_FISCAL_SEC", ",")).alias("CNAE")
+        branch_id().alias("CNPJ_COMPLETO"), F.explode(codes_).alias("CNAE")
     )
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.operators.joins import planned_bytes
 
-# Shuffled bytes one task should handle.
+# Shuffled bytes one task should handle, and the most tasks of a shuffle: every map task keeps an index
+# of that length and the driver one entry per pair, so beyond it partitions grow and spill.
 SHUFFLE_BYTES = 128 * 1024 * 1024
+MOST_PARTITIONS = 20_000
 
 # Runtime settings the plans rely on; all can be set on a live session.
 RUNTIME_SETTINGS = {
@@ -38,7 +40,7 @@ def fit_shuffle(spark: SparkSession, stored: Iterable[DataFrame], growth: float
     only ever raised.
     """
     total = sum(planned_bytes(frame) for frame in stored)
-    needed = int(total * growth // SHUFFLE_BYTES) + 1
+    needed = min(int(total * growth // SHUFFLE_BYTES) + 1, MOST_PARTITIONS)
     number = max(needed, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spark.conf.set("spark.sql.shuffle.partitions", number)
     return number
@@ -59,5 +61,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tripleloom-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
