@@ -16,6 +16,7 @@ of their own.  Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 
@@ -29,8 +30,8 @@ from tripleloom.llm.text import ranges, utf8
 
 LENGTH = 1024
 END = 0
-#: Units whose ids a task keeps from batch to batch.
-KEPT_UNITS = 600_000
+#: Units whose ids a worker keeps.
+KEPT_UNITS = 300_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[10, 32]] = True
@@ -138,6 +139,12 @@ class Encoder:
         return flat[ranges(first[numbers], long)], bounds
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, with the units of its earlier tasks."""
+    return Encoder(path)
+
+
 def pieces(n: int, length: int = LENGTH) -> list[int]:
     """Lengths of the pieces of ``n`` tokens."""
     rest = n % length
@@ -146,7 +153,7 @@ def pieces(n: int, length: int = LENGTH) -> list[int]:
 
 def _cut(path: str, length: int, with_ids: bool):
     def run(batches):
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             ids, bounds = encode(batch.column("text"))
             ids = ids.astype("<u4")
@@ -181,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
-    small_batches(docs.sparkSession, 2500)
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     cut = stored(base.mapInArrow(_cut(tokenizer, length, with_ids), fields + (", ids array<int>" if with_ids else "")),
