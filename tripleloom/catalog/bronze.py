@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tripleloom.catalog.registry import query, table
 from tripleloom.catalog.standin import BRONZE_SQL, bronze_frames
 from tripleloom.operators.batches import with_batch
+from tripleloom.operators.changes import snapshot_changes
 from tripleloom.session import scratch_dir
 from tripleloom.sources import bronze as B
-from tripleloom.sources.tables import preview, register_views
+from tripleloom.sources.tables import _path, preview, previous_path, register_views
 
 # Files written by Spark are named part-…; the register's own fragments are the default.
 _PART = ("PART",)
@@ -104,20 +105,58 @@ _LOADED = ("empresa", "simei", "socio", "municipio")
 _COUNTS = {"empresa": "customer", "simei": "customer", "socio": "lineitem", "municipio": "nation"}
 
 
+# Register-like file names, chosen by the default fragments; a blank and a percent sign are part of them.
+_FILES = {"empresa": "K 100%.EMPRECSV", "simei": "F.K03200$W.SIMPLES.CSV", "socio": "k+1.Sociocsv",
+          "municipio": "muni cipios.csv"}
+
+
 def _manifest(spark, sf_dir):
     base = _written(spark, sf_dir, *_LOADED)
-    B.load_tables(spark, f"{base}/data", f"{base}/bronze", {n: B.SCHEMAS[n] for n in _LOADED}, _PART)
-    return B.load_manifest(spark, f"{base}/data", f"{base}/bronze", _LOADED, _PART)
+    for name in _LOADED:  # one file per table under the register's kind of name
+        folder, files = _path(spark, f"{base}/data/{name}")
+        parts = [x.getPath() for x in files.listStatus(folder) if x.getPath().getName().startswith("part-")]
+        for k, part in enumerate(parts):
+            prefix = "" if k == 0 else f"{k}."
+            files.rename(part, spark._jvm.org.apache.hadoop.fs.Path(folder, prefix + _FILES[name]))
+    # A second load is appended; the manifest is that of the first alone.
+    schemas = {n: B.SCHEMAS[n] for n in _LOADED}
+    load_id = B.load_tables(spark, f"{base}/data", f"{base}/bronze", schemas)
+    B.load_tables(spark, f"{base}/data", f"{base}/bronze", {"municipio": schemas["municipio"]}, mode="append")
+    return B.load_manifest(spark, f"{base}/data", f"{base}/bronze", _LOADED, load_id=load_id)
 
 
 @query("load_manifest", " UNION ALL ".join(
-    f"SELECT '{n}' AS delta_table, count(*) AS record_count, CAST(0 AS BIGINT) AS unnamed_files FROM {t}"
-    for n, t in _COUNTS.items()))
+    f"SELECT '{n}' AS delta_table, '{_FILES[n]}' AS file, count(*) AS record_count FROM {t}" for n, t in _COUNTS.items()))
 def manifest(spark, sf_dir):
-    """Per-file counts; file names are random here, so they are checked and summed."""
-    return _manifest(spark, sf_dir).groupBy("delta_table").agg(
-        F.sum("record_count").alias("record_count"),
-        F.count_if(~F.col("file").rlike("^part-.*csv$")).alias("unnamed_files"))
+    """Records per file, the parts of one table's file taken together."""
+    name = F.regexp_replace("file", r"^\d+\.", "")
+    return _manifest(spark, sf_dir).groupBy("delta_table", name.alias("file")).agg(
+        F.sum("record_count").alias("record_count"))
+
+
+_CHANGED = """SELECT "CNPJ_BASICO", "RAZAO_SOCIAL", "COD_NAT_JURIDICA", "QUALIF_RESP", "CAPITAL_SOCIAL",
+    CASE WHEN CAST("CNPJ_BASICO" AS INT) % 5 = 0 THEN 'GRANDE' ELSE "PORTE" END AS "PORTE", "ENTE_FEDERATIVO"
+    FROM e WHERE CAST("CNPJ_BASICO" AS INT) % 7 <> 0"""
+
+
+@query("load_changes", f"""
+    WITH e AS ({BRONZE_SQL['empresa']}), a AS (SELECT * FROM e WHERE CAST("CNPJ_BASICO" AS INT) % 3 <> 0),
+    b AS ({_CHANGED})
+    SELECT 'delete' AS _change_type, * FROM a WHERE "CNPJ_BASICO" NOT IN (SELECT "CNPJ_BASICO" FROM b)
+    UNION ALL SELECT 'insert', * FROM b WHERE "CNPJ_BASICO" NOT IN (SELECT "CNPJ_BASICO" FROM a)
+    UNION ALL SELECT 'update_preimage', a.* FROM a JOIN b USING ("CNPJ_BASICO") WHERE a."PORTE" <> b."PORTE"
+    UNION ALL SELECT 'update_postimage', b.* FROM a JOIN b USING ("CNPJ_BASICO") WHERE a."PORTE" <> b."PORTE" """)
+def load_changes(spark, sf_dir):
+    """The change set between two loads of one table, before the first one's rows are dropped."""
+    base, rows = scratch_dir(spark, "changes"), bronze_frames(spark, sf_dir)["empresa"]
+    number, schema = F.col("CNPJ_BASICO").cast("int"), {"empresa": B.SCHEMAS["empresa"]}
+    big = F.when(number % 5 == 0, "GRANDE").otherwise(F.col("PORTE"))
+    for snapshot in (rows.filter(number % 3 != 0), rows.filter(number % 7 != 0).withColumn("PORTE", big)):
+        _write_files(snapshot, f"{base}/data/empresa")
+        B.load_tables(spark, f"{base}/data", f"{base}/bronze", schema, _PART, keep_previous=True)
+    table_path = f"{base}/bronze/empresa"
+    old = spark.read.parquet(previous_path(table_path)).drop(B.SOURCE_FILE, B.LOAD_ID)
+    return snapshot_changes(old, B.read_table(spark, f"{base}/bronze", "empresa"), ["CNPJ_BASICO"])
 
 
 @query("load_totals", " UNION ALL ".join(

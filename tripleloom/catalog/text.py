@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tripleloom.catalog.oracle import key, quoted, typed_key
 from tripleloom.catalog.registry import query, table
-from tripleloom.functions import compact_iri, iri_key, strip_accents, triple_line
+from tripleloom.functions import compact_iri, iri_key, strip_accents
 from tripleloom.functions.lexical import XSD_ANY_URI, XSD_STRING
+from tripleloom.operators.rules import ObjectMap, TriplesMap
+from tripleloom.operators.triples import build_graph
 from tripleloom.plans.register_mapping import MAPPING_PREFIXES
 
 
@@ -66,15 +68,20 @@ _ESCAPED = r"""replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\
 @query("ntriples_lines", f"""
     SELECT '<{_DOC}' || CAST(doc_id AS VARCHAR) || '> <{_DOC}text> "' || {_ESCAPED} || '" .' AS value FROM documents
     UNION ALL
-    SELECT '<{_DOC}' || CAST(page_id AS VARCHAR) || '> <{_DOC}url> "' || url || '"^^<{XSD_ANY_URI}> .' FROM pages""")
+    SELECT '<{_DOC}' || CAST(page_id AS VARCHAR) || '> <{_DOC}url> "' || url || '"^^<{XSD_ANY_URI}> .' FROM pages
+    UNION ALL
+    SELECT '<{_DOC}' || CAST(page_id AS VARCHAR) || '> <{_DOC}next> <{_DOC}' || CAST(page_id AS VARCHAR) || '/next> .'
+    FROM pages""")
 def lines(spark, sf_dir):
-    def line(frame, number, predicate, value, datatype):
-        subject = F.concat(F.lit(_DOC), F.col(number).cast("string"))
-        return frame.select(triple_line(
-            subject, F.lit(_DOC + predicate), F.col(value), F.lit("literal"), F.lit(datatype)).alias("value"))
-
-    texts = line(table(spark, sf_dir, "documents"), "doc_id", "text", "text", XSD_STRING)
-    return texts.unionByName(line(table(spark, sf_dir, "pages"), "page_id", "url", "url", XSD_ANY_URI))
+    """Plain and typed literals and IRIs, through the renderer of the triple sink."""
+    maps = (
+        TriplesMap("documents", "SELECT * FROM documents", _DOC + "{doc_id}", (),
+                   (ObjectMap((_DOC + "text",), column="text", datatype=XSD_STRING),)),
+        TriplesMap("pages", "SELECT * FROM pages", _DOC + "{page_id}", (),
+                   (ObjectMap((_DOC + "url",), column="url", datatype=XSD_ANY_URI),
+                    ObjectMap((_DOC + "next",), template=_DOC + "{page_id}/next"))),
+    )
+    return build_graph(spark, maps, {m.table: table(spark, sf_dir, m.table) for m in maps}).lines()
 
 
 _PREFIXES = {**MAPPING_PREFIXES, "page": "http://", "word": "http://th"}

@@ -7,8 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tripleloom.functions.lexical import XSD_STRING
-
 # N-Triples ECHAR escapes (W3C Recommendation, production [153s]); the backslash comes first.
 _ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
 _NEEDS_ESCAPE = r'[\\"\n\r\t]'
@@ -22,18 +20,6 @@ def escape_literal(text: Column) -> Column:
     return F.when(text.rlike(_NEEDS_ESCAPE), escaped).otherwise(text)
 
 
-def triple_line(s: Column, p: Column, o: Column, o_kind: Column, o_datatype: Column) -> Column:
-    """One N-Triples statement; ``xsd:string`` is the default datatype and left out."""
-    literal = F.concat(
-        F.lit('"'), escape_literal(o), F.lit('"'),
-        F.when(o_datatype == XSD_STRING, F.lit("")).otherwise(
-            F.concat(F.lit("^^<"), o_datatype, F.lit(">"))),
-    )
-    iri = F.concat(F.lit("<"), o, F.lit(">"))
-    obj = F.when(o_kind == "iri", iri).otherwise(literal)
-    return F.concat(F.lit("<"), s, F.lit("> <"), p, F.lit("> "), obj, F.lit(" ."))
-
-
 def compact_iri(iri: Column, prefixes: Mapping[str, str]) -> Column:
     """``prefix:local`` for display; the longest namespace wins, unknown IRIs stay whole."""
     ordered = sorted(prefixes.items(), key=lambda item: (-len(item[1]), item[0]))

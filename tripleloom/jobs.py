@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import fields
 from pathlib import Path
 
@@ -18,6 +18,7 @@ if __name__ == "__main__":
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripleloom.operators.changes import snapshot_changes, snapshot_changes_bag
 from tripleloom.operators.rules import TriplesMap, maps_from_json
 from tripleloom.operators.triples import Options, Tables, build_graph, reconcile, unique_subjects
 from tripleloom.plans.register_mapping import OUTPUT_PREFIXES, REGISTER_MAPS
@@ -25,20 +26,46 @@ from tripleloom.plans.silver import Codes, silver_tables
 from tripleloom.session import fit_shuffle, prepare
 from tripleloom.sources import bronze as B
 from tripleloom.sources.sinks import write_ntriples, write_prefixes
-from tripleloom.sources.tables import register_views, table_loader, write_tables
+from tripleloom.sources.tables import (
+    drop_previous,
+    exists,
+    preview,
+    previous_path,
+    register_views,
+    replace_table,
+    table_loader,
+    write_tables,
+)
 
 # Encoded triples of a row take about this many times its stored size.
 TRIPLE_GROWTH = 8
 
 
-def load(spark: SparkSession, data_dir: str, bronze_dir: str, status_dir: str, fmt: str = "parquet") -> DataFrame:
-    """Full refresh of the bronze tables from ``data_dir``; returns and writes the manifest.
+def load(
+    spark: SparkSession, data_dir: str, bronze_dir: str, status_dir: str, fmt: str = "parquet", append: bool = False,
+    changes_dir: str | None = None, keys: Mapping[str, Sequence[str]] | None = None, **options: str | bool,
+) -> DataFrame:
+    """Full refresh, or with ``append`` an addition, of the bronze tables; returns and writes this load's manifest.
 
-    Listed tables are replaced, any other table found beside them is emptied.
+    A refresh replaces listed tables and empties any other found beside them.
+    With ``changes_dir`` it also writes the change set of each table that was
+    there before: by key where ``keys`` names one, else as row copies.
     """
-    B.clear_tables(spark, bronze_dir, fmt, keep=B.SCHEMAS)
-    B.load_tables(spark, data_dir, bronze_dir, fmt=fmt)
-    manifest = B.load_manifest(spark, data_dir, bronze_dir, fmt=fmt)
+    if append and changes_dir:
+        raise ValueError("an appending load has no change set")
+    if not append:
+        B.clear_tables(spark, bronze_dir, fmt, keep=B.SCHEMAS)
+    load_id = B.load_tables(spark, data_dir, bronze_dir, mode="append" if append else "overwrite", fmt=fmt,
+                            keep_previous=changes_dir is not None, **options)
+    for table in B.SCHEMAS if changes_dir else ():
+        path = f"{bronze_dir.rstrip('/')}/{table}"
+        if exists(spark, previous_path(path)):
+            old = spark.read.format(fmt).load(previous_path(path)).drop(B.SOURCE_FILE, B.LOAD_ID)
+            new, key = B.read_table(spark, bronze_dir, table, fmt), (keys or {}).get(table)
+            changes = snapshot_changes(old, new, key) if key else snapshot_changes_bag(old, new)
+            replace_table(changes, f"{changes_dir.rstrip('/')}/{table}", fmt)
+            drop_previous(spark, path)
+    manifest = B.load_manifest(spark, data_dir, bronze_dir, fmt=fmt, load_id=load_id)
     B.write_manifest(manifest, status_dir)
     return manifest
 
@@ -97,12 +124,24 @@ def _codes(text: str) -> Codes:
     return Codes(**dict(part.split("=", 1) for part in text.split(",")))
 
 
+def _key(text: str) -> tuple[str, list[str]]:
+    table, _, columns = text.partition("=")
+    return table, columns.split(",")
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
     command = commands.add_parser("load")
     for name in ("data", "bronze", "status"):
         command.add_argument(f"--{name}", required=True)
+    command.add_argument("--append", action="store_true", help="add to the tables instead of replacing them")
+    command.add_argument("--encoding", help="of the files, for example ISO-8859-1; UTF-8 without it")
+    command.add_argument("--escape", help="escape sign inside quoted fields")
+    command.add_argument("--multi-line", action="store_true", help="quoted fields may hold line ends")
+    command.add_argument("--changes", help="folder for the change set of each replaced table")
+    command.add_argument("--key", type=_key, action="append", default=[], help="table=COLUMN,... for the change set")
+    command.add_argument("--preview", action="store_true", help="show the first rows of each table")
     command = commands.add_parser("refine")
     for name in ("bronze", "silver"):
         command.add_argument(f"--{name}", required=True)
@@ -116,19 +155,26 @@ def main(argv: Sequence[str] | None = None) -> None:
     command.add_argument("--constants", action="store_true", help="emit constant objects")
     command.add_argument("--drop-null-iris", action="store_true", help="no triple for an IRI with a null part")
     command.add_argument("--check-unique", action="store_true", help="find maps whose triples need no shuffle")
+    for command in commands.choices.values():
+        command.add_argument("--format", default="parquet", help="table format")
     args = parser.parse_args(argv)
 
     spark = prepare(SparkSession.builder.appName(f"tripleloom-{args.command}").getOrCreate())
     if args.command == "load":
-        load(spark, args.data, args.bronze, args.status)
+        given = {"encoding": args.encoding, "escape": args.escape, "multiLine": args.multi_line or None}
+        load(spark, args.data, args.bronze, args.status, args.format, args.append, args.changes, dict(args.key),
+             **{k: v for k, v in given.items() if v is not None})
+        for table in B.SCHEMAS if args.preview else ():
+            print(table)
+            preview(B.read_table(spark, args.bronze, table, args.format), B.SCHEMAS[table].names[0]).show(truncate=False)
     elif args.command == "refine":
-        refine(spark, args.bronze, args.silver, args.codes)
+        refine(spark, args.bronze, args.silver, args.codes, args.format)
     else:
         options = Options(
             null_iri=None if args.drop_null_iris else "NONE", constants=args.constants,
             source="query" if args.run_queries else "table")
         maps = read_maps(spark, args.mapping) if args.mapping else REGISTER_MAPS
-        publish_tables(spark, args.silver, args.output, maps, options, check_unique=args.check_unique)
+        publish_tables(spark, args.silver, args.output, maps, options, args.format, args.check_unique)
 
 
 if __name__ == "__main__":

@@ -414,22 +414,29 @@ def reconcile(
     tables: Tables,
     options: Options = Options(),
 ) -> DataFrame:
-    """Rows of each map's table, rows that got a subject, and the difference.
+    """Rows of each map's table, rows of its source that got a subject, and the difference.
 
-    All maps over one table are counted in one aggregate of one scan.
+    The source is what the graph reads: the stored table, or with
+    ``source="query"`` the map's query, whose condition may drop rows.  All maps
+    over one stored table are counted in one aggregate of one scan, all its
+    column statistics from the same pass.  A subject of which the source has
+    only some columns raises, as it does when the graph is built.
     """
     load = tables if callable(tables) else tables.__getitem__
-    by_table: dict[str, list[TriplesMap]] = {}
+    by_source: dict[tuple[str, str | None], list[TriplesMap]] = {}
     for tm in maps:
         if tm.table:
-            by_table.setdefault(tm.table, []).append(tm)
+            by_source.setdefault((tm.table, tm.sql if options.source == "query" else None), []).append(tm)
     result = None
-    for table, group in by_table.items():
-        frame = load(table)
+    for (table, sql), group in by_source.items():
+        frame = load(table) if sql is None else load(table).sparkSession.sql(sql)
         fields = {f.name.lower(): f for f in frame.schema.fields}
         counts = [F.count(F.lit(1)).alias("rows_in")]
         for i, tm in enumerate(group):
-            known = [fields[v.lower()] for v in Template(tm.subject).variables if v.lower() in fields]
+            variables = Template(tm.subject).variables
+            known = [fields[v.lower()] for v in variables if v.lower() in fields]
+            if known and len(known) < len(variables):
+                raise ValueError(f"{tm.name}: {table} has only some columns of the subject {tm.subject}")
             if not known:
                 made = F.lit(0).cast("long")
             elif options.null_iri is None:
@@ -441,6 +448,9 @@ def reconcile(
                 made = F.count(F.lit(1))
             counts.append(made.alias(f"m{i}"))
         totals = frame.agg(*counts)
+        if sql is not None:
+            whole = load(table).agg(F.count(F.lit(1)).alias("rows_in"))
+            totals = whole.crossJoin(totals.drop("rows_in"))  # one row each
         per_map = totals.select(
             F.lit(table).alias("source_table"), "rows_in",
             F.inline(F.array(*[

@@ -2,21 +2,25 @@
 
 A stored table keeps the file of every row in ``_source_file`` (dictionary
 encoded, next to free), so the load manifest reads one small column of the
-table instead of the delimited text a second time.
+table instead of the delimited text a second time; ``_load_id`` tells loads apart.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Collection, Iterable, Mapping, Sequence
 from functools import partial
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleloom.session import run_together
+from tripleloom.sources.tables import _path, replace_table
 
-SOURCE_FILE = "_source_file"
+SOURCE_FILE, LOAD_ID = "_source_file", "_load_id"
 
 
 # Rows of a task are ordered by this column when stored, without a shuffle, so
@@ -87,13 +91,12 @@ def scan_files(
     reader = spark.read.schema(schema).options(header=False, sep=";", inferSchema=False)
     rows = reader.options(**options).csv(folder)
     matching = rows.filter(name_matches(F.col("_metadata.file_name"), fragments))
-    return matching.select(*schema.names, F.col("_metadata.file_name").alias(SOURCE_FILE))
+    return matching.select(*schema.names, _file_name().alias(SOURCE_FILE))
 
 
-def _folder(spark: SparkSession, path: str):
-    """Hadoop path and file system of a folder, local or shared."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return root, root.getFileSystem(spark._jsc.hadoopConfiguration())
+def _file_name() -> Column:
+    """The plain file name; the scan's own is percent-encoded, with plus signs as they are."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
 def list_files(
@@ -101,17 +104,15 @@ def list_files(
 ) -> DataFrame:
     """Selected files per table (``delta_table, file``), empty ones included.
 
-    Only names are listed, as the scan's own file index does; no file is opened.
+    Names come from a scan that reads no content; no file is opened.
     """
-    names = []
+    result = None
     for table in tables:
-        root, files = _folder(spark, f"{data_dir.rstrip('/')}/{table}")
-        found = files.listFiles(root, False)
-        while found.hasNext():
-            name = found.next().getPath().getName()
-            if not name.startswith(("_", ".")) and any(f.lower() in name.lower() for f in fragments):
-                names.append((table, name))
-    return spark.createDataFrame(names, "delta_table string, file string")
+        found = spark.read.format("binaryFile").load(f"{data_dir.rstrip('/')}/{table}").filter(
+            name_matches(F.col("_metadata.file_name"), fragments))
+        part = found.select(F.lit(table).alias("delta_table"), _file_name().alias("file"))
+        result = part if result is None else result.unionByName(part)
+    return result
 
 
 def load_tables(
@@ -122,20 +123,29 @@ def load_tables(
     fragments: Sequence[str] = FILE_FRAGMENTS,
     mode: str = "overwrite",
     fmt: str = "parquet",
+    keep_previous: bool = False,
     **options: str | bool,
-) -> None:
-    """Loads every table from ``data_dir/<table>`` with one read and one write.
+) -> str:
+    """Loads every table from ``data_dir/<table>`` with one read and one write; returns the load's id.
 
-    ``overwrite`` is the full refresh: a table is replaced as a whole, so a
-    repeated load leaves the same rows.  ``append`` adds to what is there.
+    ``overwrite`` is the full refresh: a table is replaced as a whole when its
+    rows are written, so a repeated load leaves the same rows and a failed one
+    the old.  ``append`` adds to what is there.  ``keep_previous`` leaves the
+    replaced rows in ``previous_path``.
     """
+    load_id = uuid.uuid4().hex
     def load(table: str) -> None:
         rows = scan_files(spark, f"{data_dir.rstrip('/')}/{table}", schemas[table], fragments, **options)
         if STORED_ORDER.get(table) in schemas[table].names:
             rows = rows.sortWithinPartitions(STORED_ORDER[table])
-        rows.write.mode(mode).format(fmt).save(f"{bronze_dir.rstrip('/')}/{table}")
+        rows, path = rows.withColumn(LOAD_ID, F.lit(load_id)), f"{bronze_dir.rstrip('/')}/{table}"
+        if mode == "overwrite":
+            replace_table(rows, path, fmt, keep_previous)
+        else:
+            rows.write.mode(mode).format(fmt).save(path)
 
     run_together([partial(load, table) for table in schemas])
+    return load_id
 
 
 def clear_tables(
@@ -143,22 +153,27 @@ def clear_tables(
 ) -> list[str]:
     """Empties every table folder under ``bronze_dir``, listed or not, keeping schemas.
 
-    Tables named in ``keep`` are left, for a load that replaces them anyway.
+    Tables named in ``keep`` are left, for a load that replaces them anyway, and
+    folders that hold no table of the format are not touched.
     """
-    root, files = _folder(spark, bronze_dir)
+    root, files = _path(spark, bronze_dir)
     cleared = []
     for status in files.listStatus(root) if files.exists(root) else []:
-        if status.isDirectory() and status.getPath().getName() not in keep:
+        name = status.getPath().getName()
+        if status.isDirectory() and name not in keep and not name.startswith((".", "_")):
             path = status.getPath().toString()
-            schema = spark.read.format(fmt).load(path).schema
-            spark.createDataFrame([], schema).write.mode("overwrite").format(fmt).save(path)
-            cleared.append(status.getPath().getName())
+            try:
+                schema = spark.read.format(fmt).load(path).schema
+            except (AnalysisException, Py4JJavaError):
+                continue
+            replace_table(spark.createDataFrame([], schema), path, fmt)
+            cleared.append(name)
     return sorted(cleared)
 
 
 def read_table(spark: SparkSession, bronze_dir: str, table: str, fmt: str = "parquet") -> DataFrame:
     """A stored bronze table with its declared columns only."""
-    return spark.read.format(fmt).load(f"{bronze_dir.rstrip('/')}/{table}").drop(SOURCE_FILE)
+    return spark.read.format(fmt).load(f"{bronze_dir.rstrip('/')}/{table}").drop(SOURCE_FILE, LOAD_ID)
 
 
 def load_manifest(
@@ -168,17 +183,26 @@ def load_manifest(
     tables: Iterable[str] = tuple(SCHEMAS),
     fragments: Sequence[str] = FILE_FRAGMENTS,
     fmt: str = "parquet",
+    load_id: str | None = None,
 ) -> DataFrame:
-    """Records per loaded file (``delta_table, file, record_count``), empty files included."""
+    """Records per loaded file (``delta_table, file, record_count``), empty files included.
+
+    With ``load_id`` only that load counts.  Rows of a file that the folder no
+    longer names fail the manifest rather than vanish from it.
+    """
     tables = list(tables)
     counts = None
     for table in tables:
         stored = spark.read.format(fmt).load(f"{bronze_dir.rstrip('/')}/{table}")
+        stored = stored if load_id is None else stored.filter(F.col(LOAD_ID) == load_id)
         part = stored.groupBy(F.col(SOURCE_FILE).alias("file")).agg(F.count(F.lit(1)).alias("record_count"))
         part = part.select(F.lit(table).alias("delta_table"), "file", "record_count")
         counts = part if counts is None else counts.unionByName(part)
     files = list_files(spark, data_dir, tables, fragments)
-    return files.join(counts, ["delta_table", "file"], "left").na.fill(0, ["record_count"])
+    named = files.withColumn("_named", F.lit(True)).join(counts, ["delta_table", "file"], "full_outer")
+    missing = F.raise_error(F.concat(F.lit("loaded file is not in the folder: "), "delta_table", F.lit("/"), "file"))
+    count = F.when(F.col("_named").isNull(), missing.cast("long")).otherwise(F.coalesce("record_count", F.lit(0)))
+    return named.select("delta_table", "file", count.cast("long").alias("record_count"))
 
 
 def load_totals(manifest: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from functools import partial
 
@@ -22,10 +23,55 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
         frame.createOrReplaceTempView(name)
 
 
+def _path(spark: SparkSession, path: str):
+    """Hadoop path and its file system, local or shared."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _path(spark, path)
+    return files.exists(place)
+
+
+def previous_path(path: str) -> str:
+    """Where ``replace_table`` keeps a table's previous rows; readers skip names with a leading dot."""
+    base, _, name = path.rstrip("/").rpartition("/")
+    return f"{base}/.{name}-previous"
+
+
+def drop_previous(spark: SparkSession, path: str) -> None:
+    place, files = _path(spark, previous_path(path))
+    files.delete(place, True)
+
+
+def replace_table(frame: DataFrame, path: str, fmt: str = "parquet", keep_previous: bool = False) -> None:
+    """Writes a table beside its old files and swaps them when all rows are written.
+
+    A write that fails leaves the old table as it was.  The swap is two renames;
+    a job that ends between them leaves the old rows in ``previous_path``, from
+    where the next call brings them back first.
+    """
+    spark, path = frame.sparkSession, path.rstrip("/")
+    base, _, name = path.rpartition("/")
+    fresh = f"{base}/.{name}-{uuid.uuid4().hex}"
+    (old, files), (new, _), (kept, _) = _path(spark, path), _path(spark, fresh), _path(spark, previous_path(path))
+    if files.exists(kept) and not files.exists(old):
+        files.rename(kept, old)
+    frame.write.format(fmt).save(fresh)
+    files.delete(kept, True)
+    if files.exists(old) and not files.rename(old, kept):
+        raise OSError(f"cannot move {path}")
+    if not files.rename(new, old):
+        raise OSError(f"cannot move {fresh} to {path}; the old rows are in {previous_path(path)}")
+    if not keep_previous:
+        files.delete(kept, True)
+
+
 def write_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "parquet") -> None:
-    """Replaces each named table under ``base``; each write is atomic per table."""
+    """Replaces each named table under ``base`` when all its rows are written."""
     def write(name: str) -> None:
-        tables[name].write.mode("overwrite").format(fmt).save(f"{base.rstrip('/')}/{name}")
+        replace_table(tables[name], f"{base.rstrip('/')}/{name}", fmt)
 
     run_together([partial(write, name) for name in tables])
 
