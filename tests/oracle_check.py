@@ -63,7 +63,7 @@ def main(argv):
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = connect(sf_dir), driver.oracle_sql(), []
     for name, run in driver.queries().items():
-        if wanted not in name:
+        if wanted not in name or name not in sqls:
             continue
         start = time.time()
         try:

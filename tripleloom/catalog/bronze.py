@@ -17,7 +17,9 @@ _PART = ("PART",)
 
 
 def _write_files(frame, folder, mode="overwrite"):
-    frame.write.mode(mode).option("sep", ";").option("header", False).csv(folder)
+    # The writer trims fields unless told not to.
+    frame.write.mode(mode).options(sep=";", header=False, ignoreLeadingWhiteSpace=False,
+                                   ignoreTrailingWhiteSpace=False).csv(folder)
 
 
 def _written(spark, sf_dir, *names):

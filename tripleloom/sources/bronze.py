@@ -91,12 +91,12 @@ def scan_files(
     reader = spark.read.schema(schema).options(header=False, sep=";", inferSchema=False)
     rows = reader.options(**options).csv(folder)
     matching = rows.filter(name_matches(F.col("_metadata.file_name"), fragments))
-    return matching.select(*schema.names, _file_name().alias(SOURCE_FILE))
+    return matching.select(*schema.names, _plain_name(F.col("_metadata.file_name")).alias(SOURCE_FILE))
 
 
-def _file_name() -> Column:
-    """The plain file name; the scan's own is percent-encoded, with plus signs as they are."""
-    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+def _plain_name(encoded: Column) -> Column:
+    """A file name as it is stored; a scan's own are percent-encoded, with plus signs as they are."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
 
 
 def list_files(
@@ -104,15 +104,15 @@ def list_files(
 ) -> DataFrame:
     """Selected files per table (``delta_table, file``), empty ones included.
 
-    Names come from a scan that reads no content; no file is opened.
+    Names come from the scan's file index, one call per table; no file is opened.
     """
-    result = None
+    paths = []
     for table in tables:
-        found = spark.read.format("binaryFile").load(f"{data_dir.rstrip('/')}/{table}").filter(
-            name_matches(F.col("_metadata.file_name"), fragments))
-        part = found.select(F.lit(table).alias("delta_table"), _file_name().alias("file"))
-        result = part if result is None else result.unionByName(part)
-    return result
+        found = spark.read.format("binaryFile").load(f"{data_dir.rstrip('/')}/{table}").inputFiles()
+        paths += [(table, path) for path in found]
+    name = F.element_at(F.split("path", "/"), -1)
+    named = spark.createDataFrame(paths, "delta_table string, path string").filter(name_matches(name, fragments))
+    return named.select("delta_table", _plain_name(name).alias("file"))
 
 
 def load_tables(
