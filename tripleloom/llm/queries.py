@@ -13,6 +13,7 @@ from tripleloom.llm.feistel import TRIAL_KEY, pseudonymise
 from tripleloom.llm.katz import katz_scores
 from tripleloom.llm.langid import identify
 from tripleloom.llm.minmax import near_duplicates
+from tripleloom.llm.oracle import CONTAMINATION, DIVERGENCE
 from tripleloom.llm.packing import pack
 from tripleloom.llm.qda import quality
 from tripleloom.llm.reshard import reshard
@@ -21,8 +22,11 @@ from tripleloom.llm.toxicity import toxicity
 from tripleloom.llm.winnow import contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: No operator of this list can be written in SQL with whole results; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: The others have trained scores, ciphers, tokens or hashing that SQL has not; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op7_winnowing_decontamination": CONTAMINATION,
+    "op9_distribution_divergence": DIVERGENCE,
+}
 
 
 def _query(run):
@@ -79,7 +83,8 @@ def op8_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence(read_table(spark, sf_dir, "documents"))
+    rows = divergence(read_table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("js_chars", "js_words")})
 
 
 @_query
