@@ -160,3 +160,17 @@ def test_shuffles_are_bounded_and_scratch_is_shared(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         scratch_dir(Cluster, "x")
+
+
+def test_unique_keys_are_not_counted(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [{"CNPJ_BASICO": str(i), "COD_NAT_JURIDICA": "1"} for i in range(9)]
+        heads = [{"CNPJ_BASICO": "3", "CNPJ_ORDEM": "1", "CNPJ_DV": "0", "MATRIZ_FILIAL": "1"}]
+        frame = silver(spark, "RFB_EMPRESA", empresa=rows, estabelecimento=heads, nat_ju=[{"CODIGO": "1", "NATUREZA_JURIDICA": "SA"}])
+        assert frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 8
+        assert {(r.CNPJ_RAIZ, r.ID_ESTABELECIMENTO_MATRIZ) for r in frame.collect() if r.NATUREZA_JURIDICA == "SA"} == {
+            (str(i), "310" if i == 3 else None) for i in range(9)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,8 @@ def hot_keys(frame: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def left_lookup(
-    frame: DataFrame, lookups: Mapping[str, DataFrame], hot_rows: int = HOT_ROWS, distinct_rows: bool = False
+    frame: DataFrame, lookups: Mapping[str, DataFrame], hot_rows: int = HOT_ROWS, distinct_rows: bool = False,
+    unique: Collection[str] = (),
 ) -> DataFrame:
     """``frame`` with the columns of each lookup, given by its key; one row per key in each.
 
@@ -47,9 +48,11 @@ def left_lookup(
 
     Each row draws its part once, so that a repeated task draws the same: at
     random over a stored table, whose copies of a row must spread too, or from
-    the row itself when ``frame`` is computed and its rows are distinct.
+    the row itself when ``frame`` is computed and its rows are distinct.  Keys
+    named in ``unique`` have no hot values in ``frame``: they are joined plainly,
+    without counting their rows first.
     """
-    small = {k: t for k, t in lookups.items() if planned_bytes(t) <= broadcast_limit(frame)}
+    small = {k: t for k, t in lookups.items() if k in unique or planned_bytes(t) <= broadcast_limit(frame)}
     large = {k: t for k, t in lookups.items() if k not in small}
     joined = frame
     if large:

@@ -128,7 +128,8 @@ def company(bronze: Tables, codes: Codes) -> DataFrame:
         F.min("head").alias("ID_ESTABELECIMENTO_MATRIZ"),
         F.bool_or("mei").alias("mei"), F.bool_or("simples").alias("simples"))
     legal = lookup(bronze["nat_ju"], "CODIGO", "NATUREZA_JURIDICA", "COD_NAT_JURIDICA", "NATUREZA_JURIDICA")
-    rows = left_lookup(bronze["empresa"], {"CNPJ_BASICO": known, "COD_NAT_JURIDICA": legal})
+    # The register has one row per company.
+    rows = left_lookup(bronze["empresa"], {"CNPJ_BASICO": known, "COD_NAT_JURIDICA": legal}, unique={"CNPJ_BASICO"})
     chosen = F.array_compact(F.array(F.when(F.col("mei"), "MEI"), F.when(F.col("simples"), "SIMPLES")))
     rows = rows.withColumn("option", F.explode_outer(chosen))
     return rows.select(
