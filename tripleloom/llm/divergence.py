@@ -30,7 +30,7 @@ COMMON_WORDS = {
 }
 #: Least counts for the two histograms to decide, and the distances that a kept document may have.
 CHARS_GUARD, WORDS_GUARD = 200, 30
-CHARS_LIMIT, WORDS_LIMIT = 0.40, 0.75
+CHARS_LIMIT, WORDS_LIMIT = 0.32, 0.90
 CLASSES = ("lower", "upper", "accented", "digit", "space", "line", "stop", "shout", "symbol", "other")
 _WHITE = " \t\n\x0b\x0c\r"
 
