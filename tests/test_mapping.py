@@ -79,7 +79,8 @@ def test_silver_edge_rows(spark):
     company = {r.CNPJ_RAIZ: r for r in t["RFB_EMPRESA"].collect()}
     assert len(company) == 2 and company["1"].CAPITAL_SOCIAL == 10.5 and company["2"].CAPITAL_SOCIAL is None
     assert company["1"].ID_ESTABELECIMENTO_MATRIZ == "1010" and company["1"].NATUREZA_JURIDICA == "one"
-    assert company["1"].ID_OPCAO_SIMPLES == "1_MEI" and company["2"].ID_OPCAO_SIMPLES is None
+    assert {(r.CNPJ_RAIZ, r.ID_OPCAO_SIMPLES) for r in t["RFB_EMPRESA"].collect()} == {
+        ("1", "1_MEI"), ("1", "1_SIMPLES"), ("2", None)}
     branch = {r.CNPJ: r for r in t["RFB_ESTABELECIMENTO"].collect()}
     assert branch["1010"].DATA_INICIO_ATIV is None and branch["3010"].RAZAO_SOCIAL is None
     assert str(branch["3010"].DATA_INICIO_ATIV) == "2020-01-31"
