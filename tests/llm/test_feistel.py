@@ -49,6 +49,32 @@ def test_what_fails_validation_stays():
     assert replace(CLEAN, Permutation(TRIAL_KEY)) == (CLEAN, {})
 
 
+@pytest.mark.parametrize("kind,value,text", [
+    ("card", "4111 1111 1111 1111", "4111 1111 1111 1111 123"), ("card", "4111 1111 1111 1111", "4111 1111 1111 1111 12/27"),
+    ("card", "4111111111111111", "4111111111111111 5 times"), ("card", "4111 1111 1111 1111", "no 12 4111 1111 1111 1111 x"),
+    ("card", "3782 822463 10005", "3782 822463 10005 1234"), ("card", "4111-1111-1111-1111", "4111-1111-1111-1111 999"),
+    ("iban", "ES91 2100 0418 4502 0005 1332", "IBAN ES91 2100 0418 4502 0005 1332 BIC"),
+    ("iban", "BE68539007547034", "BE68539007547034 BIC"), ("iban", "BE68 5390 0754 7034", "BE68 5390 0754 7034 BELGIUM NR 5"),
+    ("iban", "BE68 5390 0754 7034", "NR12 ABCD BE68 5390 0754 7034"), ("ssn", "219-09-9999", "1234 219-09-9999"),
+    ("phone", "+49 30 1234 5678", "+49 30 1234 5678 9012 1234"), ("card", "4111111111111111", "+1 22 4111111111111111"),
+    ("card", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 123")])
+def test_values_beside_other_words(kind, value, text):
+    for key in range(30):
+        new, found = replace(text, Permutation(b"%d" % key))
+        assert found == {kind: 1} and value not in new
+        left, right = text.split(value)
+        assert new.startswith(left) and new.endswith(right) and len(new) == len(text)
+        assert replace(new, Permutation(b"%d" % key, undo=True)) == (text, found)
+
+
+def test_what_follows_a_card_does_not_change_its_pseudonym():
+    alone = replace("4111 1111 1111 1111", Permutation(TRIAL_KEY))[0]
+    for n in range(200):
+        assert replace(f"4111 1111 1111 1111 {n}", Permutation(TRIAL_KEY))[0] == f"{alone} {n}"
+    two = "4111 1111 1111 1111 123 5500 0000 0000 0004 321"
+    assert replace(two, Permutation(TRIAL_KEY))[1] == {"card": 2}
+
+
 def test_long_texts_stay_linear():
     for text in ("a" * 400_000, "1" * 400_000, "1-" * 200_000, "a." * 200_000 + "@", "1 " * 200_000):
         replace(text + " 1@", Permutation(TRIAL_KEY))

@@ -12,6 +12,12 @@ numbers, IPv4 addresses, international phone numbers, dates from 1900 to 2099
 in ISO or point, slash and dash forms, the local part of e-mail addresses, and
 hexadecimal keys.  Numbers that fail validation stay as they are.
 
+Cards, IBANs and phones may run on into what stands behind them: where the
+whole run fails its check, its groups are tried as the value's end and then as
+its start; a card is then one group, groups of four or more digits but for the
+last, or 16 single digits, so that tables of small numbers stay.  If a pseudonym would be read with other bounds than its value, the
+permutation is applied again, so that undoing finds the same places.
+
 A null text stays null and an empty one empty, with no replacements.  Repeated
 rows get equal results.  Extra columns pass only if named in ``carry``.
 """
@@ -44,6 +50,17 @@ _PATTERN = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d|-\d))")
 _MAYBE = re.compile(r"[0-9@]")
+_GROUP = re.compile(r"[A-Za-z0-9]+")
+#: Kinds whose pattern may take in more than the value.
+_LOOSE = ("card", "iban", "phone")
+#: Digits of a card in the order in which a run is read: the usual lengths first, so that what follows does not matter.
+_CARD_SIZES = (16, 15, 14, 19, 18, 17, 13)
+#: Signs of a country's IBAN, by the registry.
+_IBAN_SIZES = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in countries.split()}
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _AREAS = [a for a in range(1, 900) if a != 666]
 
@@ -201,21 +218,72 @@ def _email(text: str, permute: Permutation) -> str | None:
 _MAKE = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card, "iban": _iban, "date": _date, "key": _key}
 
 
+_TWICE = {str(d): 2 * d - 9 * (d > 4) for d in range(10)}
+
+
+def _valid(kind: str, text: str) -> bool:
+    if kind == "card":  # many are tried
+        digits = text.replace(" ", "").replace("-", "")
+        return (sum(map(int, digits[::-2])) + sum(map(_TWICE.__getitem__, digits[-2::-2]))) % 10 == 0 and len(set(digits)) > 1
+    return _MAKE[kind](text, lambda value, bound, tweak: value) is not None
+
+
+def _ends(kind: str, text: str, inner: bool) -> list[int]:
+    """Where the value at the start of a match may end, by its groups, in the order of trial; ``inner`` ones begin in a failed run."""
+    if kind not in _LOOSE:
+        return [len(text)]
+    at, size, least, most = {}, 0, 99, 0
+    for group in _GROUP.finditer(text):
+        n = len(group[0])
+        size, most = size + n, max(most, n)
+        if kind != "card" or least >= 4 or not inner and (group.end() == len(text) or size == 16 and most == 1):
+            at[size] = group.end()
+        least = min(least, n)
+    if kind == "card":
+        return [at[n] for n in _CARD_SIZES if n in at]
+    if kind == "phone":
+        return [at[n] for n in reversed(at)]
+    n = _IBAN_SIZES.get(text[:2])
+    return ([at[n]] if n in at else []) + [at[k] for k in reversed(at) if k == size or (n is None and k >= 15)]
+
+
+def _find(text: str, at: int) -> tuple[int, int, str, int] | None:
+    """Bounds and kind of the first value from ``at`` on, and the start of the failed runs that reach into it."""
+    first = reach = at
+    while match := _PATTERN.search(text, at):
+        kind = match.lastgroup if match.lastgroup in _MAKE else "date"
+        start = match.start()
+        if start >= reach:
+            first = start
+        for end in _ends(kind, match[0], start < reach):
+            if _valid(kind, match[0][:end]):
+                return start, start + end, kind, first
+        at = match.end()
+        if kind in _LOOSE:
+            reach, at = max(reach, at), _GROUP.search(text, start).end()
+    return None
+
+
 def replace(text: str, permute: Permutation) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind were put in."""
     found: dict[str, int] = {}
     if not _MAYBE.search(text):
         return text, found
-
-    def new(match: re.Match) -> str:
-        kind = match.lastgroup if match.lastgroup in _MAKE else "date"
-        made = _MAKE[kind](match[0], permute)
-        if made is None:
-            return match[0]
+    out, at = [], 0
+    while place := _find(text, at):
+        start, end, kind, first = place
+        made = _MAKE[kind](text[start:end], permute)
+        if kind in _LOOSE or first < start:
+            # Read with what stands around it, the pseudonym must have the bounds of the value.
+            low = max(first - 1, 0)
+            before, after = text[low:start], text[end:end + 80]
+            while (again := _find(before + made + after, max(first, at) - low)) is None or again[:3] != (
+                    start - low, start - low + len(made), kind):
+                made = _MAKE[kind](made, permute)
+        out += [text[at:start], made]
         found[kind] = found.get(kind, 0) + 1
-        return made
-
-    return _PATTERN.sub(new, text), found
+        at = end
+    return "".join(out) + text[at:], found
 
 
 def pseudonymise(docs: DataFrame, key: bytes, carry: tuple[str, ...] = (), undo: bool = False) -> DataFrame:
