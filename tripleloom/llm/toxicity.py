@@ -60,9 +60,13 @@ def _sign(c: str) -> int:
 
 _CODE = np.array([_sign(chr(c)) for c in range(_LIMIT)] + [_OTHER], dtype=np.uint8)
 
+# Units set apart (a star stands among the separators, and may still be a vowel); signs between letters, before
+# and behind them (not only exclamation marks); letters repeated.  Possessive runs keep the scan linear.
 _SPAN = re.compile(
-    r"(?<=[^\W\d_])[0-9@$!|+*#(€]{1,3}(?=[^\W\d_])|(?<!\S)[0-9@$!|+(](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0-9@$](?!\S)"
-    r"|(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)|([^\W\d_])\1\1")
+    r"(?P<apart>(?<!\w)(?:[^\W_]|[@$!|+#(€])(?:[ .\-_*]++(?:[^\W_]|[@$!|+#(€])(?!\w)){2,}+)"
+    r"|(?<=[^\W\d_])[0-9@$!|+*#(€]++(?=[^\W\d_])|(?<![^\s\"'“‘«\[])[0-9@$!|+*#(€]++(?=[^\W\d_])"
+    r"|(?<=[^\W\d_])!*+[0-9@$|+*#(€][0-9@$!|+*#(€]*+(?=[.,;:?)\]\"'”’»]*+(?!\S))|([^\W\d_])\2\2")
+_LETTER = re.compile(r"[^\W\d_]")
 _EDGE = re.compile(r"\s")
 
 
@@ -84,18 +88,19 @@ class CharacterModel:
     def __init__(self, counts: np.ndarray):
         table = counts.reshape(_N, _N, _N) + 0.1
         self.log = np.log(table / table.sum(axis=2, keepdims=True)).tolist()
-        self._known: dict[str, str] = {}
+        self._known: dict[tuple[str, bool], str] = {}
 
-    def restore(self, span: str) -> str:
-        if span not in self._known:
+    def restore(self, span: str, apart: bool = False) -> str:
+        """The likeliest reading; ``apart`` spans may lose their separators."""
+        key = span, apart
+        if key not in self._known:
             if len(self._known) >= KEPT_SPANS:
                 self._known = {}
-            self._known[span] = self._decode(span)
-        return self._known[span]
+            self._known[key] = self._decode(span, apart)
+        return self._known[key]
 
-    def _decode(self, span: str) -> str:
+    def _decode(self, span: str, apart: bool) -> str:
         span = re.sub(r"(.)\1{3,}", r"\1\1\1", span)
-        apart = len(re.findall(r"[^\W\d_]", span)) * 2 - 1 <= len(span) and re.search(r"[ .\-_*]", span)
         # A state is the last two signs; it keeps its weight and the way to it.
         states = {(0, 0): (0.0, None)}
         before = ""
@@ -109,9 +114,11 @@ class CharacterModel:
             else:
                 options += [(ord(x) - 96, -1.0) for x in LEET.get(c, "")]
                 if apart and c in _SEPARATORS:
-                    options.append((None, 0.0))
+                    options += [(None, 0.0), (0, -1.0)]
                 else:
                     options.append((0, -2.0))
+                    if c == before:
+                        options.append((None, -2.0))
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (weight, way) in states.items():
                 for code, cost in options:
@@ -123,7 +130,9 @@ class CharacterModel:
                         key, value, new = (b, code), weight + cost + self.log[a][b][code], (code, way)
                     if key not in after or after[key][0] < value:
                         after[key] = (value, new)
-            states, before = after, c
+            states = after
+            if not apart or c not in _SEPARATORS:
+                before = c
         way = max(states.items(), key=lambda s: s[1][0] + self.log[s[0][0]][s[0][1]][0])[1][1]
         out = []
         while way:
@@ -138,16 +147,17 @@ class CharacterModel:
         out, at = [], 0
         for match in _SPAN.finditer(text):
             low, high = match.span()
-            if low < at:
+            apart = match["apart"] is not None
+            if low < at or apart and not _LETTER.search(match[0]):
                 continue
-            if " " not in match[0]:  # the whole word around the sign
+            if not apart:  # the whole word around the sign
                 end = _EDGE.search(text, high)
                 high = end.start() if end else len(text)
                 while low > at and not text[low - 1].isspace():
                     low -= 1
             word = text[low:high]
-            core = word.rstrip("!?*#$%&.,;:|")
-            out += [text[at:low], " ", self.restore(core), " ", word[len(core):]]
+            core = word if apart else word.rstrip("!?%&.,;:")
+            out += [text[at:low], " ", self.restore(core, apart), " ", word[len(core):]]
             at = high
         return "".join(out) + text[at:] if out else text
 
