@@ -65,7 +65,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length."""
-    return pack(docs, public_tokenizers.path(TOKENIZER), with_ids=False).select(
+    return pack(docs, public_tokenizers.path(TOKENIZER), with_ids=False, added=True).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -34,6 +34,25 @@ def test_units_encode_as_whole_texts():
         assert ids[bounds[i]:bounds[i + 1]].tolist() == expected(tokenizer, text), repr(text)
 
 
+def test_added_tokens_keep_their_ids():
+    tokenizer = Tokenizer.from_file(PATH)
+    draw, end = random.Random(6), "<|endoftext|>"
+    signs = [" ", "  ", "\n", "a", "Bc", "é", end, end, "<|endof", "text|>", "日", "<", "1"]
+    texts = [*ODD, end, end + end, f" {end} ", f"a  {end}  b", f"a {end}", "<|endof", "text|> a", "x" + end, end + "\n"]
+    texts += ["".join(draw.choices(signs, k=draw.randrange(1, 20))) for _ in range(3000)]
+    ids, bounds = Encoder(PATH, added=True)(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == expected(tokenizer, text), repr(text)
+
+
+def test_query_gives_added_tokens_their_ids(spark, tmp_path):
+    spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = expected(Tokenizer.from_file(PATH), "a <|endoftext|> b")
+    from tripleloom.llm.queries import QUERIES
+    rows = QUERIES["op5_power_of_two_packing"](spark, str(tmp_path)).collect()
+    assert {r.doc_tokens for r in rows} == {len(want)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 1023, 1024, 1025, 5000])
 def test_pieces_are_powers_of_two(n):
     got = pieces(n)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -58,15 +59,22 @@ class Encoder:
     The vocabulary's numbers are the order of its merges, so the file's own
     vocabulary gives the ranks of the faster encoder used here; the tests hold
     its ids against the file's tokenizer.  New units are encoded many in one
-    text: their ids are told apart by the bytes that each id stands for.
+    text: their ids are told apart by the bytes that each id stands for.  With
+    ``added`` the file's added tokens are found in texts, as its tokenizer does
+    by default; what lies between two of them is encoded on its own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(path, encoding="utf-8") as file:
-            names = json.load(file)["model"]["vocab"]
+            content = json.load(file)
+        names, tokens = content["model"]["vocab"], content["added_tokens"] if added else []
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+            raise ValueError("added tokens that take in or look at their surroundings are not supported")
+        self._added = {t["content"].encode(): t["id"] for t in tokens}
+        self._literal = re.compile(b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True))))
         signs = _byte_signs()
         ranks = {bytes(signs[c] for c in name): number for name, number in names.items()
                  if all(c in signs for c in name) and name not in _SPECIAL}
@@ -83,6 +91,9 @@ class Encoder:
 
     def _learn(self, units: list[bytes]) -> None:
         """Gives the units the next numbers; those that could melt with a neighbour are encoded alone."""
+        literals = [u for u in units if u in self._added]
+        self._add(literals, np.array([self._added[u] for u in literals], dtype=np.uint32), np.ones(len(literals), dtype=np.int64))
+        units = [u for u in units if u not in self._added]
         texts = [u.decode() for u in units]
         alone = np.array([t[0] not in " \n" or t[-1].isspace() for t in texts], dtype=bool)
         single = np.flatnonzero(alone).tolist()
@@ -113,6 +124,22 @@ class Encoder:
             self._ids, self._sizes = [np.concatenate(self._ids)], [np.concatenate(self._sizes)]
         return np.array([self._known[u] for u in units], dtype=np.int64)
 
+    def _literals(self, data: np.ndarray, at: np.ndarray) -> tuple[list[int], list[int]]:
+        """Bounds of the added tokens within texts."""
+        starts, ends, low = [], [], 0
+        if not self._added:
+            return starts, ends
+        view = memoryview(np.ascontiguousarray(data))
+        while match := self._literal.search(view, low):
+            start, low = match.span()
+            border = int(at[np.searchsorted(at, start, side="right")])
+            if low <= border:
+                starts.append(start)
+                ends.append(low)
+            else:
+                low = start + 1  # it runs into the next text
+        return starts, ends
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end token, and the texts' bounds in them."""
         data, at = utf8(texts)
@@ -121,6 +148,10 @@ class Encoder:
         if len(data):
             cut[:-2] = _SPACE[data[:-1]] & _VISIBLE[data[1:]]
         cut[at[1:][at[1:] > 0] - 1] = False  # what follows a last blank is another text
+        starts, ends = (np.array(x, dtype=np.int64) for x in self._literals(data, at))
+        cut[starts[starts > 0] - 1] = False  # as at the end of a text
+        cut[starts] = True
+        cut[ends] = True
         cut[at] = True
         edges = np.flatnonzero(cut)
         if len(edges) < 2:
@@ -140,9 +171,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One encoder per worker process, with the units of its earlier tasks."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 def pieces(n: int, length: int = LENGTH) -> list[int]:
@@ -151,9 +182,9 @@ def pieces(n: int, length: int = LENGTH) -> list[int]:
     return [length] * (n // length) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _cut(path: str, length: int, with_ids: bool):
+def _cut(path: str, length: int, with_ids: bool, added: bool):
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, added)
         for batch in batches:
             ids, bounds = encode(batch.column("text"))
             ids = ids.astype("<u4")
@@ -180,18 +211,20 @@ def _cut(path: str, length: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = True,
+         added: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket and ids of every piece.
 
     ``bucket`` is the binary logarithm of the length, by which
     ``write_buckets`` lays the pieces out.  ``length`` must be a power of two.
+    With ``added`` the tokenizer file's added tokens keep their own ids.
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    cut = stored(base.mapInArrow(_cut(tokenizer, length, with_ids), fields + (", ids array<int>" if with_ids else "")),
+    cut = stored(base.mapInArrow(_cut(tokenizer, length, with_ids, added), fields + (", ids array<int>" if with_ids else "")),
                  "pieces")
     # Numbers of the stored pieces: a repeated task reads the same file and gives the same ones.
     numbered = cut.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -60,7 +60,7 @@ def op4_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                with_ids=False).select(
+                with_ids=False, added=True).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
