@@ -91,3 +91,61 @@ DIVERGENCE = f"""
         NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
             AND coalesce(js_chars, 0) <= {CHARS_LIMIT} AND coalesce(js_words, 0) <= {WORDS_LIMIT} AS kept,
         round(js_chars, 6) AS js_chars, round(js_words, 6) AS js_words FROM base"""
+
+
+# The remainder of a polynomial division, a byte (0 or more) or a bit (-1) at a time.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+TRIE = f"""
+    WITH t AS (SELECT conv_id, len(role) || ':' || role || txt AS turn, len(txt) AS size,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt) AS i
+               FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations
+                     WHERE conv_id IS NOT NULL)),
+    c AS (SELECT conv_id, conv_id - conv_id % 100 AS home, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+    r AS (SELECT c.conv_id, 0 AS own, i, turn, size FROM c JOIN t ON t.conv_id = home AND i <= h
+          UNION ALL SELECT c.conv_id, 1, i, turn, size FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+    p AS (SELECT conv_id, list(turn ORDER BY own, i) AS turns, list(size ORDER BY own, i) AS sizes FROM r GROUP BY conv_id),
+    a AS (SELECT c.conv_id, coalesce(turns, []) AS turns, coalesce(sizes, []) AS sizes FROM c LEFT JOIN p USING (conv_id)),
+    m AS (SELECT conv_id, d, turns[1:d] AS k, turns[1:d - 1] AS up, d = len(turns) AS ended,
+              CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+          FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM a)),
+    n AS (SELECT k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+              any_value(up) AS up, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+              FILTER (ended), '')) AS ends_sha256
+          FROM m GROUP BY k, d),
+    kids AS (SELECT up AS k, depth - 1 AS depth, count(*) AS n FROM n WHERE depth > 0 GROUP BY ALL),
+    s AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM n LEFT JOIN kids USING (k, depth)),
+    below AS (SELECT k[1:d] AS k, d AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+              FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM s) GROUP BY ALL)
+    SELECT s.conv_id, s.depth, u.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves,
+        CAST(saved_tokens AS BIGINT) AS saved_tokens, s.ends_sha256
+    FROM s JOIN below USING (k, depth) LEFT JOIN s u ON u.k = s.up AND u.depth = s.depth - 1"""
+
+_ALPHABET = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+
+SOURCE_DIVERGENCE = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all({_LOWERED}, {_ALPHABET}) AS words FROM documents),
+    w AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+    langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY ALL),
+    c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    totals AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+    g AS (SELECT DISTINCT d.lang, d.source, coalesce(v, 0) AS v, coalesce(totals.n, 0) AS n FROM d
+          LEFT JOIN langs USING (lang) LEFT JOIN totals USING (lang, source)),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+              CAST(1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.n + g.v) AS HUGEINT) AS p,
+              CAST(1 + (1000000000 * (k.n + 1)) // (langs.n + langs.v) AS HUGEINT) AS q
+          FROM g JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN c USING (lang, source, term)),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+              FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+    ranked AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+        FROM g a JOIN g b USING (lang) LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source
+            AND pairs.item = b.source WHERE a.source <> b.source
+        UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked)
+    WHERE part = 'pair' OR rank <= 200"""

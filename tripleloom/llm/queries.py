@@ -8,17 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleloom.llm.bestfit import pack_best_fit
 from tripleloom.llm.divergence import divergence
 from tripleloom.llm.feistel import TRIAL_KEY, pseudonymise
+from tripleloom.llm.fptree import source_divergence
 from tripleloom.llm.katz import katz_scores
 from tripleloom.llm.langid import identify
 from tripleloom.llm.minmax import near_duplicates
-from tripleloom.llm.oracle import CONTAMINATION, DIVERGENCE
+from tripleloom.llm.oracle import CONTAMINATION, DIVERGENCE, SOURCE_DIVERGENCE, TRIE
 from tripleloom.llm.packing import pack
 from tripleloom.llm.qda import quality
 from tripleloom.llm.reshard import reshard
 from tripleloom.llm.store import read_table
 from tripleloom.llm.toxicity import toxicity
+from tripleloom.llm.trie import prefix_trie, rebuilt, turn_lists
 from tripleloom.llm.winnow import contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op7_winnowing_decontamination": CONTAMINATION,
     "op9_distribution_divergence": DIVERGENCE,
+    "op11_peeled_prefix_trie": TRIE,
+    "op13_fp_tree_divergence": SOURCE_DIVERGENCE,
 }
 
 
@@ -90,3 +95,19 @@ def op9_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(read_table(spark, sf_dir, "documents"), TRIAL_KEY)
+
+
+@_query
+def op11_peeled_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(turn_lists(read_table(spark, sf_dir, "conversations"))))
+
+
+@_query
+def op12_histogram_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                         with_ids=False, added=True)
+
+
+@_query
+def op13_fp_tree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents"))
