@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tripleloom.llm.fit import labelled_sample
 from tripleloom.llm.qda import fit, quality, score
 
 SCHEMA = "doc_id long, text string, score string, quality string"
@@ -65,3 +66,10 @@ def test_labels_of_held_out_documents_are_not_used(spark, tables):
     some = docs.limit(300)
     first = {r.doc_id: r.score for r in quality(docs, labels).collect()}
     assert some.count() == 300 and {r.doc_id: r.score for r in quality(docs, turned).collect()} == first
+
+
+def test_one_row_per_labelled_id(spark):
+    docs = spark.range(20_000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 0)], "doc_id long, quality int")
+    picks = [sorted(map(tuple, labelled_sample(d, labels, "quality", F.lit(True), 10).collect())) for d in (docs, docs.orderBy(F.desc("text")))]
+    assert [r[0] for r in picks[0]] == [0, 1] and picks[0] == picks[1]

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tripleloom.llm import toxicity as module
 from tripleloom.llm.toxicity import LETTERS, CharacterModel, character_counts, coded, runs, toxicity
 
 E_ACUTE = LETTERS.index("é") + 1
@@ -52,6 +53,52 @@ def test_mixed_disguises_reach_the_decoder(characters):
         assert characters.clear(clean) == clean
 
 
+def exhaustive(model, span, apart):
+    """The best reading of a short span by trying every one."""
+    best = (-1e99, "")
+
+    def go(i, a, b, before, weight, out):
+        nonlocal best
+        if i == len(span):
+            best = max(best, (weight + model.log[a][b][0], out))
+            return
+        c, code = span[i], module._sign(span[i])
+        options = [(code, 0.0)] if code else [(ord(x) - 96, -1.0) for x in module.LEET.get(c, "")]
+        skipped = apart and c in module._SEPARATORS
+        if code:
+            options += [(None, -1.0)] if c == before else []
+        elif skipped:
+            options += [(None, 0.0), (0, -1.0)]
+        else:
+            options += [(0, -2.0)] + ([(None, -2.0)] if c == before else [])
+        for code, cost in options:
+            if code is None or code == 0 and b == 0:
+                go(i + 1, a, b, before if skipped else c, weight + cost, out)
+            else:
+                sign = " " if code == 0 else module.LETTERS[code - 1]
+                go(i + 1, b, code, before if skipped else c, weight + cost + model.log[a][b][code], out + sign)
+
+    go(0, 0, 0, "", 0.0, "")
+    return best[1]
+
+
+def test_decoding_finds_the_best_of_all_readings(characters):
+    import random
+    draw = random.Random(8)
+    for _ in range(300):
+        apart = draw.random() < 0.5
+        span = "".join(draw.choice("aeilost011345@$!*." + (" .-_" if apart else "")) for _ in range(draw.randrange(1, 7)))
+        if not any(x * 4 in span for x in set(span)):
+            assert characters._decode(span, apart) == exhaustive(characters, span, apart), (span, apart)
+
+
+def test_words_are_told_apart():
+    number, text = module.whole_words(*coded(["scum of the", "", "the  the scums"]))
+    assert text.tolist() == [0, 0, 2, 2, 2] and len(set(number.tolist())) == 3 and number[1] == number[2] == number[3]
+    assert len(module.whole_words(*coded(["", None, "a b"]))[0]) == 0
+    assert len(module.whole_words(*coded(["x" * 100_000]))[0]) == 1
+
+
 def test_long_runs_of_signs_stay_linear(characters):
     for text in ("a!" * 3 + "!" * 200_000 + "%x", "a" + "1" * 200_000 + "%", "* " * 200_000 + "a", "1 2 " * 100_000 + "ab"):
         characters.clear(text)
@@ -66,7 +113,7 @@ def test_held_out_documents(tables):
     docs, labels = tables
     rows = toxicity(docs, labels).join(labels.withColumnRenamed("toxic", "truth"), "doc_id").where("held_out").toPandas()
     bad, clean = rows[rows.truth == 1], rows[rows.truth == 0]
-    assert (bad.predicted == 1).mean() > 0.8 and (clean.predicted == 0).mean() > 0.99
+    assert (bad.predicted == 1).mean() > 0.9 and (clean.predicted == 0).mean() > 0.99
     assert rows.score.between(0, 1).all()
 
 

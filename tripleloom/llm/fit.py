@@ -12,16 +12,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, bound:
 
     The ids with the least hashes are taken, so the choice does not depend on
     the order of rows.  An id with labels that disagree, or without an id or a
-    label, is left out; of repeated rows of an id one counts.  The list of ids
-    has at most ``bound`` rows and is therefore broadcast.
+    label, is left out; of repeated rows of an id the one with the least hash of
+    its text counts, chosen in the map tasks first.  The list of ids has at most
+    ``bound`` rows and is therefore broadcast.
     """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & keep)
              .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_high"))
              .where("label = _high").drop("_high"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(known), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("row")
+    return rows.groupBy("doc_id").agg(first).select("doc_id", "row.text", "row.label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

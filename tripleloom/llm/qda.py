@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, fit_rows: int = FIT_ROWS) ->
                 names=["doc_id", "label", "x"])
 
     rows = sample.mapInArrow(run, "doc_id long, label int, x array<double>").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = rows.sort_values("doc_id")
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, 0))
     return fit(x, rows["label"].to_numpy(dtype=float))
 

@@ -7,13 +7,13 @@ disguised - digits and signs inside words, letters set apart, letters repeated
 as a separator or a repetition, for nothing.  The likeliest path is found by
 Viterbi decoding and put in the span's place.
 
-The restored text is scored by runs of five signs within words, each by how
-often a document has it.  From a bounded labelled sample come those that are
-far commoner in toxic documents; the strongest, the sum and the number of a
+The restored text is scored by whole words and by runs of five signs within
+words, each by how often a document has it.  From a bounded labelled sample come
+those that are far commoner in toxic documents; the strongest, the sum and the number of a
 document's entries give a logistic value, and a rising step curve the score,
 fitted on folds whose runs were chosen without them.
 
-Only texts are read for a score.  Null and empty texts have no runs and get
+Only texts are read for a score.  Null and empty texts have no words and get
 the score of such; without labels of both classes every score is the smoothed
 share.  Repeated rows get equal scores; extra columns are not read.
 """
@@ -49,6 +49,13 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõ
 _OTHER = len(LETTERS) + 1
 _N = _OTHER + 1
 _LIMIT = 0x2FFF
+#: Entries are numbered below this: runs of five signs from 0, words from half of it on.
+_ENTRIES = 1 << 45
+#: Words of fewer signs are no entries.
+_LEAST_WORD = 3
+# A number for each sign at each place of a word; signs far into a word share places.
+_PLACES = 32
+_SIGNS = np.random.default_rng(20240611).integers(0, 1 << 63, (_PLACES, _N), dtype=np.int64)
 
 
 def _sign(c: str) -> int:
@@ -173,13 +180,25 @@ def runs(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value[at], np.searchsorted(starts, at + 1, side="right") - 1
 
 
+def whole_words(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and text of each word of three signs or more."""
+    edges = np.flatnonzero(code == 0)
+    first, long = edges[:-1] + 1, np.diff(edges) - 1
+    keep = long >= _LEAST_WORD
+    if not keep.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.minimum(np.arange(len(code)) - np.repeat(edges, np.diff(np.append(edges, len(code)))) - 1, _PLACES - 1)
+    sums = np.add.reduceat(_SIGNS[place, code], edges)[:-1][keep]
+    return (sums & (_ENTRIES // 2 - 1)) + _ENTRIES // 2, np.searchsorted(starts, first[keep], side="right") - 1
+
+
 def entries(value: np.ndarray, text: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How strongly each text has each run: once, three times, and then as a share of its words.
+    """How strongly each text has each run or word: once, three times, and then as a share of its words.
 
-    Gives the texts and ``4 * run + level`` for each level that is reached.
+    Gives the texts and ``4 * entry + level`` for each level that is reached.
     """
-    both, many = np.unique(text * _N**5 + value, return_counts=True)
-    text, value = both // _N**5, both % _N**5
+    both, many = np.unique(text * _ENTRIES + value, return_counts=True)
+    text, value = both // _ENTRIES, both % _ENTRIES
     share = many / np.maximum(words[text], 1)
     reached = [many >= 1, many >= 3, (many >= 3) & (share >= 0.004), (many >= 2) & (share >= 0.015)]
     return (np.concatenate([text[r] for r in reached]),
@@ -194,24 +213,27 @@ class Lexicon(NamedTuple):
     keys: np.ndarray  # sorted, as of ``entries``
     weights: np.ndarray
     known: np.ndarray  # whether a run begins with these four signs
+    words: np.ndarray  # whether a word's number ends in these bits
 
     @classmethod
     def of(cls, keys, weights) -> Lexicon:
         order = np.argsort(keys)
         keys = np.asarray(keys, dtype=np.int64)[order]
-        known = np.zeros(_N**4, dtype=bool)
-        known[keys // 4 // _N] = True
-        return cls(keys, np.asarray(weights, dtype=float)[order], known)
+        known, words, number = np.zeros(_N**4, dtype=bool), np.zeros(1 << 20, dtype=bool), keys // 4
+        known[number[number < _ENTRIES // 2] // _N] = True
+        words[number[number >= _ENTRIES // 2] & (len(words) - 1)] = True
+        return cls(keys, np.asarray(weights, dtype=float)[order], known, words)
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """Per text: the greatest weight of an entry, the sum of weights, and the number of entries."""
         code, starts = coded(texts)
-        value, text = runs(code, starts)
+        (run, run_text), (word, word_text) = runs(code, starts), whole_words(code, starts)
         out = np.zeros((len(texts), 3))
-        if not len(value) or not len(self.keys):
+        if not len(run) + len(word) or not len(self.keys):
             return out
-        found = self.known[value // _N]
-        text, key = entries(value[found], text[found], word_numbers(code, starts))
+        few, some = self.known[run // _N], self.words[word & (len(self.words) - 1)]
+        text, key = entries(np.concatenate([run[few], word[some]]), np.concatenate([run_text[few], word_text[some]]),
+                            word_numbers(code, starts))
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         found = self.keys[place] == key
         text, weight = text[found], self.weights[place[found]]
@@ -255,14 +277,16 @@ class Scorer(NamedTuple):
 
 def train(docs: DataFrame, labels: DataFrame, keep, characters, fit_rows: int = FIT_ROWS) -> Scorer:
     """Fits on at most ``fit_rows`` labelled documents that ``keep`` admits."""
-    sample = labelled_sample(docs, labels, "toxic", keep, fit_rows).dropDuplicates(["doc_id"])
+    sample = labelled_sample(docs, labels, "toxic", keep, fit_rows)
     sample = stored(sample.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2))), "toxic-sample")
 
     def count(batches):
         for batch in batches:
             texts = [characters.value.clear(t) for t in batch.column("text").to_pylist()]
             code, starts = coded(texts)
-            text, key = entries(*runs(code, starts), word_numbers(code, starts))
+            (run, run_text), (word, word_text) = runs(code, starts), whole_words(code, starts)
+            text, key = entries(np.concatenate([run, word]), np.concatenate([run_text, word_text]),
+                                word_numbers(code, starts))
             kind = (batch.column("fold").to_numpy() * 2 + batch.column("label").to_numpy())[text]
             key, many = np.unique(key * 4 + kind, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key // 4), pa.array((key % 4).astype(np.int32)),
