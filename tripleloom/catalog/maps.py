@@ -8,7 +8,7 @@ from tripleloom.catalog.silver import BRONZE, SILVER_SQL
 from tripleloom.catalog.standin import CODES, bronze_frames
 from tripleloom.operators.triples import Graph, Options, build_graph, reconcile
 from tripleloom.plans.register_mapping import REGISTER_MAPS
-from tripleloom.plans.silver import SILVER, silver_tables
+from tripleloom.plans.silver import SILVER, fan_out, silver_tables
 from tripleloom.sources.tables import register_views
 
 _DATES = ("DATA_INICIO_ATIV", "DATA_INICIO_SOCIEDADE", "DATA_OPCAO_SIMPLES", "DATA_EXCLUSAO_SIMPLES",
@@ -19,8 +19,8 @@ _RELATIONS = {**BRONZE, **SILVER_SQL}
 
 def register_graph(spark, sf_dir, maps=REGISTER_MAPS, options=Options()) -> Graph:
     """Graph of the register from the driver tables, through bronze and silver."""
-    bronze = bronze_frames(spark, sf_dir)
-    return build_graph(spark, maps, lambda name: SILVER[name](bronze, CODES), options)
+    names = dict.fromkeys(tm.table for tm in maps)
+    return build_graph(spark, maps, fan_out(bronze_frames(spark, sf_dir), CODES, names), options)
 
 
 def _single(tm):

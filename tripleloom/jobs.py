@@ -22,12 +22,13 @@ from tripleloom.operators.changes import snapshot_changes, snapshot_changes_bag
 from tripleloom.operators.rules import TriplesMap, maps_from_json
 from tripleloom.operators.triples import Options, Tables, build_graph, reconcile, unique_subjects
 from tripleloom.plans.register_mapping import OUTPUT_PREFIXES, REGISTER_MAPS
-from tripleloom.plans.silver import Codes, silver_tables
-from tripleloom.session import fit_shuffle, prepare
+from tripleloom.plans.silver import Codes, spread_tables
+from tripleloom.session import fit_shuffle, prepare, scratch_dir
 from tripleloom.sources import bronze as B
 from tripleloom.sources.sinks import write_ntriples, write_prefixes
 from tripleloom.sources.tables import (
     drop_previous,
+    drop_tables,
     exists,
     preview,
     previous_path,
@@ -71,10 +72,12 @@ def load(
 
 
 def refine(spark: SparkSession, bronze_dir: str, silver_dir: str, codes: Codes, fmt: str = "parquet") -> None:
-    """Writes the 19 refined tables from the bronze tables."""
+    """Writes the 19 refined tables from the bronze tables, of which the largest are scanned once for all that they give."""
     bronze = {name: B.read_table(spark, bronze_dir, name, fmt) for name in B.SCHEMAS}
     fit_shuffle(spark, bronze.values())
-    write_tables(silver_tables(bronze, codes), silver_dir, fmt)
+    scratch = scratch_dir(spark, "refine")
+    write_tables(spread_tables(bronze, codes, scratch), silver_dir, fmt)
+    drop_tables(spark, scratch)
 
 
 def publish(

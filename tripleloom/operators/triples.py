@@ -49,6 +49,27 @@ class Prefixes(NamedTuple):
         return Prefixes(self.keyed | other.keyed, self.open | other.open)
 
 
+@dataclass(frozen=True)
+class View:
+    """A table as named columns of a wider frame, on the rows where its flag column is true.
+
+    Tables that are views of one frame are read in one pass over it.
+    """
+
+    base: DataFrame
+    columns: Mapping[str, str]
+    where: str | None = None
+
+    def frame(self) -> DataFrame:
+        rows = self.base if self.where is None else self.base.filter(F.col(self.where))
+        return rows.select(*[F.col(own).alias(name) for name, own in self.columns.items()])
+
+
+def as_frame(table: DataFrame | Sequence[View]) -> DataFrame:
+    """A table that may be given as views, whose rows are then put together."""
+    return table if isinstance(table, DataFrame) else _union(view.frame() for view in table)
+
+
 class Note(NamedTuple):
     """A rule or map that yields nothing, and why."""
 
@@ -215,10 +236,11 @@ class _Compiler:
     def __init__(self, frame: DataFrame, options: Options):
         self.frame = frame
         self.options = options
-        self.fields = {f.name.lower(): f for f in frame.schema.fields}
+        self.own = {f.name.lower(): f for f in frame.schema.fields}
+        self.fields = self.own
         self.columns: dict[str, Column] = {}
         self.emissions: dict[_Emission, None] = {}
-        self.subjects: dict[str, str] = {}
+        self.subjects: list[tuple[str, str]] = []
         self.notes: list[Note] = []
         self.prefixes = Prefixes()
 
@@ -240,9 +262,10 @@ class _Compiler:
         pieces, variables = template.pieces, template.variables
         if not variables:
             return self._nothing()
+        owns = [self.fields[v.lower()].name for v in variables]
         if len(variables) == 1 and pieces[1] == "":
             self.prefixes |= Prefixes(keyed=frozenset([template.prefix]))
-            return self._project(f"key {variables[0].lower()}", lambda: self._key_column(variables[0]))
+            return self._project(f"key {owns[0]}", lambda: self._key_column(variables[0]))
         self.prefixes |= Prefixes(open=frozenset([template.prefix]))
 
         def parts() -> Column:
@@ -253,12 +276,15 @@ class _Compiler:
                     columns.append(F.lit(text))
             return F.concat(*columns)
 
-        return self._project(f"template {template.text}", parts)
+        return self._project(f"template {template.text} {owns}", parts)
 
     def _known(self, template: Template) -> list[str]:
         return [v for v in template.variables if v.lower() in self.fields]
 
-    def add(self, tm: TriplesMap) -> None:
+    def add(self, tm: TriplesMap, view: View | None = None) -> None:
+        """Compiles a map over the frame itself, or over a view of it."""
+        self.fields = self.own if view is None else {
+            name.lower(): self.own[own.lower()] for name, own in view.columns.items()}
         subject = Template(tm.subject)
         known = self._known(subject)
         if not known:
@@ -267,7 +293,11 @@ class _Compiler:
         if len(known) < len(subject.variables):
             missing = sorted(set(subject.variables) - set(known))
             raise ValueError(f"{tm.name}: subject columns {missing} are not in the table")
-        s = self.subjects[tm.name] = self._rendered(subject)
+        s = self._rendered(subject)
+        if view is not None and view.where is not None:
+            whole = self.columns[s]
+            s = self._project(f"{s} where {view.where}", lambda: F.when(F.col(f"`{view.where}`"), whole))
+        self.subjects.append((tm.name, s))
         for cls in tm.classes:
             self._emit(tm, Shape(subject.prefix, RDF_TYPE, cls, "iri", ""), s, self._nothing())
         for obj in tm.objects:
@@ -317,15 +347,16 @@ class _Compiler:
         return spread.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
 
 
-Tables = Mapping[str, DataFrame] | Callable[[str], DataFrame]
+Table = DataFrame | Sequence[View]
+Tables = Mapping[str, Table] | Callable[[str], Table]
 
 
 def _compile(
     spark: SparkSession, maps: Sequence[TriplesMap], tables: Tables, options: Options
 ) -> tuple[list[_Compiler], list[Note]]:
-    """One compiler per logical source, so that maps over one table share its scan."""
+    """One compiler per logical source, so that maps over one table, or over views of one frame, share its scan."""
     load = tables if callable(tables) else tables.__getitem__
-    compilers: dict[str, _Compiler] = {}
+    compilers: dict[str | int, _Compiler] = {}
     notes: list[Note] = []
     for tm in maps:
         if not tm.sql:
@@ -335,10 +366,13 @@ def _compile(
             notes.append(Note(tm.name, tm.sql, "no table in the logical query"))
             continue
         source = tm.table if options.source == "table" else tm.sql
-        if source not in compilers:
-            frame = load(tm.table) if options.source == "table" else spark.sql(tm.sql)
-            compilers[source] = _Compiler(frame, options)
-        compilers[source].add(tm)
+        found = compilers[source].frame if source in compilers else (
+            load(tm.table) if options.source == "table" else spark.sql(tm.sql))
+        if isinstance(found, DataFrame):
+            compilers.setdefault(source, _Compiler(found, options)).add(tm)
+            continue
+        for view in found:
+            compilers.setdefault(id(view.base), _Compiler(view.base, options)).add(tm, view)
     for compiler in compilers.values():
         notes.extend(compiler.notes)
     return list(compilers.values()), notes
@@ -361,8 +395,8 @@ def build_graph(
 ) -> Graph:
     """The bag of all triples of all maps; maps over one table share its scan.
 
-    ``tables`` gives the stored table of a name.  Maps whose query names no
-    table are skipped with a note.
+    ``tables`` gives the stored table of a name, or the views that make it up.
+    Maps whose query names no table are skipped with a note.
 
     ``unique`` names maps whose rows all have different subjects, as found by
     ``unique_subjects``.  Their triples cannot repeat, unless the same shape is
@@ -398,9 +432,12 @@ def unique_subjects(
     """
     compilers, _ = _compile(spark, maps, tables, options)
     parts = []
+    times = Counter(name for compiler in compilers for name, _ in compiler.subjects)
     for compiler in compilers:
-        for name, s in compiler.subjects.items():
-            sizes = compiler.frame.select(compiler.columns[s].alias("s")).groupBy("s").count()
+        for name, s in compiler.subjects:
+            if times[name] > 1:  # several views, whose subjects may meet
+                continue
+            sizes = compiler.frame.select(compiler.columns[s].alias("s")).filter("s IS NOT NULL").groupBy("s").count()
             parts.append(sizes.agg(F.lit(name).alias("map"), F.max("count").alias("most")))
     checked = _union(parts)
     if checked is None:
@@ -429,7 +466,7 @@ def reconcile(
             by_source.setdefault((tm.table, tm.sql if options.source == "query" else None), []).append(tm)
     result = None
     for (table, sql), group in by_source.items():
-        frame = load(table) if sql is None else load(table).sparkSession.sql(sql)
+        frame = as_frame(load(table)) if sql is None else as_frame(load(table)).sparkSession.sql(sql)
         fields = {f.name.lower(): f for f in frame.schema.fields}
         counts = [F.count(F.lit(1)).alias("rows_in")]
         for i, tm in enumerate(group):
@@ -449,7 +486,7 @@ def reconcile(
             counts.append(made.alias(f"m{i}"))
         totals = frame.agg(*counts)
         if sql is not None:
-            whole = load(table).agg(F.count(F.lit(1)).alias("rows_in"))
+            whole = as_frame(load(table)).agg(F.count(F.lit(1)).alias("rows_in"))
             totals = whole.crossJoin(totals.drop("rows_in"))  # one row each
         per_map = totals.select(
             F.lit(table).alias("source_table"), "rows_in",

@@ -34,6 +34,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def drop_tables(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of tables that are no longer read."""
+    place, files = _path(spark, path)
+    files.delete(place, True)
+
+
 def previous_path(path: str) -> str:
     """Where ``replace_table`` keeps a table's previous rows; readers skip names with a leading dot."""
     base, _, name = path.rstrip("/").rpartition("/")
