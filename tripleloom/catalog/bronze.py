@@ -10,6 +10,7 @@ from tripleloom.operators.batches import with_batch
 from tripleloom.operators.changes import snapshot_changes
 from tripleloom.session import scratch_dir
 from tripleloom.sources import bronze as B
+from tripleloom.sources.loads import load_whole, read_changes
 from tripleloom.sources.tables import _path, preview, previous_path, register_views
 
 # Files written by Spark are named part-…; the register's own fragments are the default.
@@ -161,6 +162,38 @@ def load_changes(spark, sf_dir):
     return snapshot_changes(old, B.read_table(spark, f"{base}/bronze", "empresa"), ["CNPJ_BASICO"])
 
 
+@query("load_append_changes", f"""
+    SELECT 'insert' AS _change_type, *, count(*) AS copies FROM ({BRONZE_SQL['municipio']}) GROUP BY ALL""")
+def append_changes(spark, sf_dir):
+    """Change set of a load that adds to a table: all its rows are inserts, whatever the table held."""
+    base, schema = scratch_dir(spark, "append"), {"municipio": B.SCHEMAS["municipio"]}
+    _write_files(bronze_frames(spark, sf_dir)["municipio"], f"{base}/data/municipio")
+    for append in (False, True):
+        load_whole(spark, f"{base}/data", f"{base}/bronze", f"{base}/status", schema, _PART, append=append,
+                   changes_dir=f"{base}/changes" if append else None)
+    return read_changes(spark, f"{base}/changes", "municipio")
+
+
+@query("load_after_failure", f"""
+    WITH e AS ({BRONZE_SQL['empresa']})
+    SELECT CASE WHEN CAST("CNPJ_BASICO" AS INT) % 2 = 0 THEN 'delete' ELSE 'insert' END AS _change_type, *
+    FROM e WHERE CAST("CNPJ_BASICO" AS INT) % 4 <> 2""")
+def changes_after_failure(spark, sf_dir):
+    """A load that fails, as its key is not unique, changes nothing: the next one's change set starts from the rows before it."""
+    base, rows = scratch_dir(spark, "failure"), bronze_frames(spark, sf_dir)["empresa"]
+    number, schema = F.col("CNPJ_BASICO").cast("int"), {"empresa": B.SCHEMAS["empresa"]}
+    first, last = rows.filter(number % 2 == 0), rows.filter((number % 2 == 1) | (number % 4 == 2))
+    for snapshot in (first, last.union(last), last):
+        _write_files(snapshot, f"{base}/data/empresa")
+        try:
+            load_whole(spark, f"{base}/data", f"{base}/bronze", f"{base}/status", schema, _PART,
+                       changes_dir=f"{base}/changes", keys={"empresa": ["CNPJ_BASICO"]})
+        except Exception as error:
+            if "is not unique" not in str(error):
+                raise
+    return read_changes(spark, f"{base}/changes", "empresa")
+
+
 @query("load_totals", " UNION ALL ".join(
     f"SELECT '{n}' AS delta_table, count(*) AS record_count FROM {t}" for n, t in _COUNTS.items()))
 def totals(spark, sf_dir):

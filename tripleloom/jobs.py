@@ -18,25 +18,15 @@ if __name__ == "__main__":
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleloom.operators.changes import snapshot_changes, snapshot_changes_bag
 from tripleloom.operators.rules import TriplesMap, maps_from_json
 from tripleloom.operators.triples import Options, Tables, build_graph, reconcile, unique_subjects
 from tripleloom.plans.register_mapping import OUTPUT_PREFIXES, REGISTER_MAPS
 from tripleloom.plans.silver import Codes, spread_tables
 from tripleloom.session import fit_shuffle, prepare, scratch_dir
 from tripleloom.sources import bronze as B
+from tripleloom.sources.loads import load_whole
 from tripleloom.sources.sinks import write_ntriples, write_prefixes
-from tripleloom.sources.tables import (
-    drop_previous,
-    drop_tables,
-    exists,
-    preview,
-    previous_path,
-    register_views,
-    replace_table,
-    table_loader,
-    write_tables,
-)
+from tripleloom.sources.tables import drop_tables, preview, register_views, table_loader, write_tables
 
 # Encoded triples of a row take about this many times its stored size.
 TRIPLE_GROWTH = 8
@@ -48,27 +38,14 @@ def load(
 ) -> DataFrame:
     """Full refresh, or with ``append`` an addition, of the bronze tables; returns and writes this load's manifest.
 
-    A refresh replaces listed tables and empties any other found beside them.
-    With ``changes_dir`` it also writes the change set of each table that was
-    there before: by key where ``keys`` names one, else as row copies.
+    A load takes place whole or not at all.  A refresh replaces listed tables
+    and empties any other found beside them.  With ``changes_dir`` it also
+    writes the change set of each table that was there before, an addition that
+    of every table: by key where ``keys`` names one, else as row copies.
     """
-    if append and changes_dir:
-        raise ValueError("an appending load has no change set")
-    if not append:
-        B.clear_tables(spark, bronze_dir, fmt, keep=B.SCHEMAS)
-    load_id = B.load_tables(spark, data_dir, bronze_dir, mode="append" if append else "overwrite", fmt=fmt,
-                            keep_previous=changes_dir is not None, **options)
-    for table in B.SCHEMAS if changes_dir else ():
-        path = f"{bronze_dir.rstrip('/')}/{table}"
-        if exists(spark, previous_path(path)):
-            old = spark.read.format(fmt).load(previous_path(path)).drop(B.SOURCE_FILE, B.LOAD_ID)
-            new, key = B.read_table(spark, bronze_dir, table, fmt), (keys or {}).get(table)
-            changes = snapshot_changes(old, new, key) if key else snapshot_changes_bag(old, new)
-            replace_table(changes, f"{changes_dir.rstrip('/')}/{table}", fmt)
-            drop_previous(spark, path)
-    manifest = B.load_manifest(spark, data_dir, bronze_dir, fmt=fmt, load_id=load_id)
-    B.write_manifest(manifest, status_dir)
-    return manifest
+    load_id = load_whole(spark, data_dir, bronze_dir, status_dir, fmt=fmt, append=append, changes_dir=changes_dir, keys=keys,
+                         **options)
+    return B.load_manifest(spark, data_dir, bronze_dir, fmt=fmt, load_id=load_id)
 
 
 def refine(spark: SparkSession, bronze_dir: str, silver_dir: str, codes: Codes, fmt: str = "parquet") -> None:

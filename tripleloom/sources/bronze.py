@@ -124,6 +124,7 @@ def load_tables(
     mode: str = "overwrite",
     fmt: str = "parquet",
     keep_previous: bool = False,
+    load_id: str | None = None,
     **options: str | bool,
 ) -> str:
     """Loads every table from ``data_dir/<table>`` with one read and one write; returns the load's id.
@@ -133,7 +134,8 @@ def load_tables(
     the old.  ``append`` adds to what is there.  ``keep_previous`` leaves the
     replaced rows in ``previous_path``.
     """
-    load_id = uuid.uuid4().hex
+    load_id = load_id or uuid.uuid4().hex
+
     def load(table: str) -> None:
         rows = scan_files(spark, f"{data_dir.rstrip('/')}/{table}", schemas[table], fragments, **options)
         if STORED_ORDER.get(table) in schemas[table].names:
