@@ -6,9 +6,20 @@ from pyspark.sql import functions as F
 
 from tripleloom.catalog.oracle import distinct, key, map_sql, quoted, rows, with_relations
 from tripleloom.catalog.registry import query, table
+from tripleloom.catalog.standin import BRONZE_SQL, bronze_frames
 from tripleloom.functions.lexical import XSD_ANY_URI, XSD_BOOLEAN, XSD_DATE, XSD_DOUBLE, XSD_STRING
 from tripleloom.operators.rules import ObjectMap, TriplesMap, rules_frame
-from tripleloom.operators.triples import RDF_TYPE, Options, build_graph, reconcile, unique_subjects
+from tripleloom.operators.triples import (
+    RDF_TYPE,
+    Options,
+    Watch,
+    build_graph,
+    reconcile,
+    reconcile_watched,
+    unique_subjects,
+)
+from tripleloom.session import scratch_dir
+from tripleloom.sources.sinks import stored_lines, write_ntriples
 
 ONT = "http://example.org/ontology/"
 RES = "http://example.org/resource/"
@@ -250,3 +261,37 @@ def mapping_rules(spark, sf_dir):
 def reconcile_counts(spark, sf_dir):
     lost = _map("lost", "customer", "X/{absent}", ("C",))
     return reconcile(spark, [*SALES_MAPS, lost], lambda name: table(spark, sf_dir, name))
+
+
+_CITIES = TriplesMap(
+    "cities", "SELECT * FROM estabelecimento", "http://example.org/city/{NM_CIDADE_EXTERIOR}",
+    classes=("http://example.org/City",), objects=(ObjectMap(("http://example.org/state",), column="UF"),))
+_STATES = TriplesMap(
+    "states", "SELECT * FROM estabelecimento", "http://example.org/state/{UF}", classes=("http://example.org/State",))
+
+
+@query("reconcile_watched", f"""
+    WITH b AS ({BRONZE_SQL['estabelecimento']})
+    SELECT 'estabelecimento' AS source_table, 'cities' AS map, count(*) AS rows_in,
+        count("NM_CIDADE_EXTERIOR") AS rows_with_subject, count(*) - count("NM_CIDADE_EXTERIOR") AS difference FROM b
+    UNION ALL SELECT 'estabelecimento', 'states', count(*), count("UF"), count(*) - count("UF") FROM b""")
+def watched_reconciliation(spark, sf_dir):
+    """Branches without a foreign city, or without a state, give no subject; counted by the run that writes the lines."""
+    tables, watch = {"estabelecimento": bronze_frames(spark, sf_dir)["estabelecimento"]}, Watch()
+    graph = build_graph(spark, [_CITIES, _STATES], tables, Options(null_iri=None), watch=watch).distinct()
+    write_ntriples(graph, scratch_dir(spark, "watched"))
+    return reconcile_watched(spark, [_CITIES, _STATES], tables, watch)
+
+
+@query("written_lines", """
+    SELECT count(*) * 2 AS triples, count(*) * 2 AS lines, count(*) * 2 AS stored_lines, true AS same_lines FROM nation""")
+def lines_written(spark, sf_dir):
+    """Triples made, lines written and lines found in the files of a graph over ``nation``."""
+    tm = TriplesMap("nations", "SELECT * FROM nation", "http://example.org/nation/{n_nationkey}",
+                    classes=("http://example.org/Nation",), objects=(ObjectMap(("http://example.org/name",), column="n_name"),))
+    watch, path = Watch(), scratch_dir(spark, "lines")
+    write_ntriples(build_graph(spark, [tm], {"nation": table(spark, sf_dir, "nation")}, watch=watch).distinct(), path)
+    made, stored = watch.written(), stored_lines(spark, path)
+    same = (made["lines"], made["checksum"]) == (stored["lines"], stored["checksum"])
+    return spark.createDataFrame([(made["triples"], made["lines"], stored["lines"], same)],
+                                 "triples long, lines long, stored_lines long, same_lines boolean")

@@ -19,13 +19,13 @@ if __name__ == "__main__":
 from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.operators.rules import TriplesMap, maps_from_json
-from tripleloom.operators.triples import Options, Tables, build_graph, reconcile, unique_subjects
+from tripleloom.operators.triples import Options, Tables, Watch, build_graph, reconcile_watched, unique_subjects
 from tripleloom.plans.register_mapping import OUTPUT_PREFIXES, REGISTER_MAPS
 from tripleloom.plans.silver import Codes, spread_tables
 from tripleloom.session import fit_shuffle, prepare, scratch_dir
 from tripleloom.sources import bronze as B
 from tripleloom.sources.loads import load_whole
-from tripleloom.sources.sinks import write_ntriples, write_prefixes
+from tripleloom.sources.sinks import stored_lines, write_ntriples, write_prefixes
 from tripleloom.sources.tables import drop_tables, preview, register_views, table_loader, write_tables
 
 # Encoded triples of a row take about this many times its stored size.
@@ -64,27 +64,40 @@ def publish(
     output_dir: str,
     options: Options = Options(),
     check_unique: bool = False,
+    verify: bool = False,
 ) -> DataFrame:
     """Writes the graph of the maps as N-Triples, with prefixes and reconciliation.
 
-    ``check_unique`` first looks for maps with a subject per row, whose triples
+    Subjects, triples and lines are counted by the run that writes them.
+    ``verify`` also reads the written files and compares number and checksum of
+    their lines.  ``check_unique`` first looks for maps with a subject per row, whose triples
     then need no shuffle; it pays where most triples come from such maps.
     Returns rows read and subjects made per map.
     """
     unique = unique_subjects(spark, maps, tables, options) if check_unique else frozenset()
-    graph = build_graph(spark, maps, tables, options, unique).distinct()
+    watch = Watch()
+    graph = build_graph(spark, maps, tables, options, unique, watch).distinct()
     base = output_dir.rstrip("/")
     write_ntriples(graph, f"{base}/triples")
     write_prefixes(spark, OUTPUT_PREFIXES, f"{base}/prefixes")
     graph.notes_frame(spark).write.mode("overwrite").json(f"{base}/notes")
-    report = reconcile(spark, maps, tables, options)
+    written = watch.written()
+    stored = stored_lines(spark, f"{base}/triples") if verify else {"lines": written["lines"], "checksum": written["checksum"]}
+    spark.createDataFrame(
+        [(written["triples"], written["lines"], written["checksum"], stored["lines"], stored["checksum"],
+          written["triples"] - stored["lines"], verify)],
+        "triples long, lines long, checksum string, stored_lines long, stored_checksum string, difference long, verified boolean",
+    ).write.mode("overwrite").json(f"{base}/written")
+    if (written["lines"], written["checksum"]) != (stored["lines"], stored["checksum"]):
+        raise ValueError(f"{base}/triples does not hold the {written['lines']} lines that were written")
+    report = reconcile_watched(spark, maps, tables, watch)
     report.write.mode("overwrite").json(f"{base}/reconciliation")
     return spark.read.schema(report.schema).json(f"{base}/reconciliation")
 
 
 def publish_tables(
     spark: SparkSession, silver_dir: str, output_dir: str, maps: Sequence[TriplesMap] = REGISTER_MAPS,
-    options: Options = Options(), fmt: str = "parquet", check_unique: bool = False,
+    options: Options = Options(), fmt: str = "parquet", check_unique: bool = False, verify: bool = False,
 ) -> DataFrame:
     """Publishes the graph of a mapping over stored tables, by default the register's."""
     read = table_loader(spark, silver_dir, fmt)
@@ -92,7 +105,7 @@ def publish_tables(
     if options.source == "query":
         register_views(tables)
     fit_shuffle(spark, tables.values(), TRIPLE_GROWTH)
-    return publish(spark, maps, tables, output_dir, options, check_unique)
+    return publish(spark, maps, tables, output_dir, options, check_unique, verify)
 
 
 def read_maps(spark: SparkSession, path: str) -> tuple[TriplesMap, ...]:
@@ -135,6 +148,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     command.add_argument("--constants", action="store_true", help="emit constant objects")
     command.add_argument("--drop-null-iris", action="store_true", help="no triple for an IRI with a null part")
     command.add_argument("--check-unique", action="store_true", help="find maps whose triples need no shuffle")
+    command.add_argument("--verify", action="store_true", help="read the written lines and compare them with what was made")
     for command in commands.choices.values():
         command.add_argument("--format", default="parquet", help="table format")
     args = parser.parse_args(argv)
@@ -154,7 +168,7 @@ def main(argv: Sequence[str] | None = None) -> None:
             null_iri=None if args.drop_null_iris else "NONE", constants=args.constants,
             source="query" if args.run_queries else "table")
         maps = read_maps(spark, args.mapping) if args.mapping else REGISTER_MAPS
-        publish_tables(spark, args.silver, args.output, maps, options, args.format, args.check_unique)
+        publish_tables(spark, args.silver, args.output, maps, options, args.format, args.check_unique, args.verify)
 
 
 if __name__ == "__main__":

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.functions.fold import iri_key
@@ -70,6 +70,57 @@ def as_frame(table: DataFrame | Sequence[View]) -> DataFrame:
     return table if isinstance(table, DataFrame) else _union(view.frame() for view in table)
 
 
+class Watch:
+    """Counts that the run which writes a graph makes on its way, to be held against counts of the input.
+
+    The scan counts the rows that it reads and those that get a subject, per
+    map; behind set semantics the triples are counted, and at the sink the
+    lines with the sum of their hashes, which does not depend on their order.
+    Nothing is read again for it.  A map task that runs anew after a lost
+    executor counts its rows again, so a scan's count can be too high, never too
+    low; the counts of triples and lines are taken once per written part.
+    """
+
+    def __init__(self):
+        self.scans: list[tuple[Observation, list[str]]] = []
+        self.kept: Observation | None = None
+        self.sink: Observation | None = None
+
+    def scan(self, source: DataFrame, subjects: Sequence[tuple[str, str]]) -> DataFrame:
+        """``source`` with its rows, and the subjects of each named map, counted."""
+        seen = Observation()
+        self.scans.append((seen, [name for name, _ in subjects]))
+        return source.observe(seen, F.count(F.lit(1)).alias("rows_read"), *[
+            F.count(F.col(column)).alias(f"m{i}") for i, (_, column) in enumerate(subjects)])
+
+    def triples(self, encoded: DataFrame) -> DataFrame:
+        self.kept = Observation()
+        return encoded.observe(self.kept, F.count(F.lit(1)).alias("triples"))
+
+    def lines(self, lines: DataFrame) -> DataFrame:
+        self.sink = Observation()
+        return lines.observe(self.sink, *line_sums())
+
+    def subjects(self) -> dict[str, tuple[int, int]]:
+        """Rows read and rows with a subject, per map; of several views of a table the latter are added."""
+        found: dict[str, tuple[int, int]] = {}
+        for seen, names in self.scans:
+            values = seen.get
+            for i, name in enumerate(names):
+                read, made = found.get(name, (0, 0))
+                found[name] = max(read, values["rows_read"]), made + values[f"m{i}"]
+        return found
+
+    def written(self) -> dict[str, int]:
+        return {"triples": self.kept.get["triples"], **self.sink.get}
+
+
+def line_sums() -> list[Column]:
+    """Number of lines and the sum of their hashes, exact whatever the number."""
+    hashes = F.sum(F.xxhash64("value").cast("decimal(38,0)"))
+    return [F.count(F.lit(1)).alias("lines"), F.coalesce(hashes, F.lit(0)).cast("string").alias("checksum")]
+
+
 class Note(NamedTuple):
     """A rule or map that yields nothing, and why."""
 
@@ -126,12 +177,17 @@ class Graph:
     notes: tuple[Note, ...] = ()
     prefixes: Prefixes = Prefixes()
     single: DataFrame | None = None
+    watch: Watch | None = None
 
     @property
     def encoded(self) -> DataFrame:
         """All triples as ``(shape, s, o)``."""
         return self.repeated if self.single is None else self.repeated.unionByName(self.single)
 
+    def watched(self) -> Graph:
+        """The graph with its triples counted where a watch is kept."""
+        return self if self.watch is None else replace(self, repeated=self.watch.triples(self.encoded), single=None)
+
     def distinct(self) -> Graph:
         """Set semantics.  Equal triples collapse before the shuffle where a task sees both."""
         return replace(self, repeated=self.repeated.dropDuplicates(["shape", "s", "o"]))
@@ -241,6 +297,7 @@ class _Compiler:
         self.columns: dict[str, Column] = {}
         self.emissions: dict[_Emission, None] = {}
         self.subjects: list[tuple[str, str]] = []
+        self.watched = False
         self.notes: list[Note] = []
         self.prefixes = Prefixes()
 
@@ -329,15 +386,21 @@ class _Compiler:
         self.emissions[_Emission(tm.name, shape, s, o)] = None
 
     def encoded(
-        self, spark: SparkSession, numbers: Mapping[Shape, int], wanted: Callable[[_Emission], bool]
+        self, spark: SparkSession, numbers: Mapping[Shape, int], wanted: Callable[[_Emission], bool],
+        watch: Watch | None = None,
     ) -> DataFrame | None:
-        """Triples of the wanted emissions by one scan of the columns they need."""
+        """Triples of the wanted emissions by one scan of the columns they need; the first such scan is watched."""
         triples = list(dict.fromkeys((numbers[e.shape], e.subject, e.object) for e in self.emissions if wanted(e)))
         if not triples:
             return None
+        watch = None if self.watched else watch
         used = dict.fromkeys(name for _, s, o in triples for name in (s, o))
+        if watch is not None:
+            used |= dict.fromkeys(s for _, s in self.subjects)
         names = {name: f"c{i}" for i, name in enumerate(used)}
         source = self.frame.select(*[self.columns[n].alias(alias) for n, alias in names.items()])
+        if watch is not None:
+            source, self.watched = watch.scan(source, [(name, names[s]) for name, s in self.subjects]), True
         rows = ", ".join(f"(`{names[s]}`, `{names[o]}`) AS `{number}`" for number, s, o in triples)
         # UNPIVOT plans as Expand, which stays in whole-stage codegen and builds no array per row.
         spread = spark.sql(
@@ -392,6 +455,7 @@ def build_graph(
     tables: Tables,
     options: Options = Options(),
     unique: frozenset[str] = frozenset(),
+    watch: Watch | None = None,
 ) -> Graph:
     """The bag of all triples of all maps; maps over one table share its scan.
 
@@ -401,6 +465,8 @@ def build_graph(
     ``unique`` names maps whose rows all have different subjects, as found by
     ``unique_subjects``.  Their triples cannot repeat, unless the same shape is
     made twice, and then stay out of the shuffle of ``distinct``.
+
+    With a ``watch`` the action that writes the graph counts on its way.
     """
     compilers, notes = _compile(spark, maps, tables, options)
     emissions = [e for compiler in compilers for e in compiler.emissions]
@@ -414,11 +480,11 @@ def build_graph(
     def is_single(e: _Emission) -> bool:
         return not overlap and e.map in unique and made[e.shape] == 1
 
-    repeated = _union(c.encoded(spark, numbers, lambda e: not is_single(e)) for c in compilers)
-    single = _union(c.encoded(spark, numbers, is_single) for c in compilers)
+    repeated = _union(c.encoded(spark, numbers, lambda e: not is_single(e), watch) for c in compilers)
+    single = _union(c.encoded(spark, numbers, is_single, watch) for c in compilers)
     if repeated is None:
         repeated = spark.createDataFrame([], ENCODED_SCHEMA)
-    graph = Graph(repeated, tuple(numbers), tuple(notes), prefixes, single)
+    graph = Graph(repeated, tuple(numbers), tuple(notes), prefixes, single, watch)
     return graph.whole() if overlap else graph
 
 
@@ -501,3 +567,26 @@ def reconcile(
         )
         result = part if result is None else result.unionByName(part)
     return result
+
+
+def reconcile_watched(spark: SparkSession, maps: Sequence[TriplesMap], tables: Tables, watch: Watch) -> DataFrame:
+    """Rows of each map's table, rows that got a subject in the run that wrote the graph, and the difference.
+
+    The first are counted from the tables, the second were counted on the way
+    by ``watch``, so rows that a run loses between the two show as a difference.
+    Maps that the graph left out have no rows with a subject.
+    """
+    load = tables if callable(tables) else tables.__getitem__
+    made = watch.subjects()
+    by_table: dict[str, list[TriplesMap]] = {}
+    for tm in maps:
+        if tm.table:
+            by_table.setdefault(tm.table, []).append(tm)
+    parts = []
+    for table, group in by_table.items():
+        per_map = spark.createDataFrame([(tm.name, made.get(tm.name, (0, 0))[1]) for tm in group], "map string, rows_with_subject long")
+        rows = as_frame(load(table)).agg(F.count(F.lit(1)).alias("rows_in"))
+        parts.append(rows.crossJoin(per_map).select(  # one row, and one per map
+            F.lit(table).alias("source_table"), "map", "rows_in", "rows_with_subject",
+            (F.col("rows_in") - F.col("rows_with_subject")).alias("difference")))
+    return _union(parts)
