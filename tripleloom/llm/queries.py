@@ -18,7 +18,7 @@ from tripleloom.llm.minmax import near_duplicates
 from tripleloom.llm.oracle import CONTAMINATION, DIVERGENCE, SOURCE_DIVERGENCE, TRIE
 from tripleloom.llm.packing import pack
 from tripleloom.llm.qda import quality
-from tripleloom.llm.reshard import reshard
+from tripleloom.llm.reshard import lay_out, reshard, rewrite
 from tripleloom.llm.store import read_table
 from tripleloom.llm.toxicity import toxicity
 from tripleloom.llm.trie import prefix_trie, rebuilt, turn_lists
@@ -57,9 +57,14 @@ def op3_viterbi_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 32 shards that hold whole sources, so of very unequal sizes, to 40 equal ones."""
+    """From 32 shards that hold whole sources, so of very unequal sizes, to 40 equal ones.
+
+    ``documents`` has no shards: the old layout is made here, by a hash of the
+    source.  Affected shards are rewritten, and the digests read from the files.
+    """
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(32))
-    return reshard(read_table(spark, sf_dir, "documents"), old)
+    laid = lay_out(read_table(spark, sf_dir, "documents"), old)
+    return rewrite(laid, reshard(laid)).drop("row_id")
 
 
 @_query

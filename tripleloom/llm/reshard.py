@@ -8,9 +8,13 @@ blocks and then within them give each document its place in bytes, and the
 flow cuts this line into what stays and what goes where.  No task sees more
 than a block's rows, however large a shard is.
 
+Rows are known by numbers that the old layout's files hold, so equal rows stay
+apart, are dealt over blocks like any others, and are rewritten each as it was.
+
 Sizes are the UTF-8 bytes of the text plus 16; a null text has none.  A null
-shard key is a shard of its own.  Repeated rows are placed one by one.  Extra
-columns are not read.
+shard key is a shard of its own.  Repeated rows, null ids and ids of any integer
+type are placed one by one.  Extra columns are not read for the plan and are
+rewritten as they are, whatever their names.  Without rows nothing is written.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tripleloom.llm.store import stored
+from tripleloom.session import scratch_dir
 
 SHARDS = 40
 #: Rows of a block, about.
@@ -80,17 +85,33 @@ def equal_capacities(total: int, shards: int = SHARDS) -> dict[int, int]:
     return {j: total // shards + (j < total % shards) for j in range(shards)}
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, capacities: dict[int, int] | None = None) -> DataFrame:
-    """doc_id, row_key, size, text_crc32, law, shard, slot, grown_shard, old_shard and moved of every row.
+def lay_out(docs: DataFrame, old_shard: Column) -> DataFrame:
+    """The old layout as files, a folder per old shard: row_id, doc (all columns of ``docs``) and old_shard.
+
+    The numbers in ``row_id`` are written with the rows, so that every later
+    reading of the files finds the same.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc"),
+                       F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"))
+    path = scratch_dir(spark, "llm-old-shards")
+    rows.write.option("compression", "zstd").partitionBy("old_shard").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS,
+            capacities: dict[int, int] | None = None) -> DataFrame:
+    """row_id, doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard and moved of every row.
 
-    ``capacities`` in bytes by new shard default to equal ones.  ``row_key`` is
-    the hash of id and text; equal rows are the same to ``write_affected``.
+    ``docs`` is a layout of ``lay_out``, or with ``old_shard`` documents that are
+    laid out first.  ``capacities`` in bytes by new shard default to equal ones.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if old_shard is not None:
+        docs = lay_out(docs, old_shard)
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"),
-        (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"))
+        "row_id", F.col("doc.doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "old_shard")
     base = stored(base.withColumn("kind", F.floor(F.log2("size")).cast("int")), "sizes")
     # One row per shard and power of two: at most 64 times the shards.
     kinds = base.groupBy("old_shard", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
@@ -101,11 +122,11 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, capacities
     of = F.broadcast(spark.createDataFrame(
         [(int(r.old_shard), int(r.kind), int(r.of)) for r in kinds.itertuples()], "old_shard int, kind int, of long"))
     block = ["old_shard", "kind", "block"]
-    base = base.join(of, ["old_shard", "kind"]).withColumn("block", F.pmod(F.xxhash64("row_key"), "of")).drop("of")
+    base = base.join(of, ["old_shard", "kind"]).withColumn("block", F.pmod(F.xxhash64("row_id"), "of")).drop("of")
     sums = base.groupBy(*block).agg(F.sum("size").alias("bytes"))
     line = W.partitionBy("old_shard").orderBy(F.desc("kind"), "block").rowsBetween(W.unboundedPreceding, -1)
     sums = stored(sums.select(*block, F.coalesce(F.sum("bytes").over(line), F.lit(0)).alias("first")), "blocks")
-    within = W.partitionBy(*block).orderBy("doc_id", "row_key")
+    within = W.partitionBy(*block).orderBy("row_id")
     placed = base.withColumn("at", F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     placed = stored(placed, "places").join(sums, block).withColumn("middle", F.col("first") + F.col("at") + F.col("size") / 2)
     parts, at = [], {}
@@ -116,27 +137,50 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, capacities
     parts = F.broadcast(spark.createDataFrame(parts, "old_shard int, low long, high long, shard int"))
     placed = placed.join(parts, (placed.old_shard == parts.old_shard) & (F.col("middle") >= F.col("low"))
                          & (F.col("middle") < F.col("high"))).drop(parts.old_shard)
-    placed = stored(placed.select("doc_id", "row_key", "size", "text_crc32", *block, "at", "shard"), "assigned")
+    placed = stored(placed.select("row_id", "doc_id", "size", "text_crc32", *block, "at", "shard"), "assigned")
     counts = placed.groupBy("shard", *block).agg(F.count(F.lit(1)).alias("n"))
     line = W.partitionBy("shard").orderBy("old_shard", F.desc("kind"), "block").rowsBetween(W.unboundedPreceding, -1)
     counts = stored(counts.select("shard", *block, F.coalesce(F.sum("n").over(line), F.lit(0)).alias("before")), "counts")
-    within = W.partitionBy("shard", *block).orderBy("at", "doc_id", "row_key")
+    within = W.partitionBy("shard", *block).orderBy("at", "row_id")
     slots = placed.withColumn("number", F.row_number().over(within)).join(counts, ["shard", *block])
     return slots.select(
-        "doc_id", "row_key", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        "row_id", "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("before") + F.col("number") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
         "old_shard", (F.col("old_shard") != F.col("shard")).alias("moved"))
 
 
-def write_affected(docs: DataFrame, plan: DataFrame, path: str) -> DataFrame:
+def write_affected(laid: DataFrame, plan: DataFrame, path: str) -> DataFrame:
     """Writes the new shards that gain or lose documents, one folder each; gives their numbers.
 
-    A shard that the plan leaves as it was keeps its old files.
+    ``laid`` is the layout that ``plan`` was made from.  Files hold row_id, slot
+    and doc, all columns of a document.  A shard that the plan leaves as it was
+    keeps its old files.  Rows meet their place by ``row_id``, which no two share,
+    so whatever repeats, every task gets an even part.
     """
     moves = plan.where("moved")
-    affected = stored(moves.select("shard").union(moves.select("old_shard")).distinct(), "affected")
-    plan = plan.join(F.broadcast(affected), "shard", "left_semi").select("row_key", "shard", "slot")
-    rows = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).dropDuplicates(["row_key"])
-    rows.join(plan, "row_key").drop("row_key").repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).write.partitionBy(
-        "shard").parquet(path)
+    affected = stored(moves.select("shard").union(moves.select(F.col("old_shard").alias("shard"))).distinct(), "affected")
+    places = plan.join(F.broadcast(affected), "shard", "left_semi").select("row_id", "shard", "slot")
+    rows = laid.select("row_id", "doc").join(places, "row_id")
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return affected
+
+
+_WRITTEN = "row_id long, slot long, doc struct<text: string>, shard int"
+
+
+def rewrite(laid: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with shard, slot and text_crc32 as the files hold them once affected shards are rewritten.
+
+    Rows of affected shards are read from the new files, the others from the
+    old ones, where their shard is the old one.
+    """
+    spark = laid.sparkSession
+    plan, path = stored(plan, "plan"), scratch_dir(spark, "llm-new-shards")
+    affected = F.broadcast(write_affected(laid, plan, path))
+    crc = F.crc32(F.coalesce(F.col("doc.text").cast("string"), F.lit("")).cast("binary")).alias("text_crc32")
+    written = spark.read.schema(_WRITTEN).parquet(path).select("row_id", "shard", "slot", crc)
+    kept = laid.withColumnRenamed("old_shard", "shard").join(affected, "shard", "left_anti").select("row_id", "shard", crc)
+    rest = plan.drop("shard", "slot", "text_crc32")
+    slots = plan.join(affected, "shard", "left_anti").select("row_id", "slot")
+    found = written.unionByName(kept.join(slots, "row_id").select(written.columns))
+    return rest.join(found, "row_id").select(plan.columns)
