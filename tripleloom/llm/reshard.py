@@ -155,12 +155,13 @@ def write_affected(laid: DataFrame, plan: DataFrame, path: str) -> DataFrame:
     ``laid`` is the layout that ``plan`` was made from.  Files hold row_id, slot
     and doc, all columns of a document.  A shard that the plan leaves as it was
     keeps its old files.  Rows meet their place by ``row_id``, which no two share,
-    so whatever repeats, every task gets an even part.
+    so whatever repeats, every task gets an even part.  The places grow with the
+    rows and are therefore never broadcast.
     """
     moves = plan.where("moved")
     affected = stored(moves.select("shard").union(moves.select(F.col("old_shard").alias("shard"))).distinct(), "affected")
     places = plan.join(F.broadcast(affected), "shard", "left_semi").select("row_id", "shard", "slot")
-    rows = laid.select("row_id", "doc").join(places, "row_id")
+    rows = laid.select("row_id", "doc").join(places.hint("merge"), "row_id")
     rows.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return affected
 
