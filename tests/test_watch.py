@@ -77,3 +77,14 @@ def test_views_unique_subjects_and_empty_tables(spark, tables, tmp_path):
     none = {"t": tables["t"].limit(0)}
     rows, line = report(spark, none, tmp_path / "e")
     assert set(rows.values()) == {(0, 0, 0)} and line["lines"] == 0
+
+
+def test_rows_without_any_subject(spark, tmp_path):
+    """Spark leaves out parts of a plan that turn out empty, and their counts with them."""
+    for name, key in (("t", None), ("u", "1")):
+        spark.createDataFrame([(key, "x")] * 50, "TOWN string, NAME string").write.parquet(f"{tmp_path}/{name}")
+    tables = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in "tu"}
+    other = TriplesMap("other", "SELECT * FROM u", "http://u/{TOWN}", classes=("http://t/Town",))
+    assert report(spark, tables, tmp_path / "one", maps=[TOWNS])[0] == {"towns": (50, 0, 50)}
+    rows, line = report(spark, tables, tmp_path / "two", maps=[TOWNS, other])
+    assert rows == {"towns": (50, 0, 50), "other": (50, 50, 0)} and line["stored_lines"] == 1

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,37 +83,52 @@ class Watch:
     """
 
     def __init__(self):
-        self.scans: list[tuple[Observation, list[str]]] = []
-        self.kept: Observation | None = None
-        self.sink: Observation | None = None
+        self.scans: list[tuple[_Seen, list[str]]] = []
+        self.kept: _Seen | None = None
+        self.sink: _Seen | None = None
 
     def scan(self, source: DataFrame, subjects: Sequence[tuple[str, str]]) -> DataFrame:
         """``source`` with its rows, and the subjects of each named map, counted."""
-        seen = Observation()
+        seen = _Seen(source, [F.count(F.lit(1)).alias("rows_read"), *[
+            F.count(F.col(column)).alias(f"m{i}") for i, (_, column) in enumerate(subjects)]])
         self.scans.append((seen, [name for name, _ in subjects]))
-        return source.observe(seen, F.count(F.lit(1)).alias("rows_read"), *[
-            F.count(F.col(column)).alias(f"m{i}") for i, (_, column) in enumerate(subjects)])
+        return seen.frame
 
     def triples(self, encoded: DataFrame) -> DataFrame:
-        self.kept = Observation()
-        return encoded.observe(self.kept, F.count(F.lit(1)).alias("triples"))
+        self.kept = _Seen(encoded, [F.count(F.lit(1)).alias("triples")])
+        return self.kept.frame
 
     def lines(self, lines: DataFrame) -> DataFrame:
-        self.sink = Observation()
-        return lines.observe(self.sink, *line_sums())
+        self.sink = _Seen(lines, line_sums())
+        return self.sink.frame
 
     def subjects(self) -> dict[str, tuple[int, int]]:
         """Rows read and rows with a subject, per map; of several views of a table the latter are added."""
         found: dict[str, tuple[int, int]] = {}
         for seen, names in self.scans:
-            values = seen.get
+            values = seen.values()
             for i, name in enumerate(names):
                 read, made = found.get(name, (0, 0))
                 found[name] = max(read, values["rows_read"]), made + values[f"m{i}"]
         return found
 
     def written(self) -> dict[str, int]:
-        return {"triples": self.kept.get["triples"], **self.sink.get}
+        return {**self.kept.values(), **self.sink.values()}
+
+
+class _Seen:
+    """A frame whose rows are counted as they pass."""
+
+    def __init__(self, source: DataFrame, counts: list[Column]):
+        self.source, self.counts, self.observation = source, counts, Observation()
+        self.frame = source.observe(self.observation, *counts)
+
+    def values(self) -> dict[str, int]:
+        """The counts; taken anew where the run left this part of the plan out, as no row came through it."""
+        try:
+            return self.observation.get
+        except Py4JJavaError:
+            return self.source.agg(*self.counts).first().asDict()
 
 
 def line_sums() -> list[Column]:
