@@ -132,3 +132,26 @@ def test_a_refresh_empties_tables_that_are_not_listed(spark, tmp_path, frames):
     load_whole(spark, *places(tmp_path), {"pais": B.SCHEMAS["pais"]})
     assert B.read_table(spark, f"{tmp_path}/bronze", "municipio").count() == 0
     assert B.read_table(spark, f"{tmp_path}/bronze", "pais").count() == 25
+
+
+def test_rejected_records_add_up_to_the_lines(spark, tmp_path):
+    folder = tmp_path / "data/municipio"
+    folder.mkdir(parents=True)
+    lines = ["1;a", "2", "3;c;more", '4;"d;e"', "", "5;", "6;f", "2"]
+    (folder / "K.municipio.csv").write_text("\n".join(lines) + "\n")
+    (folder / "K.municipio2.csv").write_text("7;g\n8;h;i;j\n")
+    schemas = {"municipio": B.SCHEMAS["municipio"]}
+    found = {}
+    for rejects in (False, True):
+        base = tmp_path / str(rejects)
+        load_whole(spark, f"{tmp_path}/data", f"{base}/bronze", f"{base}/status", schemas, rejects=rejects)
+        found[rejects] = sorted(map(tuple, B.read_table(spark, f"{base}/bronze", "municipio").collect()), key=str)
+    assert found[False] == found[True]  # the rows stay as they are
+    assert ("2", None) in found[True] and ("3", "c") in found[True]
+    status = tmp_path / "True/status"
+    bad = spark.read.json(f"{status}/rejected")
+    assert sorted((r.file, r.record) for r in bad.collect()) == [
+        ("K.municipio.csv", "2"), ("K.municipio.csv", "2"), ("K.municipio.csv", "3;c;more"), ("K.municipio2.csv", "8;h;i;j")]
+    counts = {r.file: (r.record_count, r.rejected_count) for r in spark.read.json(f"{status}/rejected_per_file").collect()}
+    assert counts == {"K.municipio.csv": (7, 3), "K.municipio2.csv": (2, 1)}  # blank lines are no records
+    assert B.rejected_records(spark, f"{tmp_path}/False/bronze", schemas).count() == 0

@@ -53,6 +53,28 @@ def lookup_scan(spark, sf_dir):
     return result
 
 
+# Lines with one field, two and three, of which a table of two columns has to report the first and the last.
+_LINES = """CASE c_mktsegment WHEN 'BUILDING' THEN CAST(c_custkey AS {text})
+    WHEN 'MACHINERY' THEN concat(CAST(c_custkey AS {text}), ';', c_name, ';', c_mktsegment)
+    ELSE concat(CAST(c_custkey AS {text}), ';', c_name) END"""
+
+
+@query("rejected_records", f"""
+    WITH l AS (SELECT c_custkey, c_name, c_mktsegment, {_LINES.format(text="VARCHAR")} AS line FROM customer)
+    SELECT 'rejected' AS part, line AS code, NULL AS name FROM l WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
+    UNION ALL SELECT 'table', CAST(c_custkey AS VARCHAR), CASE WHEN c_mktsegment <> 'BUILDING' THEN c_name END FROM l""")
+def rejected(spark, sf_dir):
+    """Lines with too few or too many fields, and the table with all rows, from one load."""
+    base, schema = scratch_dir(spark, "rejects"), {"municipio": B.SCHEMAS["municipio"]}
+    lines = table(spark, sf_dir, "customer").selectExpr(f"{_LINES.format(text='STRING')} AS value")
+    lines.write.text(f"{base}/data/municipio")
+    B.load_tables(spark, f"{base}/data", f"{base}/bronze", schema, _PART, rejects=True)
+    bad = B.rejected_records(spark, f"{base}/bronze", schema)
+    rows = B.read_table(spark, f"{base}/bronze", "municipio").toDF("code", "name")
+    return bad.select(F.lit("rejected").alias("part"), F.col("record").alias("code"), F.lit(None).cast("string").alias("name")).unionByName(
+        rows.select(F.lit("table").alias("part"), "code", "name"))
+
+
 _SELECTED = ("customer", "documents", "lineitem", "part", "supplier")
 
 

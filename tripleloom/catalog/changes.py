@@ -1,11 +1,14 @@
-"""Change sets between two snapshots of orders."""
+"""Change sets between two snapshots of orders, and what they do to a graph."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tripleloom.catalog.oracle import distinct, map_sql
 from tripleloom.catalog.registry import query, table
+from tripleloom.catalog.rules import _KINDS, SALES_MAPS
 from tripleloom.operators.changes import snapshot_changes, snapshot_changes_bag
+from tripleloom.operators.delta import count_rows, graph_delta
 
 # The new snapshot starts two years later, ends later, and has urgent open orders filled.
 _COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
@@ -56,3 +59,23 @@ _BAG = "SELECT * FROM"
     UNION ALL SELECT 'insert', *, count(*) FROM come GROUP BY ALL)""")
 def bag(spark, sf_dir):
     return _shown(snapshot_changes_bag(*_snapshots(spark, sf_dir)))
+
+
+_MAPS = [tm for tm in SALES_MAPS if tm.table == "orders"]
+
+
+def _set_sql(rows):
+    return distinct(" UNION ALL ".join(map_sql(tm, f"({rows})", _KINDS) for tm in _MAPS))
+
+
+@query("graph_delta", f"""
+    WITH a AS ({_set_sql(_OLD)}), b AS ({_set_sql(_NEW)})
+    SELECT 'add' AS change, * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+    UNION ALL SELECT 'remove', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def delta_of_graph(spark, sf_dir):
+    """Triples to add and remove after the change of the orders, from the rows behind each triple."""
+    old, new = _snapshots(spark, sf_dir)
+    graph, counts = count_rows(spark, _MAPS, {"orders": old})
+    delta = graph_delta(spark, _MAPS, graph, counts, {"orders": snapshot_changes(old, new, ["o_orderkey"])})
+    return delta.added.triples().select(F.lit("add").alias("change"), "*").unionByName(
+        delta.removed.triples().select(F.lit("remove").alias("change"), "*"))

@@ -19,6 +19,7 @@ from tripleloom.operators.triples import (
     unique_subjects,
 )
 from tripleloom.session import scratch_dir
+from tripleloom.sources.passes import write_in_passes
 from tripleloom.sources.sinks import stored_lines, write_ntriples
 
 ONT = "http://example.org/ontology/"
@@ -213,6 +214,16 @@ def graph_distinct(spark, sf_dir):
     return _sales_counts(spark, sf_dir, True)
 
 
+@query("graph_in_passes", f"SELECT p, count(*) AS triples FROM ({distinct(_SALES_BAG)}) GROUP BY ALL")
+def graph_in_passes(spark, sf_dir):
+    """The same set, written in three committed passes and counted from the lines in the files."""
+    tables = {tm.table: table(spark, sf_dir, tm.table) for tm in SALES_MAPS}
+    path = scratch_dir(spark, "passes")
+    write_in_passes(spark, SALES_MAPS, tables, path, passes=3)
+    predicate = F.substring_index(F.substring_index("value", "> ", 2), "<", -1)
+    return spark.read.text(path).groupBy(predicate.alias("p")).agg(F.count(F.lit(1)).alias("triples"))
+
+
 @query("graph_unique_subjects", f"SELECT p, o_kind, count(*) AS triples FROM ({distinct(_SALES_BAG)}) GROUP BY ALL")
 def graph_unique_subjects(spark, sf_dir):
     """The same set, with triples of maps that have a subject per row kept out of the shuffle."""

@@ -22,9 +22,10 @@ from tripleloom.operators.rules import TriplesMap, maps_from_json
 from tripleloom.operators.triples import Options, Tables, Watch, build_graph, reconcile_watched, unique_subjects
 from tripleloom.plans.register_mapping import OUTPUT_PREFIXES, REGISTER_MAPS
 from tripleloom.plans.silver import Codes, spread_tables
-from tripleloom.session import fit_shuffle, prepare, scratch_dir
+from tripleloom.session import fit_shuffle, passes_needed, prepare, scratch_dir
 from tripleloom.sources import bronze as B
 from tripleloom.sources.loads import load_whole
+from tripleloom.sources.passes import write_in_passes
 from tripleloom.sources.sinks import stored_lines, write_ntriples, write_prefixes
 from tripleloom.sources.tables import drop_tables, preview, register_views, table_loader, write_tables
 
@@ -34,7 +35,8 @@ TRIPLE_GROWTH = 8
 
 def load(
     spark: SparkSession, data_dir: str, bronze_dir: str, status_dir: str, fmt: str = "parquet", append: bool = False,
-    changes_dir: str | None = None, keys: Mapping[str, Sequence[str]] | None = None, **options: str | bool,
+    changes_dir: str | None = None, keys: Mapping[str, Sequence[str]] | None = None,
+    rejects: bool = False, **options: str | bool,
 ) -> DataFrame:
     """Full refresh, or with ``append`` an addition, of the bronze tables; returns and writes this load's manifest.
 
@@ -42,9 +44,10 @@ def load(
     and empties any other found beside them.  With ``changes_dir`` it also
     writes the change set of each table that was there before, an addition that
     of every table: by key where ``keys`` names one, else as row copies.
+    ``rejects`` adds records with a wrong number of fields to the status.
     """
     load_id = load_whole(spark, data_dir, bronze_dir, status_dir, fmt=fmt, append=append, changes_dir=changes_dir, keys=keys,
-                         **options)
+                         rejects=rejects, **options)
     return B.load_manifest(spark, data_dir, bronze_dir, fmt=fmt, load_id=load_id)
 
 
@@ -65,6 +68,7 @@ def publish(
     options: Options = Options(),
     check_unique: bool = False,
     verify: bool = False,
+    passes: int | None = None,
 ) -> DataFrame:
     """Writes the graph of the maps as N-Triples, with prefixes and reconciliation.
 
@@ -72,13 +76,18 @@ def publish(
     ``verify`` also reads the written files and compares number and checksum of
     their lines.  ``check_unique`` first looks for maps with a subject per row, whose triples
     then need no shuffle; it pays where most triples come from such maps.
+    With ``passes`` the lines are written in that many committed passes, and a
+    repeated call after a failure goes on with those that are missing.
     Returns rows read and subjects made per map.
     """
-    unique = unique_subjects(spark, maps, tables, options) if check_unique else frozenset()
-    watch = Watch()
-    graph = build_graph(spark, maps, tables, options, unique, watch).distinct()
     base = output_dir.rstrip("/")
-    write_ntriples(graph, f"{base}/triples")
+    if passes:
+        graph, watch = write_in_passes(spark, maps, tables, f"{base}/triples", options, passes)
+    else:
+        unique = unique_subjects(spark, maps, tables, options) if check_unique else frozenset()
+        watch = Watch()
+        graph = build_graph(spark, maps, tables, options, unique, watch).distinct()
+        write_ntriples(graph, f"{base}/triples")
     write_prefixes(spark, OUTPUT_PREFIXES, f"{base}/prefixes")
     graph.notes_frame(spark).write.mode("overwrite").json(f"{base}/notes")
     written = watch.written()
@@ -98,14 +107,20 @@ def publish(
 def publish_tables(
     spark: SparkSession, silver_dir: str, output_dir: str, maps: Sequence[TriplesMap] = REGISTER_MAPS,
     options: Options = Options(), fmt: str = "parquet", check_unique: bool = False, verify: bool = False,
+    passes: int | None = None,
 ) -> DataFrame:
-    """Publishes the graph of a mapping over stored tables, by default the register's."""
+    """Publishes the graph of a mapping over stored tables, by default the register's.
+
+    Without ``passes`` a graph that one shuffle holds is written at once, a larger one in as many passes as it needs.
+    """
     read = table_loader(spark, silver_dir, fmt)
     tables = {name: read(name) for name in dict.fromkeys(tm.table for tm in maps if tm.table)}
     if options.source == "query":
         register_views(tables)
     fit_shuffle(spark, tables.values(), TRIPLE_GROWTH)
-    return publish(spark, maps, tables, output_dir, options, check_unique, verify)
+    needed = passes_needed(tables.values(), TRIPLE_GROWTH)
+    passes = passes or (needed if needed > 1 else None)
+    return publish(spark, maps, tables, output_dir, options, check_unique, verify, passes)
 
 
 def read_maps(spark: SparkSession, path: str) -> tuple[TriplesMap, ...]:
@@ -134,6 +149,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     command.add_argument("--multi-line", action="store_true", help="quoted fields may hold line ends")
     command.add_argument("--changes", help="folder for the change set of each replaced table")
     command.add_argument("--key", type=_key, action="append", default=[], help="table=COLUMN,... for the change set")
+    command.add_argument("--rejects", action="store_true", help="report records with a wrong number of fields")
     command.add_argument("--preview", action="store_true", help="show the first rows of each table")
     command = commands.add_parser("refine")
     for name in ("bronze", "silver"):
@@ -149,6 +165,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     command.add_argument("--drop-null-iris", action="store_true", help="no triple for an IRI with a null part")
     command.add_argument("--check-unique", action="store_true", help="find maps whose triples need no shuffle")
     command.add_argument("--verify", action="store_true", help="read the written lines and compare them with what was made")
+    command.add_argument("--passes", type=int, help="write in this many passes that a repeated job need not make again")
     for command in commands.choices.values():
         command.add_argument("--format", default="parquet", help="table format")
     args = parser.parse_args(argv)
@@ -156,7 +173,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     spark = prepare(SparkSession.builder.appName(f"tripleloom-{args.command}").getOrCreate())
     if args.command == "load":
         given = {"encoding": args.encoding, "escape": args.escape, "multiLine": args.multi_line or None}
-        load(spark, args.data, args.bronze, args.status, args.format, args.append, args.changes, dict(args.key),
+        load(spark, args.data, args.bronze, args.status, args.format, args.append, args.changes, dict(args.key), args.rejects,
              **{k: v for k, v in given.items() if v is not None})
         for table in B.SCHEMAS if args.preview else ():
             print(table)
@@ -168,7 +185,8 @@ def main(argv: Sequence[str] | None = None) -> None:
             null_iri=None if args.drop_null_iris else "NONE", constants=args.constants,
             source="query" if args.run_queries else "table")
         maps = read_maps(spark, args.mapping) if args.mapping else REGISTER_MAPS
-        publish_tables(spark, args.silver, args.output, maps, options, args.format, args.check_unique, args.verify)
+        publish_tables(spark, args.silver, args.output, maps, options, args.format, args.check_unique, args.verify,
+                       args.passes)
 
 
 if __name__ == "__main__":

@@ -266,7 +266,7 @@ class Graph:
             return self.encoded
         number = {x: i for i, x in enumerate(shapes, 1)}
         moved = _pick([str(number[x]) for x in self.shapes], F.col("shape")).cast("int")
-        return self.encoded.select(moved.alias("shape"), "s", "o")
+        return self.encoded.select(moved.alias("shape"), "s", "o", *self.encoded.columns[3:])
 
     def whole(self) -> Graph:
         """The same graph with whole IRIs in ``s`` and ``o``, none of them known to be single."""
@@ -278,6 +278,7 @@ class Graph:
             _pick([str(number[x]) for x in bare], shape).cast("int").alias("shape"),
             F.concat(_pick([x.subject for x in self.shapes], shape), F.col("s")).alias("s"),
             F.concat(_pick([x.object for x in self.shapes], shape), F.col("o")).alias("o"),
+            *self.encoded.columns[3:],
         )
         return replace(self, repeated=encoded, shapes=shapes, prefixes=Prefixes(open=frozenset([""])), single=None)
 
@@ -403,7 +404,7 @@ class _Compiler:
 
     def encoded(
         self, spark: SparkSession, numbers: Mapping[Shape, int], wanted: Callable[[_Emission], bool],
-        watch: Watch | None = None,
+        watch: Watch | None = None, carry: Sequence[str] = (),
     ) -> DataFrame | None:
         """Triples of the wanted emissions by one scan of the columns they need; the first such scan is watched."""
         triples = list(dict.fromkeys((numbers[e.shape], e.subject, e.object) for e in self.emissions if wanted(e)))
@@ -414,13 +415,14 @@ class _Compiler:
         if watch is not None:
             used |= dict.fromkeys(s for _, s in self.subjects)
         names = {name: f"c{i}" for i, name in enumerate(used)}
-        source = self.frame.select(*[self.columns[n].alias(alias) for n, alias in names.items()])
+        source = self.frame.select(*[self.columns[n].alias(alias) for n, alias in names.items()], *carry)
         if watch is not None:
             source, self.watched = watch.scan(source, [(name, names[s]) for name, s in self.subjects]), True
         rows = ", ".join(f"(`{names[s]}`, `{names[o]}`) AS `{number}`" for number, s, o in triples)
         # UNPIVOT plans as Expand, which stays in whole-stage codegen and builds no array per row.
         spread = spark.sql(
-            f"SELECT CAST(shape AS INT) AS shape, s, o FROM {{source}} UNPIVOT ((s, o) FOR shape IN ({rows}))",
+            f"SELECT {', '.join(['CAST(shape AS INT) AS shape', 's', 'o', *carry])} "
+            f"FROM {{source}} UNPIVOT ((s, o) FOR shape IN ({rows}))",
             source=source,
         )
         return spread.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
@@ -472,6 +474,7 @@ def build_graph(
     options: Options = Options(),
     unique: frozenset[str] = frozenset(),
     watch: Watch | None = None,
+    carry: Sequence[str] = (),
 ) -> Graph:
     """The bag of all triples of all maps; maps over one table share its scan.
 
@@ -483,6 +486,8 @@ def build_graph(
     made twice, and then stay out of the shuffle of ``distinct``.
 
     With a ``watch`` the action that writes the graph counts on its way.
+    Columns named in ``carry`` go from each row to all its triples, as further
+    columns of ``encoded``.
     """
     compilers, notes = _compile(spark, maps, tables, options)
     emissions = [e for compiler in compilers for e in compiler.emissions]
@@ -496,10 +501,10 @@ def build_graph(
     def is_single(e: _Emission) -> bool:
         return not overlap and e.map in unique and made[e.shape] == 1
 
-    repeated = _union(c.encoded(spark, numbers, lambda e: not is_single(e), watch) for c in compilers)
-    single = _union(c.encoded(spark, numbers, is_single, watch) for c in compilers)
+    repeated = _union(c.encoded(spark, numbers, lambda e: not is_single(e), watch, carry) for c in compilers)
+    single = _union(c.encoded(spark, numbers, is_single, watch, carry) for c in compilers)
     if repeated is None:
-        repeated = spark.createDataFrame([], ENCODED_SCHEMA)
+        repeated = spark.createDataFrame([], ", ".join([ENCODED_SCHEMA, *[f"`{c}` long" for c in carry]]))
     graph = Graph(repeated, tuple(numbers), tuple(notes), prefixes, single, watch)
     return graph.whole() if overlap else graph
 

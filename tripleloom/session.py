@@ -15,6 +15,8 @@ from tripleloom.operators.joins import planned_bytes
 # of that length and the driver one entry per pair, so beyond it partitions grow and spill.
 SHUFFLE_BYTES = 128 * 1024 * 1024
 MOST_PARTITIONS = 20_000
+# Shuffled bytes of one task beyond which a graph is published in several passes.
+MOST_TASK_BYTES = 1024 * 1024 * 1024
 
 # Runtime settings the plans rely on; all can be set on a live session.
 RUNTIME_SETTINGS = {
@@ -46,6 +48,12 @@ def fit_shuffle(spark: SparkSession, stored: Iterable[DataFrame], growth: float
     return number
 
 
+def passes_needed(stored: Iterable[DataFrame], growth: float = 1.0) -> int:
+    """Passes that keep each task of the widest shuffle of what stored tables give within ``MOST_TASK_BYTES``."""
+    total = int(sum(planned_bytes(frame) for frame in stored) * growth)
+    return total // (MOST_PARTITIONS * MOST_TASK_BYTES) + 1
+
+
 def run_together(actions: Iterable[Callable[[], None]], at_once: int = 4) -> None:
     """Runs independent Spark actions a few at a time, so one's last tasks overlap the next's first."""
     with ThreadPoolExecutor(at_once) as pool:

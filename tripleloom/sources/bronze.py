@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tripleloom.session import run_together
 from tripleloom.sources.tables import _path, replace_table
 
-SOURCE_FILE, LOAD_ID = "_source_file", "_load_id"
+SOURCE_FILE, LOAD_ID, REJECTED = "_source_file", "_load_id", "_rejected"
 
 
 # Rows of a task are ordered by this column when stored, without a shuffle, so
@@ -79,19 +79,25 @@ def scan_files(
     folder: str,
     schema: T.StructType,
     fragments: Sequence[str] = FILE_FRAGMENTS,
+    rejects: bool = False,
     **options: str | bool,
 ) -> DataFrame:
     """Rows of the matching files directly inside ``folder``, plus ``_source_file``.
 
+    With ``rejects`` a further column ``_rejected`` holds the whole text of
+    records with too few or too many fields, else null.
+
     Short rows are filled with nulls and extra fields dropped; empty fields are
     null.  ``encoding``, ``escape``, ``multiLine`` and other reader options can
     be given; one record per line keeps large files splittable.  The condition
     is on file metadata, so files that do not match are never opened.
     """
-    reader = spark.read.schema(schema).options(header=False, sep=";", inferSchema=False)
+    extra = [T.StructField(REJECTED, T.StringType())] if rejects else []
+    reader = spark.read.schema(T.StructType(schema.fields + extra)).options(
+        header=False, sep=";", inferSchema=False, columnNameOfCorruptRecord=REJECTED)
     rows = reader.options(**options).csv(folder)
     matching = rows.filter(name_matches(F.col("_metadata.file_name"), fragments))
-    return matching.select(*schema.names, _plain_name(F.col("_metadata.file_name")).alias(SOURCE_FILE))
+    return matching.select(*schema.names, *[f.name for f in extra], _plain_name(F.col("_metadata.file_name")).alias(SOURCE_FILE))
 
 
 def _plain_name(encoded: Column) -> Column:
@@ -125,6 +131,7 @@ def load_tables(
     fmt: str = "parquet",
     keep_previous: bool = False,
     load_id: str | None = None,
+    rejects: bool = False,
     **options: str | bool,
 ) -> str:
     """Loads every table from ``data_dir/<table>`` with one read and one write; returns the load's id.
@@ -132,12 +139,14 @@ def load_tables(
     ``overwrite`` is the full refresh: a table is replaced as a whole when its
     rows are written, so a repeated load leaves the same rows and a failed one
     the old.  ``append`` adds to what is there.  ``keep_previous`` leaves the
-    replaced rows in ``previous_path``.
+    replaced rows in ``previous_path``.  ``rejects`` also stores the text of
+    records with a wrong number of fields, for ``rejected_records``; the rows
+    themselves stay as they are.
     """
     load_id = load_id or uuid.uuid4().hex
 
     def load(table: str) -> None:
-        rows = scan_files(spark, f"{data_dir.rstrip('/')}/{table}", schemas[table], fragments, **options)
+        rows = scan_files(spark, f"{data_dir.rstrip('/')}/{table}", schemas[table], fragments, rejects, **options)
         if STORED_ORDER.get(table) in schemas[table].names:
             rows = rows.sortWithinPartitions(STORED_ORDER[table])
         rows, path = rows.withColumn(LOAD_ID, F.lit(load_id)), f"{bronze_dir.rstrip('/')}/{table}"
@@ -175,7 +184,33 @@ def clear_tables(
 
 def read_table(spark: SparkSession, bronze_dir: str, table: str, fmt: str = "parquet") -> DataFrame:
     """A stored bronze table with its declared columns only."""
-    return spark.read.format(fmt).load(f"{bronze_dir.rstrip('/')}/{table}").drop(SOURCE_FILE, LOAD_ID)
+    return spark.read.format(fmt).load(f"{bronze_dir.rstrip('/')}/{table}").drop(SOURCE_FILE, LOAD_ID, REJECTED)
+
+
+def rejected_records(
+    spark: SparkSession, bronze_dir: str, tables: Iterable[str] = tuple(SCHEMAS), fmt: str = "parquet", load_id: str | None = None
+) -> DataFrame:
+    """Records with a wrong number of fields (``delta_table, file, record``), each as often as it was loaded.
+
+    They come from a column that the load stored in its one pass: almost all
+    null, so a reader skips most of it by its statistics.  A table loaded
+    without ``rejects`` has none.
+    """
+    found = spark.createDataFrame([], "delta_table string, file string, record string")
+    for table in tables:
+        stored = spark.read.format(fmt).load(f"{bronze_dir.rstrip('/')}/{table}")
+        if REJECTED in stored.columns:
+            stored = stored if load_id is None else stored.filter(F.col(LOAD_ID) == load_id)
+            found = found.unionByName(stored.filter(F.col(REJECTED).isNotNull()).select(
+                F.lit(table).alias("delta_table"), F.col(SOURCE_FILE).alias("file"), F.col(REJECTED).alias("record")))
+    return found
+
+
+def rejected_per_file(manifest: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The manifest with the number of rejected records of each file."""
+    counts = rejected.groupBy("delta_table", "file").agg(F.count(F.lit(1)).alias("_count"))
+    return manifest.join(counts, ["delta_table", "file"], "left").select(
+        *manifest.columns, F.coalesce("_count", F.lit(0)).cast("long").alias("rejected_count"))
 
 
 def load_manifest(

@@ -113,14 +113,16 @@ def change_set(old: DataFrame | None, new: DataFrame, key: Sequence[str] | None)
 def load_whole(
     spark: SparkSession, data_dir: str, bronze_dir: str, status_dir: str, schemas: Mapping[str, T.StructType] = B.SCHEMAS,
     fragments: Sequence[str] = B.FILE_FRAGMENTS, fmt: str = "parquet", append: bool = False,
-    changes_dir: str | None = None, keys: Mapping[str, Sequence[str]] | None = None, **options: str | bool,
+    changes_dir: str | None = None, keys: Mapping[str, Sequence[str]] | None = None, rejects: bool = False,
+    **options: str | bool,
 ) -> str:
     """Loads all tables, their manifest and, with ``changes_dir``, their change sets; gives the load's id.
 
     A load with ``append`` adds its rows, all of them inserts in its change
     sets.  A refresh gives change sets of the tables that were there before, and
     empties tables that are not listed.  A load that was not finished is
-    finished first.
+    finished first.  With ``rejects`` the status also has a folder ``rejected`` of
+    records with a wrong number of fields and their numbers per file in ``rejected_per_file``.
     """
     bronze_dir, status_dir = bronze_dir.rstrip("/"), status_dir.rstrip("/")
     changes_dir = changes_dir and changes_dir.rstrip("/")
@@ -132,8 +134,14 @@ def load_whole(
     load_id = uuid.uuid4().hex
     staged = {base: staging_path(base, load_id) for base in filter(None, (bronze_dir, status_dir, changes_dir))}
     try:
-        B.load_tables(spark, data_dir, staged[bronze_dir], schemas, fragments, "overwrite", fmt, load_id=load_id, **options)
-        B.write_manifest(B.load_manifest(spark, data_dir, staged[bronze_dir], schemas, fragments, fmt, load_id), staged[status_dir])
+        B.load_tables(spark, data_dir, staged[bronze_dir], schemas, fragments, "overwrite", fmt, load_id=load_id, rejects=rejects,
+                      **options)
+        manifest = B.load_manifest(spark, data_dir, staged[bronze_dir], schemas, fragments, fmt, load_id)
+        B.write_manifest(manifest, staged[status_dir])
+        if rejects:
+            rejected = B.rejected_records(spark, staged[bronze_dir], schemas, fmt)
+            rejected.write.json(f"{staged[status_dir]}/rejected")
+            B.rejected_per_file(manifest, rejected).write.json(f"{staged[status_dir]}/rejected_per_file")
 
         def write_changes(table: str) -> None:
             old = None if append else B.read_table(spark, bronze_dir, table, fmt)
