@@ -1,7 +1,12 @@
+import html
 import math
+import random
+import re
+import time
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tripleloom.llm import langid as m
 from tripleloom.llm.langid import identify, page_text
@@ -94,3 +99,42 @@ def test_page_text():
     page = "<html lang='fr-CA'><script>var x='</p>'</script><nav>menu</nav><!-- a <b> --><div class=\"ad\">ad</div><p>a&amp;b <i>c</i></p>"
     assert page_text(page).split() == ["a&b", "c"] and m.declared(page) == "fr"
     assert m.address("https://www.a.example.org/x") == ("www.a.example.org", "a.example.org", "org")
+
+
+def plain_text(page):
+    """Rules of ``page_text`` as plain patterns, which may go over a page many times."""
+    parts = re.compile(r"<!--.*?-->|<(script|style|nav|header|footer|aside|noscript|template)\b.*?</\1\s*>", re.S | re.I | re.A)
+    ads = re.compile(r"<div\b[^>]*\bclass=[\"']?ad\b[^>]*>.*?</div\s*>", re.S | re.I | re.A)
+    return html.unescape(re.sub("<[^>]*>", " ", ads.sub(" ", parts.sub(" ", page))))
+
+
+def plain_declared(page):
+    found = re.search(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", page, re.I)
+    return found[1].lower() if found else ""
+
+
+def test_one_scan_gives_what_the_plain_patterns_give():
+    draw = random.Random(5)
+    pieces = ["<!--", "-->", "<nav>", "<nav ", "</nav>", "</NAV >", "<script>", "</script>", "<style", "</style>", "<div class=ad>",
+              "<div class='ad' ", "<div id=x>", "<div ", "</div>", "</div\n>", "<", ">", "<p>", "a", " b ", "&amp;", "&#65;", "<navy>",
+              "<html ", "<html lang=de", " lang = 'fr'", " xml:lang=en", "<html>", "class=ad", "-", "--", "\n"]
+    for _ in range(20_000):
+        page = "".join(draw.choices(pieces, k=draw.randrange(1, 14)))
+        assert page_text(page) == plain_text(page), page
+        assert m.declared(page) == plain_declared(page), page
+
+
+@pytest.mark.parametrize("piece", ["<nav ", "<!--", "<script>x", "<div class=ad>", "<div class=ad ", "<html ", "<", "<div ", "lang= ",
+                                   "<html lang=", "&#1", "&"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_very_long_malformed_pages_take_one_scan(piece, end):
+    page = piece * (1_000_000 // len(piece)) + end
+    start = time.time()
+    page_text(page), m.declared(page)
+    m.declared("<html lang=" + " " * 1_000_000)
+    assert time.time() - start < 2
+
+
+def test_very_long_numbers_of_characters():
+    assert page_text("a&#" + "1" * 10_000 + ";b") == "a\ufffdb"
+    assert page_text("a&#" + "0" * 10_000 + "65;b") == "aAb"

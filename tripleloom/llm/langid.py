@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -37,22 +38,77 @@ TEXT_WEIGHT = 0.3
 #: Pages that a parent's distribution counts for in a host's or domain's, and in a declaration's or suffix's.
 HOST_STRENGTH, SHARE_STRENGTH = 2.0, 1.0
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|nav|header|footer|aside|noscript|template)\b.*?</\1\s*>", re.S | re.I)
-_ADS = re.compile(r"<div\b[^>]*\bclass=[\"']?ad\b[^>]*>.*?</div\s*>", re.S | re.I)
+_OPEN = re.compile(r"<!--|<(script|style|nav|header|footer|aside|noscript|template)\b", re.I | re.A)
+_CLOSE = re.compile(r"</(script|style|nav|header|footer|aside|noscript|template|div)\s*>", re.I | re.A)
+_DIV, _AD = re.compile(r"<div\b", re.I | re.A), re.compile(r"\bclass=[\"']?ad\b", re.I)
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", re.I)
+_HTML = re.compile(r"<html\b", re.I | re.A)
+_LANG = re.compile(r"\b(?:xml:)?lang\s*=\s*(?:[\"']\s*)?([a-zA-Z]{2,3})\b", re.I)
+_NUMBER = re.compile(r"&#0*([0-9]{1,8})[0-9]*")
+
+
+def _closers(page: str) -> dict[str, list[tuple[int, int]]]:
+    """Bounds of the closing tags in order, per name."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSE.finditer(page):
+        found.setdefault(m[1].lower(), []).append(m.span())
+    return found
+
+
+def _without_parts(page: str) -> str:
+    """The page without comments and without what no reader sees; parts that are never closed stay."""
+    closers, last, kept, done, at = _closers(page), page.rfind("-->"), [], 0, 0
+    while (m := _OPEN.search(page, at)) is not None:
+        if m[1] is None:
+            end = page.find("-->", m.end()) + 3 if last >= m.end() else -1
+        else:
+            own = closers.get(m[1].lower(), [])
+            i = bisect_left(own, (m.end(), 0))
+            end = own[i][1] if i < len(own) else -1
+        at = m.end() if end < 0 else end
+        if end >= 0:
+            kept.append(page[done:m.start()])
+            done = end
+    return " ".join([*kept, page[done:]])
+
+
+def _without_ads(page: str) -> str:
+    own, kept, done, at = _closers(page).get("div", []), [], 0, 0
+    while (m := _DIV.search(page, at)) is not None:
+        end = page.find(">", m.end())
+        i = bisect_left(own, (end, 0))
+        if end < 0 or i == len(own):  # nothing behind can be a whole part either
+            break
+        # Openings inside a tag have a part of its text, so what it lacks they lack.
+        at = end + 1
+        if _AD.search(page, m.end(), end):
+            kept.append(page[done:m.start()])
+            done = at = own[i][1]
+    return " ".join([*kept, page[done:]])
 
 
 def page_text(page: str | None) -> str:
-    """What a reader sees of a page: no markup, menus, scripts or advertisements."""
+    """What a reader sees of a page: no markup, menus, scripts or advertisements.
+
+    Every step goes over the page once, whatever is left open in it.
+    """
     if not page:
         return ""
-    return html.unescape(_TAG.sub(" ", _ADS.sub(" ", _DROP.sub(" ", page))))
+    page = _without_ads(_without_parts(page))
+    whole = page.rfind(">") + 1  # behind it no tag is closed
+    text = _TAG.sub(" ", page[:whole]) + page[whole:]
+    # Longer numbers name no character; Python refuses to read very long ones.
+    return html.unescape(_NUMBER.sub(r"&#\1", text) if "&#" in text else text)
 
 
 def declared(page: str | None) -> str:
-    found = _DECLARED.search(page or "")
-    return found[1].lower() if found else ""
+    page, at = page or "", 0
+    while (m := _HTML.search(page, at)) is not None:
+        end = page.find(">", m.end())
+        at = len(page) if end < 0 else end
+        if found := _LANG.search(page, m.end(), at):
+            return found[1].lower()
+    return ""
 
 
 def address(url: str | None) -> tuple[str, str, str]:
