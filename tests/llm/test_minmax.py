@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 from tripleloom.llm.components import components
-from tripleloom.llm.minmax import near_duplicates
+from tripleloom.llm.minmax import LOSS, near_duplicates, plan
 
 SCHEMA = "doc_id long, text string, n_shingles string"
 
@@ -96,3 +96,27 @@ def test_components_of_a_chain(spark):
     edges = list(zip(order[:-1], order[1:], strict=True)) + [(1000, 1001), (1001, 1002), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{n: 0 for n in order}, 1000: 1000, 1001: 1000, 1002: 1000}
+
+
+@pytest.mark.parametrize("similarity", [70, 85, 95])
+def test_pairs_at_the_wanted_similarity(spark, similarity):
+    """Pairs that share s of s + 2 (100 - s) / 2 shingles are linked, those that share one shingle less are not."""
+    rows = []
+    for pair in range(800):
+        shared, own = 2 * similarity - pair % 2, 100 - similarity
+        for side in "ab":
+            words = [f"c{pair}x{i}" for i in range(shared + 4)] + [f"{side}{pair}x{i}" for i in range(own)]
+            rows.append((len(rows), " ".join(words), None))
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), similarity).collect()}
+    missed = [p for p in range(0, 800, 2) if found[2 * p + 1] != 2 * p]
+    wrong = [p for p in range(1, 800, 2) if found[2 * p + 1] == 2 * p]
+    assert not missed and not wrong
+
+
+def test_the_plan_follows_from_the_similarity():
+    assert plan(85) == (24, 5, 81)
+    for similarity in range(30, 100):
+        bands, rows, close = plan(similarity)
+        assert bands * rows == 120 and (1 - (similarity / 100) ** rows) ** bands <= LOSS and 0 < close <= 120
+    with pytest.raises(ValueError):
+        plan(5)

@@ -3,8 +3,10 @@
 Each of 60 one-to-one maps of the shingle hashes gives two values of a
 document's signature, its least and its greatest image, so 120 values cost 60
 evaluations; the two are nearly independent, and each agrees between two sets
-with the probability of their Jaccard similarity.  24 bands of 5 values find a
-pair of similarity 0.85 with probability 1 - 8e-7.
+with the probability of their Jaccard similarity.  The values are cut into bands
+and a number of them must agree for a pair to look close; both follow from the
+wanted similarity so that each misses a pair at it with probability of at most
+``LOSS`` (24 bands of 5 values and 81 values at 0.85).
 
 Documents with equal shingle sets form one class, and only classes are
 compared.  Classes of one band value form a bucket.  A bucket never gives all
@@ -21,6 +23,9 @@ id.  Repeated rows are copies of each other.  Extra columns are not read.
 
 from __future__ import annotations
 
+from math import comb
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,15 +37,13 @@ from tripleloom.llm.text import as_long, find_words, gram_hashes, mix, ranges, w
 
 SHINGLE = 5
 PERMUTATIONS = 60
-BANDS = 24
-ROWS = 2 * PERMUTATIONS // BANDS
 SIMILARITY = 85
+#: Probability with which the bands, and again the number of equal lanes, may miss a pair at the wanted similarity.
+LOSS = 1e-6
 #: Members of a bucket's block, and of a block of full sets.
 BLOCK, SET_BLOCK = 512, 256
 #: Shingles whose memberships are held as a matrix at once.
 _COLUMNS = 4096
-#: Lanes that must agree for a pair to be confirmed on the full sets: four deviations below 0.85.
-CLOSE = int(2 * PERMUTATIONS * (0.85 - 4 * (0.85 * 0.15 / (2 * PERMUTATIONS)) ** 0.5))
 #: Lanes that let a member join at once, before the best partner is known.
 SURE = int(2 * PERMUTATIONS * 0.95)
 #: Bits that mark the documents whose sets are needed; the table is broadcast and has this size at every input.
@@ -51,6 +54,26 @@ _FACTORS = _DRAW.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2
 _SHIFTS = _DRAW.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
+class Plan(NamedTuple):
+    """Number of bands, values per band, and values that must agree for a pair to be confirmed on the full sets."""
+
+    bands: int
+    rows: int
+    close: int
+
+
+def plan(similarity: int) -> Plan:
+    """The widest bands, and the most values to agree, that lose no more than ``LOSS`` each at ``similarity`` hundredths."""
+    lanes, s = 2 * PERMUTATIONS, similarity / 100
+    fit = [r for r in range(1, lanes + 1) if lanes % r == 0 and (1 - s**r) ** (lanes // r) <= LOSS] if 0 < s <= 1 else []
+    if not fit:
+        raise ValueError(f"{lanes} values cannot find pairs of similarity {similarity} hundredths with a loss of {LOSS}")
+    below, close = 0.0, 0
+    while close < lanes and (below := below + comb(lanes, close) * s**close * (1 - s) ** (lanes - close)) <= LOSS:
+        close += 1
+    return Plan(lanes // max(fit), max(fit), close)
+
+
 def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of each text, with repeats, and the texts' bounds in them."""
     words = find_words(texts)
@@ -101,29 +124,33 @@ def _set_keys(values: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return sizes, mix(keys[0] + keys[1] * np.uint64(3) + sizes.astype(np.uint64)), sets
 
 
-def _sign(batches):
+def _sign(count: int, rows: int):
     """doc_id, text and row_key to one row per document: set size, set key, band values and short signature."""
-    order = np.arange(2 * PERMUTATIONS).reshape(ROWS, BANDS).T  # the two values of a permutation go to distant bands
-    for batch in batches:
-        values, out = shingle_hashes(batch.column(1))
-        sizes, keys, _ = _set_keys(values, out)
-        full = np.flatnonzero(sizes)
-        signature = _signatures(values, out[:-1][full]) if len(full) else np.zeros((0, 2 * PERMUTATIONS), np.uint64)
-        lanes = mix(signature)
-        bands = np.zeros((len(full), BANDS), dtype=np.uint64)
-        for b in range(BANDS):
-            total = np.full(len(full), b + 1, dtype=np.uint64)
-            for lane in order[b]:
-                total = mix(total * np.uint64(0x9FB21C651E98DF25) + lanes[:, lane])
-            bands[:, b] = total
-        short = (lanes >> np.uint64(56)).astype(np.uint8)
-        at = np.zeros(len(sizes) + 1, dtype=np.int32)
-        at[1:][full] = 1
-        at = np.cumsum(at, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(sizes), as_long(keys), pa.ListArray.from_arrays(at * BANDS, as_long(bands.ravel())),
-             pa.array([short[i].tobytes() if size else b"" for i, size in zip(at[:-1], sizes, strict=True)], pa.binary())],
-            names=["doc_id", "row_key", "n_shingles", "set_key", "bands", "lanes"])
+    # The two values of a permutation are neighbours and go to different bands.
+    order = np.arange(2 * PERMUTATIONS).reshape(2, PERMUTATIONS).T.reshape(rows, count).T
+
+    def run(batches):
+        for batch in batches:
+            values, out = shingle_hashes(batch.column(1))
+            sizes, keys, _ = _set_keys(values, out)
+            full = np.flatnonzero(sizes)
+            signature = _signatures(values, out[:-1][full]) if len(full) else np.zeros((0, 2 * PERMUTATIONS), np.uint64)
+            lanes = mix(signature)
+            bands = np.zeros((len(full), count), dtype=np.uint64)
+            for b in range(count):
+                total = np.full(len(full), b + 1, dtype=np.uint64)
+                for lane in order[b]:
+                    total = mix(total * np.uint64(0x9FB21C651E98DF25) + lanes[:, lane])
+                bands[:, b] = total
+            short = (lanes >> np.uint64(56)).astype(np.uint8)
+            at = np.zeros(len(sizes) + 1, dtype=np.int32)
+            at[1:][full] = 1
+            at = np.cumsum(at, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(sizes), as_long(keys), pa.ListArray.from_arrays(at * count, as_long(bands.ravel())),
+                 pa.array([short[i].tobytes() if size else b"" for i, size in zip(at[:-1], sizes, strict=True)], pa.binary())],
+                names=["doc_id", "row_key", "n_shingles", "set_key", "bands", "lanes"])
+    return run
 
 
 _SIGNED = "doc_id long, row_key long, n_shingles long, set_key long, bands array<long>, lanes binary"
@@ -137,8 +164,12 @@ def _links(keys: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
 
-def _forest(members: pa.Table) -> pa.Table:
+def _forest(close: int):
     """Links that connect the members of a block that look close, best partners first."""
+    return lambda members: _linked(members, close)
+
+
+def _linked(members: pa.Table, close: int) -> pa.Table:
     keys, first = np.unique(members["set_key"].to_numpy(), return_index=True)
     lanes = np.frombuffer(b"".join(members["lanes"].take(pa.array(first)).to_pylist()), np.uint8).reshape(len(keys), -1)
     left = np.ones(len(keys), dtype=bool)
@@ -158,7 +189,7 @@ def _forest(members: pa.Table) -> pa.Table:
                 joins = rest[best[rest] >= SURE]
             else:
                 joins = rest[[np.argmax(best[rest])]]
-                if best[joins[0]] < CLOSE:
+                if best[joins[0]] < close:
                     break
             links += zip(source[joins].tolist(), joins.tolist(), strict=True)
             left[joins] = False
@@ -253,16 +284,17 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     links reach.
     """
     spark = docs.sparkSession
+    bands, rows, close = plan(similarity)
     small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    signed = stored(base.mapInArrow(_sign, _SIGNED), "signed")
+    signed = stored(base.mapInArrow(_sign(bands, rows), _SIGNED), "signed")
     classes = (signed.where("n_shingles > 0").groupBy("set_key")
                .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"),
                     F.first("bands").alias("bands"), F.first("lanes").alias("lanes"))
                .select("set_key", F.col("least.doc_id").alias("doc_id"), "bands", "lanes"))
     classes = stored(classes, "classes")
-    roots = _class_roots(base, classes, similarity)
+    roots = _class_roots(base, classes, similarity, close)
     # The least id of a component: classes combine first, so no row of a hot class is moved for it.
     least = classes.select("set_key", "doc_id")
     labelled = least.join(roots, least.set_key == roots.node, "left").select(
@@ -278,7 +310,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
                          F.coalesce(F.col("doc_id").eqNullSafe(component), F.lit(False)).alias("kept"))
 
 
-def _class_roots(base: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+def _class_roots(base: DataFrame, classes: DataFrame, similarity: int, close: int) -> DataFrame:
     """(node, root) of the classes that are linked with another."""
     spark = base.sparkSession
     spread = classes.select(F.col("set_key"), F.explode("bands").alias("bucket"))
@@ -301,7 +333,7 @@ def _class_roots(base: DataFrame, classes: DataFrame, similarity: int) -> DataFr
     # Members of a bucket that fits a block are one block; a larger one's blocks hang below its centre.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = members.select("bucket", F.pmod(F.xxhash64("set_key"), blocks).alias("block"), "set_key", "lanes")
-    found = placed.groupBy("bucket", "block").applyInArrow(_forest, _LINKS)
+    found = placed.groupBy("bucket", "block").applyInArrow(_forest(close), _LINKS)
     hung = members.where(blocks > 1).select(F.least("set_key", "centre").alias("a"),
                                             F.greatest("set_key", "centre").alias("b")).where("a <> b")
     found = stored(found.union(hung).distinct(), "found")
