@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -23,64 +24,76 @@ def of_counts(counts):
     return [many[r] for r in range(1, katz.GOOD_TURING + 2)] + [len(counts), sum(counts.values())]
 
 
-def brute(rows):
-    train = [tokens(t) for i, t in rows if not held(i)]
-    c1, c2, after = Counter(w for t in train for w in t), Counter(), defaultdict(dict)
-    for t in train:
-        c2.update(zip(["<s>", *t[:-1]], t, strict=True))
-    model = Model.of(of_counts(c1), of_counts(c2))
-    history = Counter()
-    for (h, w), c in c2.items():
-        after[h][w] = c
-        history[h] += c
-    known = {c: float(model.word(np.array(c))) for c in {0, *c1.values()}}
-    p = lambda w: known[c1[w]]
-    alpha = {}
-    for h, seen in after.items():
-        left = 1 - sum(float(model.pairs(np.array(c))) / history[h] for c in seen.values())
-        alpha[h] = left / (1 - sum(p(w) for w in seen))
-        if len(alpha) < 50:  # after a history the seen words and all others sum to one
-            others = sum(p(w) for w in c1 if w not in seen) + model.unseen
-            assert abs(1 - left + alpha[h] * others - 1) < 1e-9
+def runs(text, n):
+    """Each token of a text with the n - 1 tokens or start signs before it."""
+    padded = ["<s>"] * (n - 1) + tokens(text)
+    return [tuple(padded[i:i + n]) for i in range(len(padded) - n + 1)]
+
+
+def brute(rows, order):
+    """Scores by the plain recursion over counts of whole runs."""
+    train = [t for i, t in rows if not held(i)]
+    counts = [Counter(r for t in train for r in runs(t, n)) for n in range(1, order + 1)]
+    model = Model.of([of_counts(c) for c in counts])
+    after = defaultdict(dict)
+    for of_length in counts[1:]:
+        for run, c in of_length.items():
+            after[run[:-1]][run[-1]] = c
+    total = {h: sum(seen.values()) for h, seen in after.items()}
+
+    @lru_cache(None)
+    def p(run):
+        *h, w = run
+        if not h:
+            return float(model.word(np.array(counts[0][w,])))
+        h = tuple(h)
+        if w in after[h]:
+            return float(model.discounts[len(h)](np.array(after[h][w]))) / total[h]
+        return alpha(h) * p(run[1:])
+
+    @lru_cache(None)
+    def alpha(h):
+        if not after[h]:
+            return 1.0
+        return (1 - sum(p((*h, w)) for w in after[h])) / (1 - sum(p((*h[1:], w)) for w in after[h]))
+
+    for h in [*total][::max(1, len(total) // 40)]:  # after a history all tokens, unseen ones too, sum to one
+        assert abs(sum(p((*h, w)) for w, in counts[0]) + p((*h, "<never>")) - 1) < 1e-9
     out = []
+    n, v = sum(counts[0].values()), len(counts[0])
     for i, t in rows:
-        t = tokens(t)
-        score = 0.0
-        for h, w in zip(["<s>", *t[:-1]], t, strict=True):
-            if w in after[h]:
-                score += math.log10(float(model.pairs(np.array(after[h][w]))) / history[h])
-            else:
-                score += math.log10(alpha.get(h, 1.0) * p(w))
-        n, v = sum(c1.values()), len(c1)
-        base = sum(math.log10((c1[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        out.append((i, held(i), len(t), sum(c1[w] > 0 for w in t), n, base, score))
+        ones = runs(t, 1)
+        base = sum(math.log10((counts[0][w] + 0.5) / (n + 0.5 * (v + 1))) for w in ones)
+        out.append((i, held(i), len(ones), sum(counts[0][w] > 0 for w in ones), n, base,
+                    sum(math.log10(p(r)) for r in runs(t, order))))
     return sorted(out, key=str)
 
 
-def same(frame, rows, keep):
+def same(frame, rows, keep, order=3):
     path = f"{keep}/t"
     frame.write.mode("overwrite").parquet(path)
-    got = sorted((tuple(r) for r in katz_scores(frame.sparkSession.read.parquet(path)).collect()), key=str)
-    want = brute(rows)
+    got = sorted((tuple(r) for r in katz_scores(frame.sparkSession.read.parquet(path), order=order).collect()), key=str)
+    want = brute(rows, order)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     np.testing.assert_allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
     return got
 
 
-@pytest.mark.parametrize("block,bucket", [(1_500_000, 8 << 20), (20_000, 20_000)])
-def test_documents(spark, tmp_path, monkeypatch, block, bucket):
+@pytest.mark.parametrize("block,bucket,order", [(1_500_000, 8 << 20, 3), (20_000, 20_000, 3), (20_000, 20_000, 2)])
+def test_documents(spark, tmp_path, monkeypatch, block, bucket, order):
     monkeypatch.setattr(katz, "BUCKET_BYTES", bucket)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    got = same(docs.repartition(3), [tuple(r) for r in docs.collect()], tmp_path)
+    got = same(docs.repartition(3), [tuple(r) for r in docs.collect()], tmp_path, order)
     assert sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])
 
 
-def test_odd_rows(spark, tmp_path):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_odd_rows(spark, tmp_path, order):
     rows = [(i, t) for i, t in enumerate(["a b a b", "", None, "A  b\tc", "x " * 5000, "a b", "c c c", "new words here"])]
     rows += [(1, ""), (None, "a b"), (None, None), (8, "a b"), (8, "a b")]
     docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, score string")
-    same(docs.repartition(2), rows, tmp_path)
+    same(docs.repartition(2), rows, tmp_path, order)
 
 
 def test_nothing_to_learn(spark, tmp_path):

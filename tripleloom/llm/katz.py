@@ -1,24 +1,26 @@
-"""Katz backoff language model of word pairs, and its score of every document.
+"""Katz backoff language model of any order, and its score of every document.
 
-With counts c of the training tokens and their pairs, a token w after h has
-the probability
+With counts c of the training tokens and of runs of up to ``order`` tokens, a
+token w after the history h, whose own history without its first token is h',
+has the probability
 
-    d(c(hw)) c(hw) / c(h)   if the pair was seen,
-    alpha(h) p(w)           if only h was seen,
-    p(w)                    if h was not seen either,
+    d(c(hw)) c(hw) / c(h)   if the run hw was seen,
+    alpha(h) p(w | h')      if only h was seen,
+    p(w | h')               if h was not seen either,
 
-and p(w) is d(c(w)) c(w) / N for a seen token, and for all unseen ones
-together what the seen ones leave.  The discounts d are Good-Turing's up to
-count 5; larger counts give up a small constant, so that every history leaves
-something.  alpha(h) is what the pairs of h leave, over the p of the tokens
-not seen after h: the probabilities after each history sum to one.
+and without a history d(c(w)) c(w) / N for a seen token, and for all unseen
+ones together what the seen ones leave.  Texts begin with start signs.  The
+discounts d are Good-Turing's up to count 5, for each length of run by itself;
+larger counts give up a small constant, so that every history leaves
+something.  alpha(h) is what the runs after h leave, over the p(w | h') of the
+tokens not seen after h: the probabilities after each history sum to one.
 
 Counts live in buckets of hash ranges.  A block of documents sends each bucket
-its distinct words and pairs once and gets their counts back in the same
-order; then it evaluates its tokens.  The sums for alpha(h) take each distinct
-pair from one block, and only held-out documents ask for them, as pairs of
-training documents are seen by definition.  So the work per bucket does not
-depend on how often a word or a pair occurs, and a hot pair is one entry per
+its distinct runs once and gets their counts back in the same order; then it
+evaluates its tokens, from the longest run down.  The sums for alpha(h) take
+each distinct run from one block, and only held-out documents ask for them, as
+runs of training documents are seen by definition.  So the work per bucket
+does not depend on how often a run occurs, and a hot run is one entry per
 block.  What is moved is packed columns, not rows per token.
 
 The input must be a stored table: its scan runs twice and must give the same
@@ -42,6 +44,8 @@ from tripleloom.llm.store import id_crc, small_batches, stored
 from tripleloom.llm.text import PLAIN, find_words, mix, ranges, word_hashes
 from tripleloom.operators.joins import planned_bytes
 
+#: Tokens of the longest run that is counted.
+ORDER = 3
 #: Counts up to this one are discounted by Good-Turing.
 GOOD_TURING = 5
 #: Tokens after which a block ends, and stored input bytes per bucket.
@@ -73,6 +77,34 @@ def _get_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_get(data, np.uint64), dtype=np.uint64)
 
 
+def _run_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of runs from those of all but the last token and of the last one."""
+    return mix(before * _H + words * _W)
+
+
+def _starts(length: int) -> np.uint64:
+    """The hash of a run of start signs alone: a history, but no run of a text."""
+    value = np.array([_START])
+    for _ in range(length - 1):
+        value = _run_hashes(value, np.array([_START]))
+    return value[0]
+
+
+class _Runs(NamedTuple):
+    """The distinct runs of one length in a block, in the order of their hashes.
+
+    ``before`` and ``after`` number the run without its last and without its
+    first token among the runs shorter by one; ``at`` is each token's run, and
+    ``start`` the run of start signs.
+    """
+
+    hashes: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    at: np.ndarray
+    start: int
+
+
 class _Block(NamedTuple):
     """Tokens of some documents by their number in the sorted ``words``; the start sign is a word too."""
 
@@ -81,18 +113,29 @@ class _Block(NamedTuple):
     sizes: np.ndarray
     held: np.ndarray
 
-    def pairs(self):
-        """Sorted hashes of the distinct pairs, the number of each one's words, and each token's pair."""
-        before = np.empty(len(self.tokens), dtype=np.int64)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.words, _START)
-        code, inverse = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        first, second = np.divmod(code, len(self.words))
-        hashes = mix(self.words[first] * _H + self.words[second] * _W)
-        order = np.argsort(hashes)
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        return hashes[order], first[order], second[order], place[inverse]
+    def runs(self, order: int) -> list[_Runs]:
+        """The runs of each length up to ``order``."""
+        sign = int(np.searchsorted(self.words, _START))
+        none = np.zeros(0, dtype=np.int64)
+        made = [_Runs(self.words, none, none, self.tokens, sign)]
+        firsts = np.cumsum(self.sizes) - self.sizes
+        tokens = np.append(self.tokens, sign)
+        for _ in range(order - 1):
+            last = made[-1]
+            before = np.empty(len(tokens), dtype=np.int64)
+            before[1:-1] = last.at[:-1]
+            before[firsts] = before[-1] = last.start
+            code, inverse = np.unique(before * len(self.words) + tokens, return_inverse=True)
+            history, word = np.divmod(code, len(self.words))
+            hashes = _run_hashes(last.hashes[history], self.words[word])
+            by_hash = np.argsort(hashes)
+            place = np.empty(len(by_hash), dtype=np.int64)
+            place[by_hash] = np.arange(len(by_hash))
+            at = place[inverse]
+            after = np.empty(len(by_hash), dtype=np.int64)
+            after[at] = np.append(last.at, last.start)
+            made.append(_Runs(hashes[by_hash], history[by_hash], after, at[:-1], int(at[-1])))
+        return made
 
 
 def _blocks(batches):
@@ -125,28 +168,30 @@ def _blocks(batches):
 
 
 _SENT = "kind int, bucket int, block long, n int, keys binary, counts binary"
-_WORD, _PAIR = 0, 1
 
 
-def _send(bits: int):
-    """Distinct words and pairs of each block, with their training counts, cut by bucket."""
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+
+
+def _send(bits: int, order: int):
+    """Distinct runs of each block, with their training counts, cut by length (``kind``) and bucket."""
     def run(batches):
         for number, _, block in _blocks(batches):
-            hashes, _, _, pair = block.pairs()
             train = np.repeat(~block.held, block.sizes)
-            starts = int((~block.held).sum())
-            words = np.bincount(block.tokens[train], minlength=len(block.words))
-            words[np.searchsorted(block.words, _START)] = starts
+            texts = int((~block.held).sum())
             rows = {c: [] for c in ("kind", "bucket", "block", "n", "keys", "counts")}
-            for kind, keys, counts in ((_WORD, block.words, words),
-                                       (_PAIR, hashes, np.bincount(pair[train], minlength=len(hashes)))):
-                bucket = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+            for kind, runs in enumerate(block.runs(order), 1):
+                counts = np.bincount(runs.at[train], minlength=len(runs.hashes))
+                counts[runs.start] = texts
+                bucket = _bucket(runs.hashes, bits)
                 edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 for b in np.unique(bucket).tolist():
                     part = slice(edges[b], edges[b + 1])
-                    for name, value in zip(rows, (kind, b, number, part.stop - part.start, _put_sorted(keys[part]),
+                    for name, value in zip(rows, (kind, b, number, int(part.stop - part.start),
+                                                  _put_sorted(runs.hashes[part]),
                                                   _put(counts[part].astype(np.uint32))), strict=True):
-                        rows[name].append(int(value) if name == "n" else value)
+                        rows[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows["kind"], pa.int32()), pa.array(rows["bucket"], pa.int32()),
                  pa.array(rows["block"], pa.int64()), pa.array(rows["n"], pa.int32()),
@@ -164,11 +209,10 @@ def _count(sent: pa.Table) -> pa.Table:
     keys = np.concatenate([_get_sorted(x) for x in sent["keys"].to_pylist()])
     counts = np.concatenate([_get(x, np.uint32) for x in sent["counts"].to_pylist()]).astype(np.int64)
     distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.zeros(len(distinct), dtype=np.int64)
-    np.add.at(total, place, counts)
+    total = np.bincount(place, counts, len(distinct)).astype(np.int64)
     own = np.zeros(len(keys), dtype=bool)
     own[first[total > 0]] = True
-    known = total[(total > 0) & (distinct != _START)] if kind == _WORD else total[total > 0]
+    known = total[(total > 0) & (distinct != _starts(kind))]
     stats = [int((known == r).sum()) for r in range(1, GOOD_TURING + 2)] + [len(known), int(known.sum())]
     ends = np.cumsum(sent["n"].to_numpy())
     parts = list(zip(ends - sent["n"].to_numpy(), ends, strict=True))
@@ -207,25 +251,26 @@ class Discounts(NamedTuple):
 
 
 class Model(NamedTuple):
-    """The few numbers that all tokens share."""
+    """The few numbers that all tokens share; ``discounts`` by length of run."""
 
     tokens: int
     types: int
-    words: Discounts
-    pairs: Discounts
+    discounts: tuple[Discounts, ...]
     unseen: float
 
     @classmethod
-    def of(cls, word_stats: list[int], pair_stats: list[int]) -> Model:
-        *ones, types, tokens = word_stats
-        words = Discounts.of(ones)
+    def of(cls, stats: list[list[int]]) -> Model:
+        """From the numbers of runs of each length with count 1, 2, ..., of all, and their tokens."""
+        *ones, types, tokens = stats[0]
+        discounts = tuple(Discounts.of(s[:-2]) for s in stats)
+        words = discounts[0]
         counts = np.arange(1, GOOD_TURING + 1)
         n = np.array(ones[:GOOD_TURING])
         kept = (n * words(counts)).sum() + (tokens - (n * counts).sum()) - words.constant * (types - n.sum())
-        return cls(tokens, types, words, Discounts.of(pair_stats[:-2]), 1 - kept / tokens if tokens else 1.0)
+        return cls(tokens, types, discounts, 1 - kept / tokens if tokens else 1.0)
 
     def word(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, self.words(counts) / max(self.tokens, 1), self.unseen)
+        return np.where(counts > 0, self.discounts[0](counts) / max(self.tokens, 1), self.unseen)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.tokens + 0.5 * (self.types + 1))
@@ -244,12 +289,26 @@ def _ship(batches):
 
 
 _SHIPPED = _REPLY + ", words binary, tokens binary, sizes binary, held binary, ids array<long>"
-_VALUED = ("bucket int, block long, n int, keys binary, x binary, y binary, ids array<long>, held array<boolean>, "
-           "n_tokens array<long>, n_known array<long>, base array<double>, part array<double>")
+_VALUED = ("kind int, bucket int, block long, n int, keys binary, x binary, y binary, ids array<long>, "
+           "held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, part array<double>")
 _SHARES, _ASKS, _DOCS = 0, 1, 2
 
 
-def _value(bits: int, model):
+def _counts_of(rows: list[dict], runs: list[_Runs]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each length, the counts of the block's runs and which of them this block has to add up."""
+    counts, own = [], []
+    for kind, of_kind in enumerate(runs, 1):
+        parts = [(_get(r["counts"], np.uint64), r["own"]) for r in rows if r["kind"] == kind]
+        counts.append(np.concatenate([c for c, _ in parts]).astype(np.int64) if parts else np.zeros(0, np.int64))
+        own.append(np.concatenate([
+            np.unpackbits(np.frombuffer(zstandard.decompress(o), np.uint8))[:len(c)] for c, o in parts
+        ]).astype(bool) if parts else np.zeros(0, bool))
+        if len(counts[-1]) != len(of_kind.hashes):
+            raise ValueError("the two scans gave different blocks: the input must be a stored table")
+    return counts, own
+
+
+def _value(bits: int, order: int, model):
     """Scores of a block's documents but for the backoff weights; the block's shares of them; and what it asks."""
     def run(rows: pa.Table) -> pa.Table:
         model_ = model.value
@@ -259,61 +318,59 @@ def _value(bits: int, model):
         row = rows[0]
         block = _Block(_get_sorted(row["words"]), _get(row["tokens"], np.uint32).astype(np.int64),
                        _get(row["sizes"], np.uint32).astype(np.int64), _get(row["held"], bool))
-        hashes, first, second, pair = block.pairs()
-        own = []
-        c1, c2 = (np.concatenate([_get(r["counts"], np.uint64) for r in rows if r["kind"] == kind]).astype(np.int64)
-                  for kind in (_WORD, _PAIR))
-        for r in rows:
-            if r["kind"] == _PAIR:
-                own.append(np.unpackbits(np.frombuffer(zstandard.decompress(r["own"]), np.uint8))[
-                    :len(zstandard.decompress(r["counts"])) // 8])
-        own = np.concatenate(own).astype(bool)
-        if (len(c1), len(c2)) != (len(block.words), len(hashes)):
-            raise ValueError("the two scans gave different blocks: the input must be a stored table")
-        single = model_.word(c1)
-        history = c1[first]
-        # The recursion, per distinct pair: the pair itself, else its word, weighted if the history is known.
-        value = np.log10(np.where(c2 > 0, model_.pairs(c2) / np.maximum(history, 1), single[second]))
-        backs_off = (c2 == 0) & (history > 0)
-        value[backs_off] -= np.log10(history[backs_off])
+        runs = block.runs(order)
+        counts, own = _counts_of(rows, runs)
+        # Of each length and distinct run: what its last token has after the others, but for the weights.
+        share = model_.word(counts[0])
+        values = [np.log10(share)]
+        packed = []
+        for k in range(1, order):
+            seen, history = counts[k] > 0, counts[k - 1][runs[k].before]
+            kept = model_.discounts[k](counts[k])
+            # Shares: of each history with own runs, the mass that they give up and what they take of the shorter one.
+            mine = np.flatnonzero(own[k] & seen)
+            mine = mine[mine != runs[k].start]
+            gives = np.bincount(runs[k].before[mine], counts[k][mine] - kept[mine], len(counts[k - 1]))
+            takes = np.bincount(runs[k].before[mine], share[runs[k].after[mine]], len(counts[k - 1]))
+            of_own = np.unique(runs[k].before[mine])
+            packed.append((_SHARES, k, runs[k - 1].hashes, of_own, gives[of_own], takes[of_own]))
+            value = values[-1][runs[k].after] - np.log10(np.maximum(history, 1))
+            share = kept / np.maximum(history, 1)
+            value[seen] = np.log10(share[seen])
+            values.append(value)
         ends = np.cumsum(block.sizes)
         doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        # Asks: from the longest run down, the histories from which tokens back off, by document.
+        left = np.arange(len(block.tokens))
+        for k in range(order - 1, 0, -1):
+            left = left[counts[k][runs[k].at[left]] == 0]
+            history = runs[k].before[runs[k].at[left]]
+            known = counts[k - 1][history] > 0
+            asks, times = np.unique(history[known] * len(ends) + doc[left[known]], return_counts=True)
+            asked, asker = np.divmod(asks, len(ends))
+            packed.append((_ASKS, k, runs[k - 1].hashes, asked, asker.astype(np.uint32), times.astype(np.uint32)))
 
         def by_doc(values):
             return np.add.reduceat(values, ends - block.sizes)
 
-        seen = c1[block.tokens]
-        out = [(0, _DOCS, b"", b"", b"", row["ids"], block.held.tolist(), block.sizes.tolist(),
+        seen = counts[0][block.tokens]
+        out = [(0, 0, _DOCS, b"", b"", b"", row["ids"], block.held.tolist(), block.sizes.tolist(),
                 by_doc((seen > 0).astype(np.int64)).tolist(), by_doc(np.log10(model_.base(seen))).tolist(),
-                by_doc(value[pair]).tolist())]
-        # Shares: of each history with own pairs, the mass that they give up and the words that they take.
-        mine = np.flatnonzero(own & (c2 > 0))
-        gives = np.bincount(first[mine], c2[mine] - model_.pairs(c2[mine]), len(block.words))
-        takes = np.bincount(first[mine], single[second[mine]], len(block.words))
-        with_own = np.unique(first[mine])
-        # Asks: the histories of pairs that back off, by document.
-        asks, times = np.unique(first[pair[backs_off[pair]]] * len(ends) + doc[backs_off[pair]], return_counts=True)
-        asked, asker = np.divmod(asks, len(ends))
-
-        def bucket(places):
-            return (block.words[places] >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
-
-        for kind, places, x, y in ((_SHARES, with_own, gives[with_own], takes[with_own]),
-                                   (_ASKS, asked, asker.astype(np.uint32), times.astype(np.uint32))):
-            b = bucket(places)
+                by_doc(values[-1][runs[-1].at]).tolist())]
+        for what, kind, hashes, places, x, y in packed:
+            b = _bucket(hashes[places], bits)
             edges = np.searchsorted(b, np.arange((1 << bits) + 1))
             for k in np.unique(b).tolist():
                 part = slice(edges[k], edges[k + 1])
-                out.append((k, kind, _put_sorted(block.words[places[part]]), _put(x[part]), _put(y[part]),
-                            *[None] * 6))
-        names = ["bucket", "n", "keys", "x", "y", "ids", "held", "n_tokens", "n_known", "base", "part"]
+                out.append((kind, k, what, _put_sorted(hashes[places[part]]), _put(x[part]), _put(y[part]), *[None] * 6))
+        names = ["kind", "bucket", "n", "keys", "x", "y", "ids", "held", "n_tokens", "n_known", "base", "part"]
         columns = dict(zip(names, zip(*out, strict=True), strict=True))
-        kinds = {"bucket": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "x": pa.binary(), "y": pa.binary(),
-                 "held": pa.list_(pa.bool_()), "base": pa.list_(pa.float64()), "part": pa.list_(pa.float64())}
+        kinds = {"kind": pa.int32(), "bucket": pa.int32(), "block": pa.int64(), "n": pa.int32(), "keys": pa.binary(),
+                 "x": pa.binary(), "y": pa.binary(), "held": pa.list_(pa.bool_()), "base": pa.list_(pa.float64()),
+                 "part": pa.list_(pa.float64())}
         columns["block"] = [row["block"]] * len(out)
-        order = ["bucket", "block", *names[1:]]
-        return pa.table({n: pa.array(columns[n], kinds.get(n, pa.int64() if n == "block" else pa.list_(pa.int64())))
-                         for n in order})
+        return pa.table({n: pa.array(columns[n], kinds.get(n, pa.list_(pa.int64())))
+                         for n in ["kind", "bucket", "block", *names[2:]]})
     return run
 
 
@@ -326,7 +383,7 @@ def _weigh(rows: pa.Table) -> pa.Table:
     histories, place = np.unique(keys, return_inverse=True)
     gives, takes = (np.bincount(place, np.concatenate([_get(r[c], np.float64) for r in shares]), len(histories))
                     if shares else np.zeros(0) for c in ("x", "y"))
-    # The words seen after a history never have the whole mass: the unseen keep theirs.
+    # The tokens seen after a history never have the whole mass of the shorter one: what it gives up is not theirs.
     weight = np.log10(np.maximum(gives, 1e-300)) - np.log10(np.maximum(1 - takes, 1e-12))
     docs, sums = [], []
     for r in asks:
@@ -335,8 +392,8 @@ def _weigh(rows: pa.Table) -> pa.Table:
         found, slot = np.unique(doc, return_inverse=True)
         docs.append(_put(found))
         sums.append(_put(np.bincount(slot, weight[at] * _get(r["y"], np.uint32), len(found))))
-    return pa.table({"block": pa.array([r["block"] for r in asks], pa.int64()), "bucket": pa.array(
-        [r["bucket"] for r in asks], pa.int32()), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())})
+    return pa.table({"block": pa.array([r["block"] for r in asks], pa.int64()), "kind": pa.array(
+        [r["kind"] for r in asks], pa.int32()), "bucket": pa.array([r["bucket"] for r in asks], pa.int32()), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())})
 
 
 _SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -346,7 +403,7 @@ _SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_to
 def _add(model):
     """Documents of a block with the weights put in."""
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("bucket").to_pylist()
+        rows = rows.sort_by([("kind", "ascending"), ("bucket", "ascending")]).to_pylist()
         own = next(r for r in rows if r["ids"] is not None)
         score = np.array(own["part"])
         for r in rows:
@@ -360,28 +417,30 @@ def _add(model):
     return run
 
 
-def katz_scores(docs: DataFrame, held_out=None) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out=None, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of the stored ``docs``.
 
-    The model learns from the rows that ``held_out`` (by default crc32(doc_id)
-    mod 5 = 1) does not mark.
+    The model, of runs of up to ``order`` tokens (2 or more), learns from the
+    rows that ``held_out`` (by default crc32(doc_id) mod 5 = 1) does not mark.
     """
+    if order < 2:
+        raise ValueError("a model that backs off needs runs of two tokens or more")
     spark = docs.sparkSession
     small_batches(spark)
     bits = max(0, (planned_bytes(docs) // BUCKET_BYTES).bit_length())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        (id_crc() % 5 == 1 if held_out is None else held_out).alias("held_out"))
-    sent = base.mapInArrow(_send(bits), _SENT)
+    sent = base.mapInArrow(_send(bits, order), _SENT)
     replies = stored(sent.groupBy("kind", "bucket").applyInArrow(_count, _REPLY), "counts")
     stats = {r["kind"]: r["stats"] for r in replies.where("block = -1").groupBy("kind").agg(
         F.array(*[F.sum(F.col("stats")[i]) for i in range(GOOD_TURING + 3)]).alias("stats")).collect()}
     none = [0] * (GOOD_TURING + 3)
-    model = spark.sparkContext.broadcast(Model.of(stats.get(_WORD, none), stats.get(_PAIR, none)))
+    model = spark.sparkContext.broadcast(Model.of([stats.get(k, none) for k in range(1, order + 1)]))
     shipped = base.mapInArrow(_ship, _SHIPPED)
     met = shipped.unionByName(replies.where("block >= 0"), allowMissingColumns=True)
-    valued = stored(met.groupBy("block").applyInArrow(_value(bits, model), _VALUED), "values")
-    weights = valued.where(F.col("n") != _DOCS).select("bucket", "block", "n", "keys", "x", "y").groupBy(
-        "bucket").applyInArrow(_weigh, "block long, bucket int, docs binary, sums binary")
+    valued = stored(met.groupBy("block").applyInArrow(_value(bits, order, model), _VALUED), "values")
+    weights = valued.where(F.col("n") != _DOCS).select("kind", "bucket", "block", "n", "keys", "x", "y").groupBy(
+        "kind", "bucket").applyInArrow(_weigh, "block long, kind int, bucket int, docs binary, sums binary")
     done = valued.where(F.col("n") == _DOCS).select(
-        "block", F.lit(-1).alias("bucket"), "ids", "held", "n_tokens", "n_known", "base", "part")
+        "block", F.lit(-1).alias("kind"), F.lit(-1).alias("bucket"), "ids", "held", "n_tokens", "n_known", "base", "part")
     return done.unionByName(weights, allowMissingColumns=True).groupBy("block").applyInArrow(_add(model), _SCORED)
