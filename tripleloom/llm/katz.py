@@ -18,8 +18,8 @@ tokens not seen after h: the probabilities after each history sum to one.
 Counts live in buckets of hash ranges.  A block of documents sends each bucket
 its distinct runs once and gets their counts back in the same order; then it
 evaluates its tokens, from the longest run down.  The sums for alpha(h) take
-each distinct run from one block, and only held-out documents ask for them, as
-runs of training documents are seen by definition.  So the work per bucket
+each distinct run from one block, and only where held-out documents have the
+history, as runs of training documents are seen by definition.  So the work per bucket
 does not depend on how often a run occurs, and a hot run is one entry per
 block.  What is moved is packed columns, not rows per token.
 
@@ -49,7 +49,7 @@ ORDER = 3
 #: Counts up to this one are discounted by Good-Turing.
 GOOD_TURING = 5
 #: Tokens after which a block ends, and stored input bytes per bucket.
-BLOCK_TOKENS, BUCKET_BYTES = 1_500_000, 8 << 20
+BLOCK_TOKENS, BUCKET_BYTES = 1_000_000, 8 << 20
 
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _H, _W = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
@@ -105,6 +105,14 @@ class _Runs(NamedTuple):
     start: int
 
 
+def _put_bits(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.packbits(values).tobytes(), 1)
+
+
+def _get_bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(data), np.uint8))[:n].astype(bool)
+
+
 class _Block(NamedTuple):
     """Tokens of some documents by their number in the sorted ``words``; the start sign is a word too."""
 
@@ -175,7 +183,10 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _send(bits: int, order: int):
-    """Distinct runs of each block, with their training counts, cut by length (``kind``) and bucket."""
+    """Distinct runs of each block, cut by length (``kind``) and bucket.
+
+    A run's number is twice its training count, and one more where held-out documents of the block have it.
+    """
     def run(batches):
         for number, _, block in _blocks(batches):
             train = np.repeat(~block.held, block.sizes)
@@ -184,6 +195,9 @@ def _send(bits: int, order: int):
             for kind, runs in enumerate(block.runs(order), 1):
                 counts = np.bincount(runs.at[train], minlength=len(runs.hashes))
                 counts[runs.start] = texts
+                counts *= 2
+                counts[runs.at[~train]] |= 1
+                counts[runs.start] |= int(block.held.any())
                 bucket = _bucket(runs.hashes, bits)
                 edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 for b in np.unique(bucket).tolist():
@@ -199,17 +213,22 @@ def _send(bits: int, order: int):
     return run
 
 
-_REPLY = "kind int, bucket int, block long, counts binary, own binary, stats array<long>"
+_REPLY = "kind int, bucket int, block long, counts binary, own binary, asked binary, stats array<long>"
 
 
 def _count(sent: pa.Table) -> pa.Table:
-    """Total counts of a bucket's keys for each block, and how many keys have each small count."""
+    """Total counts of a bucket's keys for each block, and how many keys have each small count.
+
+    ``own`` marks the keys that one block adds up for all, ``asked`` those that any held-out document has.
+    """
     sent = sent.sort_by("block")
     kind, bucket = sent["kind"][0].as_py(), sent["bucket"][0].as_py()
     keys = np.concatenate([_get_sorted(x) for x in sent["keys"].to_pylist()])
     counts = np.concatenate([_get(x, np.uint32) for x in sent["counts"].to_pylist()]).astype(np.int64)
     distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(place, counts, len(distinct)).astype(np.int64)
+    total = np.bincount(place, counts >> 1, len(distinct)).astype(np.int64)
+    asked = np.zeros(len(distinct), dtype=bool)
+    asked[place[counts & 1 == 1]] = True
     own = np.zeros(len(keys), dtype=bool)
     own[first[total > 0]] = True
     known = total[(total > 0) & (distinct != _starts(kind))]
@@ -221,7 +240,8 @@ def _count(sent: pa.Table) -> pa.Table:
         "kind": pa.array([kind] * (n + 1), pa.int32()), "bucket": pa.array([bucket] * (n + 1), pa.int32()),
         "block": pa.array([*sent["block"].to_pylist(), -1], pa.int64()),
         "counts": pa.array([*(_put(total[place[a:b]].astype(np.uint64)) for a, b in parts), None], pa.binary()),
-        "own": pa.array([*(zstandard.compress(np.packbits(own[a:b]).tobytes(), 1) for a, b in parts), None], pa.binary()),
+        "own": pa.array([*(_put_bits(own[a:b]) for a, b in parts), None], pa.binary()),
+        "asked": pa.array([*(_put_bits(asked[place[a:b]]) for a, b in parts), None], pa.binary()),
         "stats": pa.array([*([None] * n), stats], pa.list_(pa.int64()))})
 
 
@@ -281,11 +301,11 @@ def _ship(batches):
     for number, ids, block in _blocks(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([number]), pa.array([None], pa.binary()),
-             pa.array([None], pa.binary()), pa.array([None], pa.list_(pa.int64())),
+             pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.list_(pa.int64())),
              pa.array([_put_sorted(block.words)], pa.binary()), pa.array([_put(block.tokens.astype(np.uint32))], pa.binary()),
              pa.array([_put(block.sizes.astype(np.uint32))], pa.binary()), pa.array([_put(block.held)], pa.binary()),
              pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)],
-            names=["kind", "bucket", "block", "counts", "own", "stats", "words", "tokens", "sizes", "held", "ids"])
+            names=["kind", "bucket", "block", "counts", "own", "asked", "stats", "words", "tokens", "sizes", "held", "ids"])
 
 
 _SHIPPED = _REPLY + ", words binary, tokens binary, sizes binary, held binary, ids array<long>"
@@ -294,18 +314,17 @@ _VALUED = ("kind int, bucket int, block long, n int, keys binary, x binary, y bi
 _SHARES, _ASKS, _DOCS = 0, 1, 2
 
 
-def _counts_of(rows: list[dict], runs: list[_Runs]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each length, the counts of the block's runs and which of them this block has to add up."""
-    counts, own = [], []
-    for kind, of_kind in enumerate(runs, 1):
-        parts = [(_get(r["counts"], np.uint64), r["own"]) for r in rows if r["kind"] == kind]
-        counts.append(np.concatenate([c for c, _ in parts]).astype(np.int64) if parts else np.zeros(0, np.int64))
-        own.append(np.concatenate([
-            np.unpackbits(np.frombuffer(zstandard.decompress(o), np.uint8))[:len(c)] for c, o in parts
-        ]).astype(bool) if parts else np.zeros(0, bool))
-        if len(counts[-1]) != len(of_kind.hashes):
-            raise ValueError("the two scans gave different blocks: the input must be a stored table")
-    return counts, own
+def _counts_of(rows: list[dict], runs: _Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the runs of one length their counts, which of them the block has to add up, and which are asked for."""
+    counts, own, asked = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, bool)]
+    for r in rows:
+        counts.append(_get(r["counts"], np.uint64).astype(np.int64))
+        own.append(_get_bits(r["own"], len(counts[-1])))
+        asked.append(_get_bits(r["asked"], len(counts[-1])))
+    counts, own, asked = (np.concatenate(x) for x in (counts, own, asked))
+    if len(counts) != len(runs.hashes):
+        raise ValueError("the two scans gave different blocks: the input must be a stored table")
+    return counts, own, asked
 
 
 def _value(bits: int, order: int, model):
@@ -319,7 +338,9 @@ def _value(bits: int, order: int, model):
         block = _Block(_get_sorted(row["words"]), _get(row["tokens"], np.uint32).astype(np.int64),
                        _get(row["sizes"], np.uint32).astype(np.int64), _get(row["held"], bool))
         runs = block.runs(order)
-        counts, own = _counts_of(rows, runs)
+        counts, own, asked = zip(*(_counts_of([r for r in rows if r["kind"] == k], of_length)
+                                   for k, of_length in enumerate(runs, 1)), strict=True)
+        del rows
         # Of each length and distinct run: what its last token has after the others, but for the weights.
         share = model_.word(counts[0])
         values = [np.log10(share)]
@@ -328,7 +349,7 @@ def _value(bits: int, order: int, model):
             seen, history = counts[k] > 0, counts[k - 1][runs[k].before]
             kept = model_.discounts[k](counts[k])
             # Shares: of each history with own runs, the mass that they give up and what they take of the shorter one.
-            mine = np.flatnonzero(own[k] & seen)
+            mine = np.flatnonzero(own[k] & seen & asked[k - 1][runs[k].before])
             mine = mine[mine != runs[k].start]
             gives = np.bincount(runs[k].before[mine], counts[k][mine] - kept[mine], len(counts[k - 1]))
             takes = np.bincount(runs[k].before[mine], share[runs[k].after[mine]], len(counts[k - 1]))
@@ -347,8 +368,8 @@ def _value(bits: int, order: int, model):
             history = runs[k].before[runs[k].at[left]]
             known = counts[k - 1][history] > 0
             asks, times = np.unique(history[known] * len(ends) + doc[left[known]], return_counts=True)
-            asked, asker = np.divmod(asks, len(ends))
-            packed.append((_ASKS, k, runs[k - 1].hashes, asked, asker.astype(np.uint32), times.astype(np.uint32)))
+            places, asker = np.divmod(asks, len(ends))
+            packed.append((_ASKS, k, runs[k - 1].hashes, places, asker.astype(np.uint32), times.astype(np.uint32)))
 
         def by_doc(values):
             return np.add.reduceat(values, ends - block.sizes)
@@ -431,14 +452,14 @@ def katz_scores(docs: DataFrame, held_out=None, order: int = ORDER) -> DataFrame
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        (id_crc() % 5 == 1 if held_out is None else held_out).alias("held_out"))
     sent = base.mapInArrow(_send(bits, order), _SENT)
-    replies = stored(sent.groupBy("kind", "bucket").applyInArrow(_count, _REPLY), "counts")
+    replies = stored(sent.groupBy("kind", "bucket").applyInArrow(_count, _REPLY), "counts", release=True)
     stats = {r["kind"]: r["stats"] for r in replies.where("block = -1").groupBy("kind").agg(
         F.array(*[F.sum(F.col("stats")[i]) for i in range(GOOD_TURING + 3)]).alias("stats")).collect()}
     none = [0] * (GOOD_TURING + 3)
     model = spark.sparkContext.broadcast(Model.of([stats.get(k, none) for k in range(1, order + 1)]))
     shipped = base.mapInArrow(_ship, _SHIPPED)
     met = shipped.unionByName(replies.where("block >= 0"), allowMissingColumns=True)
-    valued = stored(met.groupBy("block").applyInArrow(_value(bits, order, model), _VALUED), "values")
+    valued = stored(met.groupBy("block").applyInArrow(_value(bits, order, model), _VALUED), "values", release=True)
     weights = valued.where(F.col("n") != _DOCS).select("kind", "bucket", "block", "n", "keys", "x", "y").groupBy(
         "kind", "bucket").applyInArrow(_weigh, "block long, kind int, bucket int, docs binary, sums binary")
     done = valued.where(F.col("n") == _DOCS).select(

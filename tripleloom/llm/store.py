@@ -11,15 +11,24 @@ from tripleloom.session import scratch_dir
 BATCH_ROWS = 1000
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(frame: DataFrame, label: str, release: bool = False) -> DataFrame:
     """The frame written to the shared scratch folder and read again.
 
     Later steps read the files, so that a lost executor costs no earlier step,
-    and a step used twice runs once.
+    and a step used twice runs once.  With ``release`` the shuffle files of the
+    write, which nothing reads again, go when it has ended.
     """
     spark = frame.sparkSession
     path = scratch_dir(spark, f"llm-{label}")
-    frame.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_RELEASE)
+    spark.conf.set(_RELEASE, "true" if release else before)
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_RELEASE, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
