@@ -24,6 +24,7 @@ from tripleloom.plans.register_mapping import OUTPUT_PREFIXES, REGISTER_MAPS
 from tripleloom.plans.silver import Codes, spread_tables
 from tripleloom.session import fit_shuffle, passes_needed, prepare, scratch_dir
 from tripleloom.sources import bronze as B
+from tripleloom.sources.layout import Layout, parse_layout
 from tripleloom.sources.loads import load_whole
 from tripleloom.sources.passes import write_in_passes
 from tripleloom.sources.sinks import stored_lines, write_ntriples, write_prefixes
@@ -36,7 +37,7 @@ TRIPLE_GROWTH = 8
 def load(
     spark: SparkSession, data_dir: str, bronze_dir: str, status_dir: str, fmt: str = "parquet", append: bool = False,
     changes_dir: str | None = None, keys: Mapping[str, Sequence[str]] | None = None,
-    rejects: bool = False, **options: str | bool,
+    rejects: bool = False, layouts: Mapping[str, Layout] | None = None, **options: str | bool,
 ) -> DataFrame:
     """Full refresh, or with ``append`` an addition, of the bronze tables; returns and writes this load's manifest.
 
@@ -44,10 +45,11 @@ def load(
     and empties any other found beside them.  With ``changes_dir`` it also
     writes the change set of each table that was there before, an addition that
     of every table: by key where ``keys`` names one, else as row copies.
-    ``rejects`` adds records with a wrong number of fields to the status.
+    ``rejects`` adds records with a wrong number of fields to the status, and
+    ``layouts`` store tables in an order and with filters for look-ups.
     """
     load_id = load_whole(spark, data_dir, bronze_dir, status_dir, fmt=fmt, append=append, changes_dir=changes_dir, keys=keys,
-                         rejects=rejects, **options)
+                         rejects=rejects, layouts=layouts, **options)
     return B.load_manifest(spark, data_dir, bronze_dir, fmt=fmt, load_id=load_id)
 
 
@@ -137,6 +139,11 @@ def _key(text: str) -> tuple[str, list[str]]:
     return table, columns.split(",")
 
 
+def _layout(text: str) -> tuple[str, Layout]:
+    table, _, columns = text.partition("=")
+    return table, parse_layout(columns)
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -150,6 +157,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     command.add_argument("--changes", help="folder for the change set of each replaced table")
     command.add_argument("--key", type=_key, action="append", default=[], help="table=COLUMN,... for the change set")
     command.add_argument("--rejects", action="store_true", help="report records with a wrong number of fields")
+    command.add_argument("--layout", type=_layout, action="append", default=[],
+                         help="table=COLUMN,...:COLUMN,... to store in order of the first and with filters for the others")
     command.add_argument("--preview", action="store_true", help="show the first rows of each table")
     command = commands.add_parser("refine")
     for name in ("bronze", "silver"):
@@ -174,7 +183,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args.command == "load":
         given = {"encoding": args.encoding, "escape": args.escape, "multiLine": args.multi_line or None}
         load(spark, args.data, args.bronze, args.status, args.format, args.append, args.changes, dict(args.key), args.rejects,
-             **{k: v for k, v in given.items() if v is not None})
+             dict(args.layout), **{k: v for k, v in given.items() if v is not None})
         for table in B.SCHEMAS if args.preview else ():
             print(table)
             preview(B.read_table(spark, args.bronze, table, args.format), B.SCHEMAS[table].names[0]).show(truncate=False)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleloom.session import run_together
+from tripleloom.sources.layout import Layout
 from tripleloom.sources.tables import _path, replace_table
 
 SOURCE_FILE, LOAD_ID, REJECTED = "_source_file", "_load_id", "_rejected"
@@ -132,6 +133,7 @@ def load_tables(
     keep_previous: bool = False,
     load_id: str | None = None,
     rejects: bool = False,
+    layouts: Mapping[str, Layout] | None = None,
     **options: str | bool,
 ) -> str:
     """Loads every table from ``data_dir/<table>`` with one read and one write; returns the load's id.
@@ -141,19 +143,21 @@ def load_tables(
     the old.  ``append`` adds to what is there.  ``keep_previous`` leaves the
     replaced rows in ``previous_path``.  ``rejects`` also stores the text of
     records with a wrong number of fields, for ``rejected_records``; the rows
-    themselves stay as they are.
+    themselves stay as they are.  ``layouts`` of some tables take the place of
+    their stored order.
     """
     load_id = load_id or uuid.uuid4().hex
 
     def load(table: str) -> None:
         rows = scan_files(spark, f"{data_dir.rstrip('/')}/{table}", schemas[table], fragments, rejects, **options)
-        if STORED_ORDER.get(table) in schemas[table].names:
+        layout = (layouts or {}).get(table, Layout())
+        if STORED_ORDER.get(table) in schemas[table].names and not layout.order:
             rows = rows.sortWithinPartitions(STORED_ORDER[table])
         rows, path = rows.withColumn(LOAD_ID, F.lit(load_id)), f"{bronze_dir.rstrip('/')}/{table}"
         if mode == "overwrite":
-            replace_table(rows, path, fmt, keep_previous)
+            replace_table(rows, path, fmt, keep_previous, layout)
         else:
-            rows.write.mode(mode).format(fmt).save(path)
+            layout.rows(rows).write.mode(mode).format(fmt).options(**layout.options()).save(path)
 
     run_together([partial(load, table) for table in schemas])
     return load_id

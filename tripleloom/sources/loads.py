@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from tripleloom.operators.changes import snapshot_changes, snapshot_changes_bag
 from tripleloom.session import run_together
 from tripleloom.sources import bronze as B
+from tripleloom.sources.layout import Layout
 from tripleloom.sources.tables import _path, drop_tables, exists
 
 JOURNAL = "load-pending.json"
@@ -114,7 +115,7 @@ def load_whole(
     spark: SparkSession, data_dir: str, bronze_dir: str, status_dir: str, schemas: Mapping[str, T.StructType] = B.SCHEMAS,
     fragments: Sequence[str] = B.FILE_FRAGMENTS, fmt: str = "parquet", append: bool = False,
     changes_dir: str | None = None, keys: Mapping[str, Sequence[str]] | None = None, rejects: bool = False,
-    **options: str | bool,
+    layouts: Mapping[str, Layout] | None = None, **options: str | bool,
 ) -> str:
     """Loads all tables, their manifest and, with ``changes_dir``, their change sets; gives the load's id.
 
@@ -135,7 +136,7 @@ def load_whole(
     staged = {base: staging_path(base, load_id) for base in filter(None, (bronze_dir, status_dir, changes_dir))}
     try:
         B.load_tables(spark, data_dir, staged[bronze_dir], schemas, fragments, "overwrite", fmt, load_id=load_id, rejects=rejects,
-                      **options)
+                      layouts=layouts, **options)
         manifest = B.load_manifest(spark, data_dir, staged[bronze_dir], schemas, fragments, fmt, load_id)
         B.write_manifest(manifest, staged[status_dir])
         if rejects:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.session import run_together
+from tripleloom.sources.layout import Layout
 
 
 def table_loader(spark: SparkSession, base: str, fmt: str = "parquet") -> Callable[[str], DataFrame]:
@@ -51,7 +52,9 @@ def drop_previous(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
-def replace_table(frame: DataFrame, path: str, fmt: str = "parquet", keep_previous: bool = False) -> None:
+def replace_table(
+    frame: DataFrame, path: str, fmt: str = "parquet", keep_previous: bool = False, layout: Layout = Layout()
+) -> None:
     """Writes a table beside its old files and swaps them when all rows are written.
 
     A write that fails leaves the old table as it was.  The swap is two renames;
@@ -64,7 +67,7 @@ def replace_table(frame: DataFrame, path: str, fmt: str = "parquet", keep_previo
     (old, files), (new, _), (kept, _) = _path(spark, path), _path(spark, fresh), _path(spark, previous_path(path))
     if files.exists(kept) and not files.exists(old):
         files.rename(kept, old)
-    frame.write.format(fmt).save(fresh)
+    layout.rows(frame).write.format(fmt).options(**layout.options()).save(fresh)
     files.delete(kept, True)
     if files.exists(old) and not files.rename(old, kept):
         raise OSError(f"cannot move {path}")
@@ -74,10 +77,12 @@ def replace_table(frame: DataFrame, path: str, fmt: str = "parquet", keep_previo
         files.delete(kept, True)
 
 
-def write_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "parquet") -> None:
+def write_tables(
+    tables: Mapping[str, DataFrame], base: str, fmt: str = "parquet", layouts: Mapping[str, Layout] | None = None
+) -> None:
     """Replaces each named table under ``base`` when all its rows are written."""
     def write(name: str) -> None:
-        replace_table(tables[name], f"{base.rstrip('/')}/{name}", fmt)
+        replace_table(tables[name], f"{base.rstrip('/')}/{name}", fmt, layout=(layouts or {}).get(name, Layout()))
 
     run_together([partial(write, name) for name in tables])
 
