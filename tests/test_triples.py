@@ -199,3 +199,35 @@ def test_unique_subjects_leave_the_shuffle_and_keep_the_graph(spark):
     assert sorted(saving.distinct().triples().collect()) == sorted(plain.triples().collect())
     # Only the group link: classes are shared with another map, phones come from two columns.
     assert {saving.shapes[r.shape - 1].predicate for r in saving.single.collect()} == {N + "grp"}
+
+
+def test_a_set_shuffles_a_row_per_subject_into_tasks_by_stored_size(spark, tmp_path, monkeypatch):
+    """Ten triples of a row used to be ten shuffled rows, put together in as many tasks whatever the table's size."""
+    rows = [(f"k{i % 40}", f"v{i % 7}" if i % 5 else None, None if i % 3 else "é") for i in range(4000)]
+    spark.createDataFrame(rows, "ID string, a string, b string").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    maps = [tm("one", classes=[N + "C", N + "D"], objects=[
+                ObjectMap((N + "p", N + "q"), column="a"), ObjectMap((N + "r",), template=N + "o/{b}")]),
+            tm("two", subject=N + "o/{b}", classes=[N + "O"]),
+            tm("three", subject=N + "x/{ID}", objects=[ObjectMap((N + "p",), column="b"), ObjectMap((N + "r",), template=N + "o/{b}")])]
+    graph = build_graph(spark, maps, {"T": table}, Options(null_iri=None))
+    want = {tuple(r) for r in graph.triples().collect()}
+    plan = plan_of(graph.distinct().triples())
+    assert plan.index("HashAggregate") < plan.index("Generate") < plan.index("Exchange") and plan.count("Exchange") == 1
+    got = [tuple(r) for r in graph.distinct().triples().collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert graph.packed.rows.count() == 2 * 4000 - sum(r[2] is None for r in rows)  # two subjects a row
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    monkeypatch.setattr("tripleloom.operators.triples.SPREAD_BYTES", size // 50)
+    assert graph.distinct().repeated.rdd.getNumPartitions() >= 50
+    assert {tuple(r) for r in graph.distinct().distinct().triples().collect()} == want
+
+
+def test_packed_rows_are_left_behind_by_graphs_of_other_triples(spark, t):
+    m = tm(classes=[N + "C"], objects=[ObjectMap((N + "p",), column="nome")])
+    graph = build_graph(spark, [m], {"T": t})
+    assert graph.packed is not None
+    for other in (graph.distinct(), graph.whole(), graph.union(graph), build_graph(
+            spark, [m], {"T": t.selectExpr("*", "1L AS weight")}, carry=("weight",))):
+        assert other.packed is None
+    assert graph.whole().distinct().encoded.count() == graph.distinct().encoded.count()

@@ -12,6 +12,8 @@ HOT_ROWS = 2_000_000
 # Null keys match nothing; they only have to be spread.
 _NULL_PARTS = 1_000_000
 _DRAWS = 2**30
+# Sizes from here on are the optimizer's word for not known.
+_UNKNOWN_BYTES = 2**60
 
 
 def planned_bytes(frame: DataFrame) -> int:
@@ -19,6 +21,13 @@ def planned_bytes(frame: DataFrame) -> int:
     return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def stored_bytes(frame: DataFrame) -> int:
+    """Size of the stored tables that a frame reads, once per scan; tables of unknown size count as nothing."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < _UNKNOWN_BYTES)
+
+
 def broadcast_limit(frame: DataFrame) -> int:
     limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return int(limit)

@@ -2,9 +2,13 @@
 
 A graph is held *encoded*: every triple is ``(shape, s, o)`` where ``shape``
 numbers the constant parts (subject prefix, predicate, object prefix, kind,
-datatype) and ``s``/``o`` are only the parts that vary by row.  De-duplication,
-the one shuffle of triple generation, then moves short keys instead of whole
-IRIs; the constant parts come back by array look-up afterwards.
+datatype) and ``s``/``o`` are only the parts that vary by row.  The constant
+parts come back by array look-up afterwards.
+
+De-duplication, the one shuffle of triple generation, moves *packed* rows: per
+source row and subject one ``(g, s, o)`` with all objects of that subject in the
+array ``o``.  Equal triples have equal subjects, so packed rows are dealt by
+``s`` and become triples only behind the shuffle, in tasks of bounded input.
 """
 
 from __future__ import annotations
@@ -22,12 +26,19 @@ from pyspark.sql import functions as F
 from tripleloom.functions.fold import iri_key
 from tripleloom.functions.lexical import XSD_STRING, literal_or_null
 from tripleloom.functions.ntriples import escape_literal
+from tripleloom.operators.joins import stored_bytes
 from tripleloom.operators.rules import Template, TriplesMap
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 TRIPLE_COLUMNS = ["s", "p", "o", "o_kind", "o_datatype"]
 ENCODED_SCHEMA = "shape int, s string, o string"
+PACKED_SCHEMA = "g int, s string, o array<string>"
 NOTE_SCHEMA = "map string, rule string, reason string"
+# Stored bytes of the tables whose triples one task should put together, and the most such tasks.
+SPREAD_BYTES = 4 * 1024 * 1024
+MOST_SPREAD = 20_000
+# The projected column of objects that are a constant part and nothing else.
+_NOTHING = "empty"
 
 
 class Shape(NamedTuple):
@@ -180,12 +191,39 @@ def _pick(values: Sequence[str], shape: Column) -> Column:
     return F.element_at(F.split(F.lit("\n".join(values)), "\n"), shape)
 
 
+class Packed(NamedTuple):
+    """Rows ``(g, s, o)`` with the objects of one subject, and per ``g`` from 1 the shapes with their places in ``o``.
+
+    Place 0 stands for an object without a varying part.
+    """
+
+    rows: DataFrame
+    recipes: tuple[tuple[tuple[int, int], ...], ...]
+
+    def dealt(self) -> Packed:
+        """The rows with all of one subject in one task, over tasks as many as the stored tables need."""
+        spark = self.rows.sparkSession
+        needed = min(stored_bytes(self.rows) // SPREAD_BYTES + 1, MOST_SPREAD)
+        return self._replace(rows=self.rows.repartition(max(needed, spark.sparkContext.defaultParallelism), "s"))
+
+    def encoded(self) -> DataFrame:
+        """The triples ``(shape, s, o)`` of the rows."""
+        recipes = F.array(*[F.array(*[
+            F.struct(F.lit(number).alias("shape"), F.lit(place).alias("place")) for number, place in recipe])
+            for recipe in self.recipes])
+        made = self.rows.select("s", "o", F.explode(F.element_at(recipes, F.col("g"))).alias("made"))
+        o = F.when(F.col("made.place") == 0, F.lit("")).otherwise(F.get("o", F.col("made.place") - 1))
+        return made.select(F.col("made.shape").alias("shape"), "s", o.alias("o")).filter(F.col("o").isNotNull())
+
+
 @dataclass(frozen=True)
 class Graph:
     """Encoded triples with their shapes and the notes of compilation.
 
     ``single`` holds triples known to occur once; only ``repeated`` needs
-    de-duplication.
+    de-duplication.  ``packed``, where there is one, holds the triples of
+    ``repeated`` as rows per subject; a graph that gets other triples in
+    ``repeated`` must leave it out.
     """
 
     repeated: DataFrame
@@ -194,6 +232,7 @@ class Graph:
     prefixes: Prefixes = Prefixes()
     single: DataFrame | None = None
     watch: Watch | None = None
+    packed: Packed | None = None
 
     @property
     def encoded(self) -> DataFrame:
@@ -202,11 +241,12 @@ class Graph:
 
     def watched(self) -> Graph:
         """The graph with its triples counted where a watch is kept."""
-        return self if self.watch is None else replace(self, repeated=self.watch.triples(self.encoded), single=None)
+        return self if self.watch is None else replace(self, repeated=self.watch.triples(self.encoded), single=None, packed=None)
 
     def distinct(self) -> Graph:
-        """Set semantics.  Equal triples collapse before the shuffle where a task sees both."""
-        return replace(self, repeated=self.repeated.dropDuplicates(["shape", "s", "o"]))
+        """Set semantics.  Packed rows are dealt by subject, triples without them by all their parts."""
+        rows = self.repeated if self.packed is None else self.packed.dealt().encoded()
+        return replace(self, repeated=rows.dropDuplicates(["shape", "s", "o"]), packed=None)
 
     def triples(self) -> DataFrame:
         """Whole triples ``s, p, o, o_kind, o_datatype`` (datatype '' for IRIs)."""
@@ -280,7 +320,8 @@ class Graph:
             F.concat(_pick([x.object for x in self.shapes], shape), F.col("o")).alias("o"),
             *self.encoded.columns[3:],
         )
-        return replace(self, repeated=encoded, shapes=shapes, prefixes=Prefixes(open=frozenset([""])), single=None)
+        return replace(self, repeated=encoded, shapes=shapes, prefixes=Prefixes(open=frozenset([""])), single=None,
+                       packed=None)
 
     def notes_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.notes), NOTE_SCHEMA)
@@ -329,7 +370,7 @@ class _Compiler:
         return iri_key(F.col(f"`{fld.name}`"), fld.dataType, self.options.null_iri)
 
     def _nothing(self) -> str:
-        return self._project("empty", lambda: F.lit(""))
+        return self._project(_NOTHING, lambda: F.lit(""))
 
     def _rendered(self, template: Template) -> str:
         """Name of the projected column with everything after the template's prefix."""
@@ -404,9 +445,12 @@ class _Compiler:
 
     def encoded(
         self, spark: SparkSession, numbers: Mapping[Shape, int], wanted: Callable[[_Emission], bool],
-        watch: Watch | None = None, carry: Sequence[str] = (),
-    ) -> DataFrame | None:
-        """Triples of the wanted emissions by one scan of the columns they need; the first such scan is watched."""
+        watch: Watch | None = None, carry: Sequence[str] = (), first: int = 1,
+    ) -> tuple[DataFrame, Packed] | None:
+        """Triples of the wanted emissions by one scan of the columns they need; the first such scan is watched.
+
+        The same triples come as packed rows too, numbered from ``first``.
+        """
         triples = list(dict.fromkeys((numbers[e.shape], e.subject, e.object) for e in self.emissions if wanted(e)))
         if not triples:
             return None
@@ -425,7 +469,25 @@ class _Compiler:
             f"FROM {{source}} UNPIVOT ((s, o) FOR shape IN ({rows}))",
             source=source,
         )
-        return spread.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
+        encoded = spread.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
+        return encoded, self._packed(spark, source, triples, names, first)
+
+    def _packed(
+        self, spark: SparkSession, source: DataFrame, triples: Sequence[tuple[int, str, str]], names: Mapping[str, str], first: int
+    ) -> Packed:
+        groups: dict[str, list[tuple[int, str]]] = {}
+        for number, s, o in triples:
+            groups.setdefault(s, []).append((number, o))
+        recipes, held = [], []
+        for made in groups.values():
+            objects = list(dict.fromkeys(o for _, o in made if o != _NOTHING))
+            places = {o: i for i, o in enumerate(objects, 1)}
+            recipes.append(tuple((number, places.get(o, 0)) for number, o in made))
+            held.append(F.array(*[F.col(names[o]) for o in objects]).cast("array<string>"))
+        wide = source.select(*[names[s] for s in groups], *[o.alias(f"o{i}") for i, o in enumerate(held)])
+        rows = ", ".join(f"(`{names[s]}`, `o{i}`) AS `{first + i}`" for i, s in enumerate(groups))
+        packed = spark.sql(f"SELECT CAST(g AS INT) AS g, s, o FROM {{wide}} UNPIVOT INCLUDE NULLS ((s, o) FOR g IN ({rows}))", wide=wide)
+        return Packed(packed.filter(F.col("s").isNotNull()), tuple(recipes))
 
 
 Table = DataFrame | Sequence[View]
@@ -501,11 +563,19 @@ def build_graph(
     def is_single(e: _Emission) -> bool:
         return not overlap and e.map in unique and made[e.shape] == 1
 
-    repeated = _union(c.encoded(spark, numbers, lambda e: not is_single(e), watch, carry) for c in compilers)
-    single = _union(c.encoded(spark, numbers, is_single, watch, carry) for c in compilers)
+    bags, recipes = [], ()
+    for compiler in compilers:
+        made_by = compiler.encoded(spark, numbers, lambda e: not is_single(e), watch, carry, len(recipes) + 1)
+        if made_by is not None:
+            bags.append(made_by)
+            recipes += made_by[1].recipes
+    alone = [c.encoded(spark, numbers, is_single, watch, carry) for c in compilers]
+    repeated, single = _union(bag for bag, _ in bags), _union(found[0] for found in alone if found is not None)
+    # Carried columns stay with each triple.
+    packed = Packed(_union(p.rows for _, p in bags), recipes) if bags and not carry else None
     if repeated is None:
         repeated = spark.createDataFrame([], ", ".join([ENCODED_SCHEMA, *[f"`{c}` long" for c in carry]]))
-    graph = Graph(repeated, tuple(numbers), tuple(notes), prefixes, single, watch)
+    graph = Graph(repeated, tuple(numbers), tuple(notes), prefixes, single, watch, packed)
     return graph.whole() if overlap else graph
 
 
