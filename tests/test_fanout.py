@@ -8,6 +8,7 @@ from tripleloom.catalog.standin import CODES, bronze_frames
 from tripleloom.operators.triples import Options, View, as_frame, build_graph, unique_subjects
 from tripleloom.operators.rules import ObjectMap, TriplesMap
 from tripleloom.plans.register_mapping import REGISTER_MAPS
+from tripleloom.plans import silver
 from tripleloom.plans.silver import FACETS, SILVER, fan_out, silver_tables, spread_tables, wide_frames
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +76,12 @@ def test_maps_over_views(spark):
     assert as_frame(both["t"]).count() == 4
     assert unique_subjects(spark, [tm], both) == frozenset()
     assert unique_subjects(spark, [tm], {"t": both["t"][:1]}) == {"t"}
+
+
+def test_a_table_that_the_scan_splits_is_not_dealt(spark, monkeypatch):
+    """Dealing tables of up to 128 MB a core sorted and shuffled all their rows into tasks that grew with the table."""
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    assert silver.dealt(orders) is not orders
+    size = spark.sparkContext.defaultParallelism * 4 * 1024 * 1024
+    monkeypatch.setattr(silver, "planned_bytes", lambda frame: size)
+    assert silver.dealt(orders) is orders

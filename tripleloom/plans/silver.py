@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from tripleloom.operators.joins import left_lookup, planned_bytes
 from tripleloom.operators.triples import Table, View
 from tripleloom.plans.register_mapping import ADDRESS_LABEL, STATE_CODES
-from tripleloom.session import SHUFFLE_BYTES
 
 Tables = Mapping[str, DataFrame]
 
+# The least of a file that a scan gives to a task while cores are idle (spark.sql.files.openCostInBytes).
+SPLIT_BYTES = 4 * 1024 * 1024
+
 
 @dataclass(frozen=True)
 class Codes:
@@ -392,13 +394,13 @@ def silver_tables(bronze: Tables, codes: Codes) -> dict[str, DataFrame]:
 
 
 def dealt(frame: DataFrame) -> DataFrame:
-    """A table of fewer files than cores, and of less than a task's share per core, dealt over the cores.
+    """A table of fewer files than cores, and too small for the scan to split it over them, dealt over the cores.
 
     One pass does the work of many, so it must not be left to the few tasks of
     such a scan.  Larger tables have splits enough and are never shuffled here.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    few = 0 < len(frame.inputFiles()) < cores and planned_bytes(frame) < cores * SHUFFLE_BYTES
+    few = 0 < len(frame.inputFiles()) < cores and planned_bytes(frame) < cores * SPLIT_BYTES
     return frame.repartition(cores) if few else frame
 
 
