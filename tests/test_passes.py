@@ -94,3 +94,28 @@ def test_passes_bound_the_planned_bytes_of_a_task(monkeypatch):
     assert total * jobs.TRIPLE_GROWTH / passes / session.MOST_PARTITIONS <= session.MOST_TASK_BYTES
     monkeypatch.setattr(session, "planned_bytes", lambda frame: 10**12)
     assert session.passes_needed([None], growth=jobs.TRIPLE_GROWTH) == 1
+
+
+def test_passes_stage_a_row_per_subject_and_compress_lines(spark, tables, tmp_path, monkeypatch):
+    """Staging held every triple as a row, sorted by pass, and the lines could not be compressed."""
+    staged = []
+    real = module.stage
+
+    def watched(graph, path, passes):
+        real(graph, path, passes)
+        staged.append((spark.read.parquet(path).count(), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+
+    monkeypatch.setattr(module, "stage", watched)
+    write_in_passes(spark, MAPS, tables, f"{tmp_path}/z", OPTIONS, passes=3, compression="gzip")
+    assert staged == [(100 + 75, "0")]  # two triples of each person are one row
+    want = sorted(r.value for r in build_graph(spark, MAPS, tables, OPTIONS).distinct().lines().collect())
+    assert lines(spark, tmp_path / "z") == want
+    assert {f.suffix for f in tmp_path.glob("z/pass=*/part*")} == {".gz"}
+
+
+def test_overlapping_prefixes_are_staged_as_triples(spark, tmp_path):
+    spark.createDataFrame([("AB", "B")] * 3, "a string, b string").write.parquet(f"{tmp_path}/t")
+    maps = [TriplesMap("one", "SELECT * FROM t", "http://e/{a}", classes=("http://e/C",)),
+            TriplesMap("two", "SELECT * FROM t", "http://e/A{b}", classes=("http://e/C",))]
+    write_in_passes(spark, maps, {"t": spark.read.parquet(f"{tmp_path}/t")}, f"{tmp_path}/out", passes=2)
+    assert len(lines(spark, tmp_path / "out")) == 1

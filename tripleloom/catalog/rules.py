@@ -219,7 +219,7 @@ def graph_in_passes(spark, sf_dir):
     """The same set, written in three committed passes and counted from the lines in the files."""
     tables = {tm.table: table(spark, sf_dir, tm.table) for tm in SALES_MAPS}
     path = scratch_dir(spark, "passes")
-    write_in_passes(spark, SALES_MAPS, tables, path, passes=3)
+    write_in_passes(spark, SALES_MAPS, tables, path, passes=3, compression="gzip")
     predicate = F.substring_index(F.substring_index("value", "> ", 2), "<", -1)
     return spark.read.text(path).groupBy(predicate.alias("p")).agg(F.count(F.lit(1)).alias("triples"))
 

@@ -1,10 +1,11 @@
 """Publishing a graph in hash ranges that are committed one by one.
 
 A shuffle has a bounded number of tasks, so beyond some size its tasks would
-grow with the graph.  Here one scan of the tables writes the encoded triples
-into folders by a hash of the whole triple.  Equal triples meet in one folder,
-so each is de-duplicated and written as a pass of its own, whose tasks keep the
-size that was planned.
+grow with the graph.  Here one scan of the tables writes the graph's packed
+rows into folders by a hash of the subject (encoded triples by a hash of the
+whole, where prefixes overlap).  Equal triples meet in one folder, so each is
+de-duplicated and written as a pass of its own, whose tasks keep the size that
+was planned.
 
 A pass is written to a hidden folder, its counts are noted, and one rename
 commits it.  A job that ends anywhere is repeated with the same call: it goes
@@ -24,12 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.operators.rules import TriplesMap, maps_to_json
-from tripleloom.operators.triples import ENCODED_SCHEMA, Graph, Options, Watch, build_graph
+from tripleloom.operators.triples import ENCODED_SCHEMA, PACKED_SCHEMA, Graph, Options, Watch, build_graph
 from tripleloom.sources.sinks import write_ntriples
 from tripleloom.sources.tables import _path, drop_tables, exists
 
 STAGING = "_staged"
 _STATE = "_passes"
+# Folders that one task writes side by side without sorting its rows, and the rows of each that it holds.
+_FOLDERS = 8
+_FOLDER_BYTES = 16 * 1024 * 1024
 
 
 class Recorded(Watch):
@@ -64,9 +68,9 @@ def _noted(spark: SparkSession, path: str) -> dict | None:
 
 
 def fingerprint(maps: Sequence[TriplesMap], tables: Mapping[str, DataFrame], options: Options, passes: int) -> str:
-    """What a run works on: mapping, options, number of passes and the names of the input files."""
+    """What a run works on: mapping, options, number of passes, what is staged and the names of the input files."""
     digest = hashlib.sha256(maps_to_json(maps).encode())
-    digest.update(repr((options, passes)).encode())
+    digest.update(repr((options, passes, PACKED_SCHEMA)).encode())
     for name in sorted(tables):
         digest.update(f"\n{name}\n".encode())
         for file in sorted(tables[name].inputFiles()):
@@ -75,16 +79,26 @@ def fingerprint(maps: Sequence[TriplesMap], tables: Mapping[str, DataFrame], opt
 
 
 def stage(graph: Graph, path: str, passes: int) -> None:
-    """Writes the encoded triples in one scan, into a folder per hash range of whole triples."""
-    number = F.pmod(F.xxhash64("shape", "s", "o"), F.lit(passes)).cast("int")
-    graph.encoded.withColumn("pass", number).write.mode("overwrite").partitionBy("pass").parquet(path)
+    """Writes the graph's rows in one scan, into a folder per hash range of what equal triples share."""
+    rows, key = (graph.encoded, ["shape", "s", "o"]) if graph.packed is None else (graph.packed.rows, ["s"])
+    number = F.pmod(F.xxhash64(*key), F.lit(passes)).cast("int")
+    spark, most = rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(most)
+    spark.conf.set(most, _FOLDERS if passes <= _FOLDERS else before)
+    try:
+        rows.withColumn("pass", number).write.mode("overwrite").partitionBy("pass").options(
+            **{"compression": "zstd", "parquet.block.size": str(_FOLDER_BYTES)}).parquet(path)
+    finally:
+        spark.conf.set(most, before)
 
 
 def staged(graph: Graph, path: str, number: int) -> Graph:
     """The staged triples of one range, as a set."""
-    rows = graph.repeated.sparkSession.read.schema(f"{ENCODED_SCHEMA}, pass int").parquet(path)
-    rows = rows.filter(F.col("pass") == number).select("shape", "s", "o")
-    return replace(graph, repeated=rows, single=None, watch=Watch()).distinct()
+    schema = ENCODED_SCHEMA if graph.packed is None else PACKED_SCHEMA
+    stored = graph.repeated.sparkSession.read.schema(f"{schema}, pass int").parquet(path)
+    rows = stored.filter(F.col("pass") == number).drop("pass")
+    packed = None if graph.packed is None else graph.packed._replace(rows=rows)
+    return replace(graph, repeated=rows if packed is None else packed.encoded(), packed=packed, single=None, watch=Watch()).distinct()
 
 
 def _commit(spark: SparkSession, fresh: str, place: str) -> None:
@@ -95,11 +109,12 @@ def _commit(spark: SparkSession, fresh: str, place: str) -> None:
 
 def write_in_passes(
     spark: SparkSession, maps: Sequence[TriplesMap], tables: Mapping[str, DataFrame], path: str,
-    options: Options = Options(), passes: int = 1,
+    options: Options = Options(), passes: int = 1, compression: str | None = None,
 ) -> tuple[Graph, Watch]:
     """Writes the graph's lines as a set to ``path/pass=N`` and gives the graph and all counts of all runs.
 
-    Readers of ``path`` get the statements in ``value`` and the pass as a second column.
+    Readers of ``path`` get the statements in ``value`` and the pass as a second column.  ``compression`` is that
+    of the lines; passes that earlier runs committed keep theirs.
     """
     if passes < 1:
         raise ValueError("passes must be at least 1")
@@ -120,7 +135,7 @@ def write_in_passes(
         place, fresh, counts = f"{base}/pass={number}", f"{base}/.pass={number}", f"{state}/{number}.json"
         if number in missing:
             part = staged(graph, staging, number)
-            write_ntriples(part, fresh)
+            write_ntriples(part, fresh, compression=compression)
             _note(spark, counts, part.watch.written())
             _commit(spark, fresh, place)
         written.append(_noted(spark, counts))
