@@ -35,7 +35,7 @@ ENCODED_SCHEMA = "shape int, s string, o string"
 PACKED_SCHEMA = "g int, s string, o array<string>"
 NOTE_SCHEMA = "map string, rule string, reason string"
 # Stored bytes of the tables whose triples one task should put together, and the most such tasks.
-SPREAD_BYTES = 4 * 1024 * 1024
+SPREAD_BYTES = 2 * 1024 * 1024
 MOST_SPREAD = 20_000
 # The projected column of objects that are a constant part and nothing else.
 _NOTHING = "empty"
