@@ -4,7 +4,7 @@ import pytest
 
 from tripleloom.functions.lexical import XSD_DOUBLE, XSD_STRING
 from tripleloom.operators.rules import ObjectMap, TriplesMap, rules_frame
-from tripleloom.operators.triples import RDF_TYPE, Options, build_graph, reconcile, unique_subjects
+from tripleloom.operators.triples import RDF_TYPE, Options, View, build_graph, reconcile, unique_subjects
 
 N = "http://n/"
 
@@ -223,6 +223,37 @@ def test_a_set_shuffles_a_row_per_subject_into_tasks_by_stored_size(spark, tmp_p
     assert {tuple(r) for r in graph.distinct().distinct().triples().collect()} == want
 
 
+def test_a_packed_row_is_one_text_and_keeps_every_sign(spark):
+    """Objects as an array took half as many shuffled bytes again; signs of the packing inside a text stay what they are."""
+    texts = ["", "\x01", "\x02", "\x02c", "\x02m\x01", "a\x01\x02b", "\x01\x01", "x", None]
+    rows = spark.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)], "ID string, a string, b string")
+    m = tm(classes=[N + "C", N + "D"], objects=[
+        ObjectMap((N + "p", N + "q"), column="a"), ObjectMap((N + "r",), column="b"), ObjectMap((N + "q",), column="b"),
+        ObjectMap((N + "t",), template=N + "\x01{a}\x02{ID}")])
+    graph = build_graph(spark, [m], {"T": rows})
+    assert graph.packed.rows.dtypes == [("s", "string"), ("o", "string")]
+    want = {tuple(r) for r in graph.triples().collect()}
+    got = [tuple(r) for r in graph.distinct().triples().collect()]
+    assert len(got) == len(want) and set(got) == want
+    # Both classes come from the same places, and so do p and r with none.
+    assert sorted(map(len, graph.packed.units())) == [1, 1, 1, 1, 2]
+
+
+def test_views_with_one_subject_share_a_packed_row(spark):
+    """Each view of a row used to send the subject by itself."""
+    rows = [(f"k{i % 7}", f"v{i % 3}", None if i % 4 else "w", [True, False, None][i % 3], i % 2 == 0, True) for i in range(60)]
+    base = spark.createDataFrame(rows, "k string, v string, w string, f boolean, g boolean, h boolean")
+    maps = [tm(f"m{i}", f"SELECT * FROM T{i}", N + ("y/{ID}" if i == 2 else "x/{ID}"), [N + "C", N + f"C{i}"],
+               [ObjectMap((N + "p", N + f"p{i}"), column="V"), ObjectMap((N + "q",), column="W")]) for i in range(7)]
+    flags = [None, "f", "g", "h", "f", "g", None]
+    tables = {f"T{i}": [View(base, {"ID": "k", "V": "vw"[i % 2], "W": "w"}, flag)] for i, flag in enumerate(flags)}
+    graph = build_graph(spark, maps, tables)
+    assert graph.packed.rows.count() == 60
+    want = {tuple(r) for r in graph.triples().collect()}
+    got = [tuple(r) for r in graph.distinct().triples().collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_packed_rows_are_left_behind_by_graphs_of_other_triples(spark, t):
     m = tm(classes=[N + "C"], objects=[ObjectMap((N + "p",), column="nome")])
     graph = build_graph(spark, [m], {"T": t})

@@ -24,6 +24,7 @@ UNICODE_VERSION = unicodedata.unidata_version
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 _SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
 _OTHER_ASCII = "".join(c for c in map(chr, range(128)) if c not in _KEY_CHARS + _SPACES)
 _RANGE_GAP = 64
 _ENTRY_END, _IMAGE_START = "\x02", "\x01"
@@ -140,6 +141,16 @@ def _key_table() -> _FoldTable:
     return _FoldTable(images)
 
 
+@lru_cache(maxsize=1)
+def _key_map() -> tuple[str, str]:
+    """Every character that gives at most one of a key, in one map: blanks to a blank, the clean-up's to nothing."""
+    table = _key_table()
+    images = dict(zip(table.match, table.replace)) | {c: " " for c in _SPACES} | {c: c.upper() for c in _LOWER}
+    kept = {c: i for c, i in images.items() if i != "-"}
+    removed = [c for c in images if c not in kept] + [*table.match[len(table.replace):], *_OTHER_ASCII]
+    return "".join(kept) + "".join(c for c in removed if c not in kept), "".join(kept.values())
+
+
 def strip_accents(text: Column) -> Column:
     """NFKD text without combining marks; base letters of any script stay."""
     return _accent_table().apply(text, hangul=True)
@@ -148,13 +159,15 @@ def strip_accents(text: Column) -> Column:
 def key_text(text: Column) -> Column:
     """IRI key of a string: folded, upper-cased, blanks to ``_``, rest removed.
 
-    ASCII text without neighbouring blanks, the usual key, takes one character
-    map instead of two regular expressions.
+    Text of characters that give at most one of the key each, and without
+    neighbouring blanks in it, the usual key, takes one character map instead of
+    three and two regular expressions.
     """
-    plain = F.translate(F.upper(text), _SPACES + _OTHER_ASCII, "_" * len(_SPACES))
+    mapped = F.translate(text, *_key_map())
+    plain = F.replace(mapped, F.lit(" "), F.lit("_"))
     folded = F.regexp_replace(F.upper(_key_table().apply(text)), f"[{_SPACES}]+", "_")
     cleaned = F.regexp_replace(F.translate(folded, _OTHER_ASCII, ""), "[^A-Z0-9_]", "")
-    simple = _is_ascii(text) & ~text.rlike(f"[{_SPACES}]{{2}}")
+    simple = _is_ascii(mapped) & ~F.contains(mapped, F.lit("  "))
     return F.when(simple, plain).otherwise(cleaned)
 
 

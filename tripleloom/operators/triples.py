@@ -6,8 +6,8 @@ datatype) and ``s``/``o`` are only the parts that vary by row.  The constant
 parts come back by array look-up afterwards.
 
 De-duplication, the one shuffle of triple generation, moves *packed* rows: per
-source row and subject one ``(g, s, o)`` with all objects of that subject in the
-array ``o``.  Equal triples have equal subjects, so packed rows are dealt by
+source row and subject one ``(s, o)`` with all objects of that subject in the
+text ``o``.  Equal triples have equal subjects, so packed rows are dealt by
 ``s`` and become triples only behind the shuffle, in tasks of bounded input.
 """
 
@@ -17,6 +17,8 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -32,13 +34,20 @@ from tripleloom.operators.rules import Template, TriplesMap
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 TRIPLE_COLUMNS = ["s", "p", "o", "o_kind", "o_datatype"]
 ENCODED_SCHEMA = "shape int, s string, o string"
-PACKED_SCHEMA = "g int, s string, o array<string>"
+PACKED_SCHEMA = "s string, o string"
 NOTE_SCHEMA = "map string, rule string, reason string"
 # Stored bytes of the tables whose triples one task should put together, and the most such tasks.
 SPREAD_BYTES = 2 * 1024 * 1024
 MOST_SPREAD = 20_000
 # The projected column of objects that are a constant part and nothing else.
 _NOTHING = "empty"
+# Between the fields of a packed row, before what stands for one of these two inside a field, and a field that is null.
+_CUT, _MARK = "\x01", "\x02"
+_ESCAPES = ((_MARK, _MARK + "m"), (_CUT, _MARK + "c"))
+# Flagged views of one subject that share a packed row; each set of them that holds at once is a recipe.
+_MOST_FLAGS = 4
+# Bytes of bytecode of a method that the JVM still compiles; what whole-stage code has over that stays interpreted.
+LARGEST_METHOD = 8000
 
 
 class Shape(NamedTuple):
@@ -191,9 +200,23 @@ def _pick(values: Sequence[str], shape: Column) -> Column:
     return F.element_at(F.split(F.lit("\n".join(values)), "\n"), shape)
 
 
+def _escaped(text: Column) -> Column:
+    for plain, sign in _ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(sign))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    for plain, sign in reversed(_ESCAPES):
+        text = F.replace(text, F.lit(sign), F.lit(plain))
+    return text
+
+
 class Packed(NamedTuple):
-    """Rows ``(g, s, o)`` with the objects of one subject, and per ``g`` from 1 the shapes with their places in ``o``.
+    """Rows ``(s, o)`` with the objects of one subject, and per recipe from 1 the shapes with their places in ``o``.
 
+    ``o`` is the number of the row's recipe and then the objects, as one text:
+    it takes two thirds of the shuffled bytes that an array of them took.
     Place 0 stands for an object without a varying part.
     """
 
@@ -211,9 +234,37 @@ class Packed(NamedTuple):
         recipes = F.array(*[F.array(*[
             F.struct(F.lit(number).alias("shape"), F.lit(place).alias("place")) for number, place in recipe])
             for recipe in self.recipes])
-        made = self.rows.select("s", "o", F.explode(F.element_at(recipes, F.col("g"))).alias("made"))
-        o = F.when(F.col("made.place") == 0, F.lit("")).otherwise(F.get("o", F.col("made.place") - 1))
-        return made.select(F.col("made.shape").alias("shape"), "s", o.alias("o")).filter(F.col("o").isNotNull())
+        cut = self.rows.select("s", F.split("o", _CUT).alias("o"))
+        made = cut.select("s", "o", F.explode(F.get(recipes, F.get("o", F.lit(0)).cast("int") - 1)).alias("made"))
+        o = F.when(F.col("made.place") == 0, F.lit("")).otherwise(F.get("o", F.col("made.place")))
+        rows = made.select(F.col("made.shape").alias("shape"), "s", o.alias("o")).filter(F.col("o") != _MARK)
+        return rows.select("shape", "s", _unescaped(F.col("o")).alias("o"))
+
+    def units(self) -> list[list[int]]:
+        """The shapes, those together that every row gives from the same places and so with the same objects."""
+        places: dict[int, dict[tuple[int, int], None]] = {}
+        for i, recipe in enumerate(self.recipes):
+            for number, place in recipe:
+                places.setdefault(number, {})[i, place] = None
+        units: dict[frozenset[tuple[int, int]], list[int]] = {}
+        for number, found in places.items():
+            units.setdefault(frozenset(found), []).append(number)
+        return list(units.values())
+
+    def distinct(self) -> DataFrame:
+        """The triples ``(shape, s, o)`` as a set: one row per unit of shapes is put together, and then spread."""
+        units = self.units()
+        unit = {number: u for u, numbers in enumerate(units, 1) for number in numbers}
+        recipes = tuple(tuple(dict.fromkeys((unit[number], place) for number, place in recipe)) for recipe in self.recipes)
+        kept = self._replace(recipes=recipes).dealt().encoded().dropDuplicates(["shape", "s", "o"])
+        most = max(map(len, units))
+        numbers = [F.element_at(F.array(*[F.lit(u[i] if i < len(u) else None).cast("int") for u in units]), F.col("shape"))
+                   for i in range(most)]
+        if most == 1:
+            return kept.select(numbers[0].alias("shape"), "s", "o")
+        wide = kept.select("s", "o", *[number.alias(f"n{i}") for i, number in enumerate(numbers)])
+        return wide.sparkSession.sql(
+            f"SELECT shape, s, o FROM {{wide}} UNPIVOT (shape FOR place IN ({', '.join(f'n{i}' for i in range(most))}))", wide=wide)
 
 
 @dataclass(frozen=True)
@@ -245,8 +296,8 @@ class Graph:
 
     def distinct(self) -> Graph:
         """Set semantics.  Packed rows are dealt by subject, triples without them by all their parts."""
-        rows = self.repeated if self.packed is None else self.packed.dealt().encoded()
-        return replace(self, repeated=rows.dropDuplicates(["shape", "s", "o"]), packed=None)
+        rows = self.repeated.dropDuplicates(["shape", "s", "o"]) if self.packed is None else self.packed.distinct()
+        return replace(self, repeated=rows, packed=None)
 
     def triples(self) -> DataFrame:
         """Whole triples ``s, p, o, o_kind, o_datatype`` (datatype '' for IRIs)."""
@@ -355,6 +406,7 @@ class _Compiler:
         self.columns: dict[str, Column] = {}
         self.emissions: dict[_Emission, None] = {}
         self.subjects: list[tuple[str, str]] = []
+        self.flagged: dict[str, tuple[str, str]] = {}
         self.watched = False
         self.notes: list[Note] = []
         self.prefixes = Prefixes()
@@ -410,8 +462,9 @@ class _Compiler:
             raise ValueError(f"{tm.name}: subject columns {missing} are not in the table")
         s = self._rendered(subject)
         if view is not None and view.where is not None:
-            whole = self.columns[s]
-            s = self._project(f"{s} where {view.where}", lambda: F.when(F.col(f"`{view.where}`"), whole))
+            name, whole = s, self.columns[s]
+            s = self._project(f"{name} where {view.where}", lambda: F.when(F.col(f"`{view.where}`"), whole))
+            self.flagged[s] = name, view.where
         self.subjects.append((tm.name, s))
         for cls in tm.classes:
             self._emit(tm, Shape(subject.prefix, RDF_TYPE, cls, "iri", ""), s, self._nothing())
@@ -458,8 +511,12 @@ class _Compiler:
         used = dict.fromkeys(name for _, s, o in triples for name in (s, o))
         if watch is not None:
             used |= dict.fromkeys(s for _, s in self.subjects)
+        used |= dict.fromkeys(name for name, _ in self.flagged.values())
         names = {name: f"c{i}" for i, name in enumerate(used)}
-        source = self.frame.select(*[self.columns[n].alias(alias) for n, alias in names.items()], *carry)
+        flags = {flag: f"f{i}" for i, flag in enumerate(dict.fromkeys(flag for _, flag in self.flagged.values()))}
+        source = self.frame.select(
+            *[self.columns[n].alias(alias) for n, alias in names.items()],
+            *[F.col(f"`{flag}`").alias(alias) for flag, alias in flags.items()], *carry)
         if watch is not None:
             source, self.watched = watch.scan(source, [(name, names[s]) for name, s in self.subjects]), True
         rows = ", ".join(f"(`{names[s]}`, `{names[o]}`) AS `{number}`" for number, s, o in triples)
@@ -470,23 +527,54 @@ class _Compiler:
             source=source,
         )
         encoded = spread.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
-        return encoded, self._packed(spark, source, triples, names, first)
+        return encoded, self._packed(spark, source, triples, names, flags, first)
+
+    def _field(self, name: str, column: str) -> Column:
+        """An object as a field of a packed row; keys have none of the two signs."""
+        keyed = name.startswith("key ") and not set(_CUT + _MARK) & set(self.options.null_iri or "")
+        return F.coalesce(F.col(column) if keyed else _escaped(F.col(column)), F.lit(_MARK))
 
     def _packed(
-        self, spark: SparkSession, source: DataFrame, triples: Sequence[tuple[int, str, str]], names: Mapping[str, str], first: int
+        self, spark: SparkSession, source: DataFrame, triples: Sequence[tuple[int, str, str]], names: Mapping[str, str],
+        flags: Mapping[str, str], first: int
     ) -> Packed:
-        groups: dict[str, list[tuple[int, str]]] = {}
+        """One row per source row and subject, also where several flagged views of the row have that subject."""
+        subjects: dict[str, dict[str | None, list[tuple[int, str]]]] = {}
         for number, s, o in triples:
-            groups.setdefault(s, []).append((number, o))
-        recipes, held = [], []
-        for made in groups.values():
-            objects = list(dict.fromkeys(o for _, o in made if o != _NOTHING))
-            places = {o: i for i, o in enumerate(objects, 1)}
-            recipes.append(tuple((number, places.get(o, 0)) for number, o in made))
-            held.append(F.array(*[F.col(names[o]) for o in objects]).cast("array<string>"))
-        wide = source.select(*[names[s] for s in groups], *[o.alias(f"o{i}") for i, o in enumerate(held)])
-        rows = ", ".join(f"(`{names[s]}`, `o{i}`) AS `{first + i}`" for i, s in enumerate(groups))
-        packed = spark.sql(f"SELECT CAST(g AS INT) AS g, s, o FROM {{wide}} UNPIVOT INCLUDE NULLS ((s, o) FOR g IN ({rows}))", wide=wide)
+            whole, flag = self.flagged.get(s, (s, None))
+            subjects.setdefault(whole, {}).setdefault(flag, []).append((number, o))
+        groups = []
+        for whole, views in subjects.items():
+            conditions = sorted(views, key=lambda flag: flag is not None)  # first what every row has
+            groups += [(whole, {flag: views[flag] for flag in conditions[i:i + _MOST_FLAGS]})
+                       for i in range(0, len(conditions), _MOST_FLAGS)]
+        recipes, columns = [], []
+        for i, (whole, views) in enumerate(groups):
+            objects = {flag: list(dict.fromkeys(o for _, o in made if o != _NOTHING)) for flag, made in views.items()}
+            held = [flag for flag in views if flag is not None]
+            number, parts = F.lit(first + len(recipes)), []
+            for bit, flag in enumerate(held):
+                number = number + F.when(F.col(flags[flag]), F.lit(1 << bit)).otherwise(F.lit(0))
+            for flag, fields in objects.items():
+                if fields:
+                    part = F.concat_ws(_CUT, *[self._field(o, names[o]) for o in fields])
+                    parts.append(part if flag is None else F.when(F.col(flags[flag]), part))
+            for held_at_once in range(1 << len(held)):
+                recipe, place = [], 0
+                for flag, made in views.items():
+                    if flag is None or held_at_once >> held.index(flag) & 1:
+                        places = {o: place + k for k, o in enumerate(objects[flag], 1)}
+                        recipe += [(shape, places.get(o, 0)) for shape, o in made]
+                        place += len(places)
+                recipes.append(tuple(dict.fromkeys(recipe)))
+            s = F.col(names[whole])
+            if None not in views:
+                # Named twice, so that the optimizer keeps the key where it is made once for all that take it.
+                s = F.when(reduce(or_, [F.col(flags[flag]) for flag in held]) & s.isNotNull(), s)
+            columns += [s.alias(f"s{i}"), F.concat_ws(_CUT, number.cast("string"), *parts).alias(f"o{i}")]
+        wide = source.select(*columns)
+        rows = ", ".join(f"(s{i}, o{i})" for i in range(len(groups)))
+        packed = spark.sql(f"SELECT s, o FROM {{wide}} UNPIVOT INCLUDE NULLS ((s, o) FOR g IN ({rows}))", wide=wide)
         return Packed(packed.filter(F.col("s").isNotNull()), tuple(recipes))
 
 
@@ -551,6 +639,7 @@ def build_graph(
     Columns named in ``carry`` go from each row to all its triples, as further
     columns of ``encoded``.
     """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", LARGEST_METHOD)
     compilers, notes = _compile(spark, maps, tables, options)
     emissions = [e for compiler in compilers for e in compiler.emissions]
     numbers = {shape: i for i, shape in enumerate(dict.fromkeys(e.shape for e in emissions), 1)}
