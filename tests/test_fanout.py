@@ -3,9 +3,10 @@ from collections import Counter
 
 import pytest
 
+from tripleloom.catalog import QUERIES
 from tripleloom.catalog.maps import register_graph
 from tripleloom.catalog.standin import CODES, bronze_frames
-from tripleloom.operators.triples import Options, View, as_frame, build_graph, unique_subjects
+from tripleloom.operators.triples import Options, View, _queried, as_frame, build_graph, unique_subjects
 from tripleloom.operators.rules import ObjectMap, TriplesMap
 from tripleloom.plans.register_mapping import REGISTER_MAPS
 from tripleloom.plans import silver
@@ -78,6 +79,35 @@ def test_maps_over_views(spark):
     assert unique_subjects(spark, [tm], {"t": both["t"][:1]}) == {"t"}
 
 
+def test_the_declared_register_reads_partners_once_too(spark):
+    """Each map's own SQL used to scan its table by itself: partners eleven times, with a shuffle for each set of rows."""
+    counts = QUERIES["register_declared"](spark, SF)
+    reasons = bronze_frames(spark, SF)["razao_situacao"]
+    assert scans(counts, "lineitem") == 1 and scans(counts, "orders") - 2 * scans(reasons, "orders") <= 3
+
+
+def test_queries_over_views(spark):
+    """A query that takes each row by itself shares the views' scan; others are run, over the same rows."""
+    base = spark.createDataFrame(
+        [(1, "a", "x", True), (2, "b", None, False), (3, "c", "y", None), (4, "d", "z", True)], "n int, p string, q string, flag boolean")
+    both = {"t": [View(base, {"ID": "p", "n": "q", "V": "n"}, "flag"), View(base, {"ID": "q", "n": "p", "V": "n"})]}
+    as_frame(both["t"]).createOrReplaceTempView("t")
+    alone = ["SELECT * FROM t", "SELECT ID, t.V FROM t", "SELECT id, CASE n WHEN 'x' THEN 'one' END AS V FROM t",
+             "SELECT *, CONCAT(ID, '-', n) AS W FROM t", "SELECT V AS ID, ID AS V FROM t", "select\n `ID` , v+1 v from T"]
+    others = ["SELECT * FROM t WHERE V > 1", "SELECT ID, V FROM t AS u", "SELECT max(ID) AS ID, max(V) AS V FROM t",
+              "SELECT DISTINCT ID, V FROM t", "SELECT ID, max(V) OVER (PARTITION BY 1) AS V FROM t",
+              "SELECT ID, explode(array(V, V + 7)) AS V FROM t", "SELECT ID, (SELECT max(V) FROM t) AS V FROM t",
+              "SELECT ID, V FROM t ORDER BY V LIMIT 2"]
+    for sql in alone + others:
+        maps = [TriplesMap(name, sql, f"http://e/{name}/{{ID}}", ("http://e/C",), (
+            ObjectMap(("http://e/v",), column="V"), ObjectMap(("http://e/w",), column="W")), "t") for name in ("m", "k")]
+        shared = build_graph(spark, maps, both, Options(source="query"))
+        run = build_graph(spark, maps, lambda name: spark.table(name), Options(source="query"))
+        assert set(shared.notes) == set(run.notes) and set(shared.shapes) == set(run.shapes), sql
+        assert bag(shared.distinct().triples()) == bag(run.distinct().triples()), sql
+        assert bool(_queried(spark, maps, both)) == (sql in alone), sql
+
+
 def test_a_table_that_the_scan_splits_is_not_dealt(spark, monkeypatch):
     """Dealing tables of up to 128 MB a core sorted and shuffled all their rows into tasks that grew with the table."""
     orders = spark.read.parquet(f"{SF}/orders.parquet")

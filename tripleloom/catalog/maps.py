@@ -6,9 +6,9 @@ from tripleloom.catalog.oracle import distinct, map_sql, with_relations
 from tripleloom.catalog.registry import query
 from tripleloom.catalog.silver import BRONZE, SILVER_SQL
 from tripleloom.catalog.standin import CODES, bronze_frames
-from tripleloom.operators.triples import Graph, Options, build_graph, reconcile
+from tripleloom.operators.triples import Graph, Options, as_frame, build_graph, reconcile
 from tripleloom.plans.register_mapping import REGISTER_MAPS
-from tripleloom.plans.silver import SILVER, fan_out, silver_tables
+from tripleloom.plans.silver import SILVER, fan_out
 from tripleloom.sources.tables import register_views
 
 _DATES = ("DATA_INICIO_ATIV", "DATA_INICIO_SOCIEDADE", "DATA_OPCAO_SIMPLES", "DATA_EXCLUSAO_SIMPLES",
@@ -52,9 +52,9 @@ _DECLARED = " UNION ALL ".join(
 
 
 def _declared_graph(spark, sf_dir, maps):
-    register_views(silver_tables(bronze_frames(spark, sf_dir), CODES))
-    options = Options(source="query", constants=True)
-    return build_graph(spark, maps, lambda name: spark.table(name), options)
+    tables = fan_out(bronze_frames(spark, sf_dir), CODES, dict.fromkeys(tm.table for tm in maps))
+    register_views({name: as_frame(table) for name, table in tables.items()})
+    return build_graph(spark, maps, tables, Options(source="query", constants=True))
 
 
 @query("register_declared", with_relations(

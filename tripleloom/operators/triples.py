@@ -172,7 +172,8 @@ class Options:
     ``null_iri``: text a null gives inside an IRI, or None to drop the triple.
     ``constants``: whether constant objects are emitted.
     ``source``: ``table`` reads the stored table a map names; ``query`` runs
-    the map's SQL over the registered views.
+    the map's SQL over the registered views, or over the views given as its
+    table where it takes each row by itself.
     """
 
     null_iri: str | None = "NONE"
@@ -582,11 +583,72 @@ Table = DataFrame | Sequence[View]
 Tables = Mapping[str, Table] | Callable[[str], Table]
 
 
+def _select_list(spark: SparkSession, sql: str, table: str) -> list[str] | None:
+    """The items of a query that only selects from the table, as they are written; None for any other query."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    if plan.getClass().getSimpleName() != "Project" or plan.child().getClass().getSimpleName() != "UnresolvedRelation":
+        return None
+    if plan.child().tableName().lower() != table.lower():
+        return None
+    items = [plan.projectList().apply(i).origin() for i in range(plan.projectList().size())]
+    if any(item.startIndex().isEmpty() or item.stopIndex().isEmpty() for item in items):
+        return None
+    return [sql[item.startIndex().get():item.stopIndex().get() + 1] for item in items]
+
+
+def _each_row(frame: DataFrame, items: Sequence[str]) -> list[str] | None:
+    """The columns that the items make, if they make one row of each row and of that row alone."""
+    made = frame.selectExpr(*items)
+    plan, rows = made._jdf.queryExecution().analyzed(), frame._jdf.queryExecution().analyzed()
+    alone = (plan.getClass().getSimpleName() == "Project" and plan.child().sameResult(rows)
+             and plan.deterministic() and plan.subqueriesAll().isEmpty())
+    return made.columns if alone else None
+
+
+def _queried(
+    spark: SparkSession, maps: Sequence[TriplesMap], tables: Mapping[str, Table]
+) -> dict[tuple[str, str], list[View]]:
+    """Queries that take each row of a table by itself, as views where their table is given as views.
+
+    What such a query derives becomes columns of the views' frame, so that all
+    queries over one frame share its scan.  Other queries are left to Spark.
+    """
+    made: dict[tuple[str, str], list[tuple[int, dict[str, str], str | None]]] = {}
+    bases: dict[int, DataFrame] = {}
+    for tm in maps:
+        table = tables.get(tm.table) if tm.sql and tm.table else None
+        if table is None or isinstance(table, DataFrame) or (tm.table, tm.sql) in made:
+            continue
+        items = _select_list(spark, tm.sql, tm.table)
+        made_by = items and [_each_row(view.frame().alias(tm.table), items) for view in table]
+        # Two columns of one name are Spark's to reject or to tell apart.
+        if not made_by or any(names is None or len({n.lower() for n in names}) < len(names) for names in made_by):
+            continue
+        views = made.setdefault((tm.table, tm.sql), [])
+        for view in table:
+            base, own = bases.setdefault(id(view.base), view.base), {name.lower(): c for name, c in view.columns.items()}
+            # A star stands for all columns, any other item for one.
+            pieces = [piece for item in items for piece in (view.columns if item == "*" else [item])]
+            names = _each_row(view.frame().alias(tm.table), pieces)
+            derived = {name: f"query {len(made)} {len(views)} {k}" for k, (piece, name) in enumerate(zip(pieces, names))
+                       if piece.lower() != name.lower()}
+            if derived:
+                kept = {f"_base {i}": column for i, column in enumerate(base.columns)}
+                both = base.select(*[F.col(f"`{column}`").alias(alias) for alias, column in kept.items()],
+                                   *[F.col(f"`{column}`").alias(name) for name, column in view.columns.items()])
+                bases[id(view.base)] = both.alias(tm.table).selectExpr(
+                    *[f"`{alias}`" for alias in kept],
+                    *[piece for piece, name in zip(pieces, names) if name in derived]).toDF(*kept.values(), *derived.values())
+            views.append((id(view.base), {name: derived.get(name) or own[name.lower()] for name in names}, view.where))
+    return {key: [View(bases[base], columns, where) for base, columns, where in views] for key, views in made.items()}
+
+
 def _compile(
     spark: SparkSession, maps: Sequence[TriplesMap], tables: Tables, options: Options
 ) -> tuple[list[_Compiler], list[Note]]:
     """One compiler per logical source, so that maps over one table, or over views of one frame, share its scan."""
     load = tables if callable(tables) else tables.__getitem__
+    queried = {} if options.source == "table" or callable(tables) else _queried(spark, maps, tables)
     compilers: dict[str | int, _Compiler] = {}
     notes: list[Note] = []
     for tm in maps:
@@ -598,7 +660,7 @@ def _compile(
             continue
         source = tm.table if options.source == "table" else tm.sql
         found = compilers[source].frame if source in compilers else (
-            load(tm.table) if options.source == "table" else spark.sql(tm.sql))
+            load(tm.table) if options.source == "table" else queried.get((tm.table, tm.sql)) or spark.sql(tm.sql))
         if isinstance(found, DataFrame):
             compilers.setdefault(source, _Compiler(found, options)).add(tm)
             continue
